@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, packing, token_counts
+from . import codec, fingerprint, mpegts, packing, token_counts
 from .frames import documents
 
 
@@ -22,6 +22,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizers_files.path("byte_bpe_50k.json"))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(documents(spark, sf_dir))
+
+
+def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.read(mpegts.store(documents(spark, sf_dir))).drop("pts", "random_access")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
