@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, fingerprint, mpegts, packing, token_counts
+from . import codec, fingerprint, langid, mpegts, packing, quality, token_counts
 from .frames import documents
 
 
@@ -30,6 +30,14 @@ def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.read(mpegts.store(documents(spark, sf_dir))).drop("pts", "random_access")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
