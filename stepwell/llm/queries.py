@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, fingerprint, langid, mpegts, packing, quality, token_counts
+from . import codec, fingerprint, langid, mpegts, packing, pii, quality, token_counts
 from .frames import documents
 
 
@@ -38,6 +38,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: The key of the surrogates; a deployment passes its own secret.
+PII_KEY = "stepwell"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
