@@ -5,14 +5,25 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, fingerprint, langid, mpegts, packing, pii, quality, token_counts
+from . import chat, codec, fingerprint, langid, mpegts, neardup, packing, pii, quality, token_counts
 from .frames import documents
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    says = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], turns.schema)
+    return chat.read_back(chat.windows(turns.unionByName(own), tokenizers_files.path("byte_bpe_50k.json")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.codec_digests(documents(spark, sf_dir), tokenizers_files.path("byte_bpe_50k.json"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(documents(spark, sf_dir), tokenizers_files.path("word_bpe_49k.json"))
     return packed.selectExpr("doc_id", "piece", "start", "cast(length as long) as length", "ids_crc32", "sequence_id", "offset")
