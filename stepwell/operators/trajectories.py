@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 ROLES = ("bridge", "distinguish", "support")
 ALPHA = 1.0
 STALL_WINDOW = 2
-STEP = Window.partitionBy("qid").orderBy("t")
-BEFORE = STEP.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = STEP.rowsBetween(Window.unboundedPreceding, 0)
-ONWARDS = STEP.rowsBetween(0, Window.unboundedFollowing)
-WHOLE = Window.partitionBy("qid")
+
+
+def step_window():
+    return Window.partitionBy("qid").orderBy("t")
+
+
+def before_window():
+    return step_window().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far_window():
+    return step_window().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def onwards_window():
+    return step_window().rowsBetween(0, Window.unboundedFollowing)
+
+
+def whole_window():
+    return Window.partitionBy("qid")
 
 
 def first_use(steps: DataFrame) -> DataFrame:
@@ -23,33 +38,33 @@ def first_use(steps: DataFrame) -> DataFrame:
 
 def with_prefix(steps: DataFrame, unit: str = "unit") -> DataFrame:
     """Steps with the units of all earlier steps, in order."""
-    return steps.withColumn("prefix", F.transform(F.array_sort(F.collect_list(F.struct("t", F.col(unit).alias("u"))).over(BEFORE)), lambda x: x["u"]))
+    return steps.withColumn("prefix", F.transform(F.array_sort(F.collect_list(F.struct("t", F.col(unit).alias("u"))).over(before_window())), lambda x: x["u"]))
 
 
 def neighbours(steps: DataFrame, column: str) -> DataFrame:
     """Steps with previous_ and next_ of a column."""
-    return steps.withColumn(f"previous_{column}", F.lag(column).over(STEP)).withColumn(f"next_{column}", F.lead(column).over(STEP))
+    return steps.withColumn(f"previous_{column}", F.lag(column).over(step_window())).withColumn(f"next_{column}", F.lead(column).over(step_window()))
 
 
 def stalled(flag: str) -> Column:
     """Whether the last ``STALL_WINDOW`` progress flags are all 0."""
-    w = STEP.rowsBetween(1 - STALL_WINDOW, 0)
+    w = step_window().rowsBetween(1 - STALL_WINDOW, 0)
     return (F.count(flag).over(w) == STALL_WINDOW) & (F.sum(flag).over(w) == 0)
 
 
 def last_progress(flag: str) -> Column:
-    return F.max(F.when(F.col(flag) == 1, F.col("t"))).over(SO_FAR)
+    return F.max(F.when(F.col(flag) == 1, F.col("t"))).over(so_far_window())
 
 
 def remaining_ratio(flag: str) -> Column:
     """Marked steps from here on over all marked steps of the qid; 0 without any."""
-    total = F.sum(flag).over(WHOLE)
-    return F.when(total > 0, F.sum(flag).over(ONWARDS) / total).otherwise(F.lit(0.0))
+    total = F.sum(flag).over(whole_window())
+    return F.when(total > 0, F.sum(flag).over(onwards_window()) / total).otherwise(F.lit(0.0))
 
 
 def contiguous(steps: DataFrame) -> DataFrame:
     """(qid, ok): whether t runs 0, 1, 2, ..."""
-    return steps.withColumn("n", F.row_number().over(STEP) - 1).groupBy("qid").agg(F.min((F.col("t") == F.col("n")).cast("int")).alias("ok"))
+    return steps.withColumn("n", F.row_number().over(step_window()) - 1).groupBy("qid").agg(F.min((F.col("t") == F.col("n")).cast("int")).alias("ok"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -68,7 +83,7 @@ def ledger(steps: DataFrame) -> DataFrame:
     once = first_use(steps)
     for r in ROLES:
         gained = F.when((F.col("role") == r) & (F.col("is_new") == 1), F.col("weight")).otherwise(0.0)
-        once = once.withColumn(f"k_{r}", F.coalesce(F.sum(gained).over(BEFORE), F.lit(0.0)))
+        once = once.withColumn(f"k_{r}", F.coalesce(F.sum(gained).over(before_window()), F.lit(0.0)))
     return once
 
 
@@ -88,7 +103,7 @@ def contributions(with_deficits: DataFrame, terminal: Column) -> DataFrame:
     out = with_deficits
     for r in ROLES:
         d, last = F.col(f"d_{r}"), F.when(terminal, F.lit(0.0))
-        out = out.withColumn(f"c_{r}", F.round(F.greatest(F.lit(0.0), d - F.coalesce(F.lead(f"d_{r}").over(STEP), last, d)), 6))
+        out = out.withColumn(f"c_{r}", F.round(F.greatest(F.lit(0.0), d - F.coalesce(F.lead(f"d_{r}").over(step_window()), last, d)), 6))
     return out
 
 
@@ -154,7 +169,7 @@ def fold_state(steps: DataFrame) -> DataFrame:
 
     One array fold per step over its own prefix; a qid has few steps.
     """
-    so_far = F.array_sort(F.collect_list(F.struct("t", "unit")).over(SO_FAR))
+    so_far = F.array_sort(F.collect_list(F.struct("t", "unit")).over(so_far_window()))
     units = F.array_distinct(F.transform(F.col("_s"), lambda s: s["unit"]))
     refs = F.transform(units, lambda u: F.struct(u.alias("unit"), F.array_min(F.transform(F.filter("_s", lambda s: s["unit"] == u), lambda s: s["t"])).alias("added_step"), F.size(F.filter("_s", lambda s: s["unit"] == u)).alias("count")))
     return steps.withColumn("_s", so_far).select("qid", "t", refs.alias("raw_refs"), F.col("unit").alias("last_unit"))
@@ -176,7 +191,7 @@ def unmatched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def monotone_rate(values: DataFrame, column: str) -> DataFrame:
     """Share of adjacent pairs that don't rise by more than 1e-9."""
-    pairs = values.withColumn("_p", F.lag(column).over(STEP)).where("_p is not null")
+    pairs = values.withColumn("_p", F.lag(column).over(step_window())).where("_p is not null")
     return pairs.agg(F.round(F.avg((F.col(column) <= F.col("_p") + 1e-9).cast("double")), 6).alias("rate"), F.count(F.lit(1)).alias("pairs"))
 
 

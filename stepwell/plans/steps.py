@@ -59,8 +59,8 @@ q AS (SELECT *, lag(r, 1) OVER {W_STEP} AS r1, lag(r, 2) OVER {W_STEP} AS r2 FRO
 SELECT qid, t, round(greatest(CASE WHEN r1 IS NULL THEN 0 ELSE len(list_intersect(r, r1)) / len(list_distinct(list_concat(r, r1))) END,
  CASE WHEN r2 IS NULL THEN 0 ELSE len(list_intersect(r, r2)) / len(list_distinct(list_concat(r, r2))) END), 6) AS repeat_ratio FROM q""")
 def retrieval_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = steps(spark, sf_dir).withColumn("r", F.collect_list("unit").over(J.STEP.rowsBetween(-2, 0)))
-    lists = lists.withColumn("r1", F.lag("r", 1).over(J.STEP)).withColumn("r2", F.lag("r", 2).over(J.STEP))
+    lists = steps(spark, sf_dir).withColumn("r", F.collect_list("unit").over(J.step_window().rowsBetween(-2, 0)))
+    lists = lists.withColumn("r1", F.lag("r", 1).over(J.step_window())).withColumn("r2", F.lag("r", 2).over(J.step_window()))
     like = lambda c: F.coalesce(T.jaccard(F.col("r"), F.col(c)), F.lit(0.0))
     return lists.select("qid", "t", F.round(F.greatest(like("r1"), like("r2")), 6).alias("repeat_ratio"))
 
@@ -125,7 +125,7 @@ def deficit_monotone_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s.qid, t, CASE WHEN s.qid % 3 = 0 AND t = last THEN 'terminal' WHEN discount > 0.08 THEN 'false-stop' WHEN s.qid % 3 = 0 AND last - t IN (1, 2) THEN 'near-terminal' ELSE 'continue' END AS stop_type,
  (CASE WHEN s.qid % 3 = 0 AND t = last THEN 1 ELSE 0 END)::INTEGER AS stop_label FROM steps s JOIN m USING (qid)""")
 def stop_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = J.stop_label(F.col("qid") % 3 == 0, F.max("t").over(J.WHOLE), F.col("t"), F.col("discount") > 0.08)
+    kind = J.stop_label(F.col("qid") % 3 == 0, F.max("t").over(J.whole_window()), F.col("t"), F.col("discount") > 0.08)
     return steps(spark, sf_dir).select("qid", "t", kind.alias("stop_type")).withColumn("stop_label", (F.col("stop_type") == "terminal").cast("int"))
 
 
@@ -141,7 +141,7 @@ def ranking_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f.qid, unit, added AS added_step, n AS times FROM f""")
 def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = J.fold_state(steps(spark, sf_dir))
-    last = states.withColumn("_last", F.max("t").over(J.WHOLE)).where("t = _last")
+    last = states.withColumn("_last", F.max("t").over(J.whole_window())).where("t = _last")
     return last.select("qid", F.explode("raw_refs").alias("r")).select("qid", F.col("r.unit").alias("unit"), F.col("r.added_step").alias("added_step"), F.col("r.count").cast("long").alias("times"))
 
 
