@@ -5,7 +5,7 @@ and what would read as a control string gets one in front, so reading back is ex
 conversation becomes windows of at most ``budget`` tokens: prefix sums of the turns' tokens
 choose spans of whole turns, each window starts with the conversation's system turn and repeats
 a limited history, and the loss mask covers assistant texts in the first window that holds them
-only. A turn longer than the budget stands in a window of its own.
+only. A turn that doesn't fit beside the system turn stands alone with it.
 """
 
 from __future__ import annotations
