@@ -59,7 +59,10 @@ class _Ranks(dict):
 
 
 class MergeTable:
-    """Vocabulary and merges of a byte-level BPE file."""
+    """Vocabulary and merges of a byte-level BPE file, with or without marks of word ends.
+
+    Encoding by windows (`pretoken`) is for files without such marks.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -76,6 +79,8 @@ class MergeTable:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.base = [self.ids[vocab[c]] for c in alphabet]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.last = [self.ids[vocab[c + suffix]] for c in alphabet]  # of a byte that ends a word
         self.rank: dict[tuple[int, int], int] = _Ranks()
         self.merged: list[int] = []
         for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
@@ -168,7 +173,9 @@ class MergeTable:
     def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
         """`merge` of many short words at once: each round makes the next merge of every word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.array(self.base, np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids, ends = np.array(self.base, np.int32)[raw], np.cumsum(sizes) - 1
+        ids[ends] = np.array(self.last, np.int32)[raw[ends]]
         of, merged = np.repeat(np.arange(len(words)), sizes), np.array(self.merged, np.int32)
         rank = np.full(len(ids), NONE, np.int32)
         rank[:-1] = np.where(of[1:] == of[:-1], self._ranks(ids[:-1], ids[1:]), NONE)

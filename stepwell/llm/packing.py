@@ -16,6 +16,7 @@ a superstep adds three runs at most and a run's gap falls by half or more whenev
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -26,23 +27,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .frames import map_batches, stored, text_or_empty
 
 #: Entries of each of the two generations of the memo of words.
 MEMO_ENTRIES = 300_000
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
+#: The token pattern within words (a fixed value of the tokenizer's format).
+TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer that drops white space and treats words apart, as packed u32."""
+    """Ids of a text by a tokenizer that drops white space and treats words apart, as packed u32.
+
+    Short words are merged here, many at once; the library takes the long ones and those that
+    may hold a special string.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.table = Tokenizer.from_file(path), bpe.table(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokens: dict[str, bytes] = {}  # lower-case tokens within words
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -51,23 +60,41 @@ class WordEncoder:
         """Python takes four control characters for white space that the tokenizer keeps."""
         return text.split() if not SEPARATORS.search(text) else [w for w in SPACES.split(text) if w]
 
+    @staticmethod
+    def _lower(word: str) -> str:
+        """NFC, then lower case letter by letter (Python alone would make a final sigma of the last one)."""
+        word = word if word.isascii() else unicodedata.normalize("NFC", word)
+        return word.lower() if "\u03a3" not in word else "".join(map(str.lower, word))
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain, rest = [], []
+        for w in words:
+            (rest if len(w) > 40 or "<|" in w or not (w.isascii() or w.isprintable()) else plain).append(w)
+        split = [(low,) if (low := self._lower(w)).isalpha() and low.isascii() else TOKENS.findall(low) for w in plain]
+        need = list({t for some in split for t in some if t not in self.tokens})
+        if len(self.tokens) + len(need) > MEMO_ENTRIES:
+            self.tokens, need = {}, list({t for some in split for t in some})
+        for at in range(0, len(need), 20_000):
+            some = need[at : at + 20_000]
+            self.tokens.update((t, ids.astype("<u4").tobytes()) for t, ids in zip(some, self.table.merge_many([t.encode() for t in some])))
+        out = {w: self.tokens[s[0]] if len(s) == 1 else b"".join(map(self.tokens.__getitem__, s)) for w, s in zip(plain, split)}
+        out.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in rest)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        need = set().union(*split)
-        known = {w: self.new[w] for w in need if w in self.new}
-        for w in need - known.keys():
-            if w in self.old:
-                known[w] = self.old[w]
-        missing = list(need - known.keys())
-        found = {}
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            found.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        if len(self.new) + len(found) > MEMO_ENTRIES:
-            self.old, self.new = self.new, {}
-        self.new.update((w, x) for w, x in found.items() if len(w) <= 64)
-        known.update(found)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        new, old = self.new, self.old
+        missing = [w for w in set().union(*split) if w not in new]
+        again = {w: old[w] for w in missing if w in old}
+        found = self._learn([w for w in missing if w not in again]) if len(again) < len(missing) else {}
+        new.update(again)
+        new.update(found)
+        out = [b"".join(map(new.__getitem__, s)) for s in split]
+        for w in [w for w in found if len(w) > 64]:
+            del new[w]
+        if len(new) > MEMO_ENTRIES:
+            self.old, self.new = new, {}
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
