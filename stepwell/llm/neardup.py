@@ -7,9 +7,11 @@ counting sketch of fixed size over all documents. Improved consistent weighted s
 the set into ``BANDS x ROWS`` samples; texts that agree on all samples of a band share a bucket.
 
 Buckets are settled by hubs and never by all their pairs: every member is verified against the
-bucket's hub by the weighted Jaccard similarity of the whole sets. Members below the threshold
-stay for the next hub, with the linked members that the triangle inequality leaves within reach
-of them. So the work of a round is linear in the members,
+bucket's hub by the weighted Jaccard similarity of the whole sets. After each round the links
+found in all buckets are merged to components. A bucket goes on while it has members of two
+components, and a member while the triangle inequality leaves one of another component within
+its reach by every hub of the round, whether the two are linked to others or not. So no link
+between components is lost, and the work of a round is linear in the members,
 however large a bucket is. After the first round a bucket has up to ``HUBS`` hubs at a time,
 which does the work of as many rounds in one: all its members where they are ``HUBS`` or fewer,
 down to one where they are many.
@@ -37,6 +39,8 @@ DRAWS_BITS = 13
 MEMO_ENTRIES = 400_000
 #: A bucket has one hub in the first rounds, which settle families of copies, then so many a round.
 ONE_HUB_ROUNDS, HUBS = 1, 64
+#: Similarities to a hub are compared in steps of one part of so many.
+STEPS = 50
 
 
 class Shingler:
@@ -229,39 +233,64 @@ def _similarities(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return map_batches(full.select("a", "b", "ta", "tb"), run, "a long, b long, s double")
 
 
+def _merged(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """The members (key, t, comp) with the components of all linked (a, b) made one."""
+    of = members.groupBy("t").agg(F.first("comp").alias("comp"))
+    edges = linked.join(of.withColumnRenamed("t", "a").withColumnRenamed("comp", "x"), "a").join(of.withColumnRenamed("t", "b").withColumnRenamed("comp", "y"), "b")
+    roots = components(edges.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return members.join(roots.withColumnRenamed("t", "comp"), "comp", "left").select("key", "t", F.coalesce("root", "comp").alias("comp"))
+
+
+def _within_reach(members: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """The members that may be linked to one of another component, by their similarities (key, t, hub, s).
+
+    If two are linked, their similarities to any third differ by 1 - threshold at most.
+    """
+    placed = scored.join(members, ["key", "t"]).withColumn("step", F.floor(F.col("s") * STEPS))
+    reach = int(np.ceil((1 - threshold) * STEPS)) + 1
+    near = Window.partitionBy("key", "hub").orderBy("step").rangeBetween(-reach, reach)
+    steps = placed.groupBy("key", "hub", "step").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    steps = steps.select("key", "hub", "step", (F.min("lo").over(near) != F.max("hi").over(near)).alias("other"))
+    return placed.join(steps, ["key", "hub", "step"]).groupBy("key", "t", "comp").agg(F.bool_and("other").alias("on")).where("on").drop("on")
+
+
 def links(texts: DataFrame, shared, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b, s), a > b, between the rows of (t, text); copies of a text count once."""
+    """Verified links (a, b, s), a > b, between the rows of (t, text); copies of a text count once.
+
+    They have the components of all links within buckets, and need not be all links of a component.
+    """
     spark = texts.sparkSession
     known_at, known_schema = shared_dir(spark, "neardup-similarities"), "a long, b long, s double"
     spark.createDataFrame([], known_schema).write.parquet(known_at)
-    members = stored(_bucket_rows(texts, shared).groupBy("key", "t").agg(F.lit(True).alias("open")), "neardup-buckets")
+    members = stored(_bucket_rows(texts, shared).groupBy("key", "t").agg(F.lit(True).alias("x")).drop("x"), "neardup-buckets")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(members.join(sizes.drop("n"), "key", "left_semi"), "neardup-members")
     need = stored(members.groupBy("t").agg(F.lit(True).alias("need")), "neardup-need")
     chosen = stored(texts.join(need, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")), "neardup-texts")
+    members = members.select("key", "t", F.col("t").alias("comp"))
     for turn in range(1 << 20):
-        live = members.groupBy("key").agg(F.min(F.when(F.col("open"), F.col("t"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("hub is not null and n > 1")
+        live = members.groupBy("key").agg(F.min("t").alias("hub"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         if turn < ONE_HUB_ROUNDS:
-            hubs = stored(live.select("key", "hub"), "neardup-hubs")
-        else:
-            first = F.row_number().over(Window.partitionBy("key").orderBy("t"))
-            sizes = stored(live.select("key", F.greatest(F.lit(1), F.least(F.lit(HUBS), F.floor(HUBS * HUBS / F.col("n")))).alias("hubs")), "neardup-sizes")
-            many = members.where("open").select("key", "t").join(sizes, "key").withColumn("n", first)
-            hubs = stored(many.where("n <= hubs").select("key", F.col("t").alias("hub")), "neardup-hubs")
+            hubs = stored(live.select("key", "hub", F.col("n").alias("members")), "neardup-hubs")
+        else:  # the members of small components first: what is in the largest may never need a turn
+            per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
+            wanted = live.select("key", "n", F.when(F.col("n") <= HUBS, F.col("n")).otherwise(F.greatest(F.lit(1), F.floor(HUBS * HUBS / F.col("n")))).alias("hubs"))
+            first = F.row_number().over(Window.partitionBy("key").orderBy("own", "comp", "t"))
+            many = members.join(wanted, "key").join(per, ["key", "comp"]).withColumn("at", first)
+            hubs = stored(many.where("at <= hubs").select("key", F.col("t").alias("hub"), F.col("n").alias("members")), "neardup-hubs")
         if hubs.isEmpty():
             break
-        met = members.join(hubs, "key").where("t <> hub").select("key", "t", "open", F.greatest("t", "hub").alias("a"), F.least("t", "hub").alias("b"))
+        # where not all members are hubs, those of the hub's component are met too: their distances bound others
+        of_hub = hubs.join(members.withColumnRenamed("t", "hub").withColumnRenamed("comp", "hub_comp"), ["key", "hub"])
+        met = members.join(of_hub, "key").where((F.col("t") != F.col("hub")) & ((F.col("members") > HUBS) | (F.col("comp") != F.col("hub_comp"))))
+        met = met.select("key", "t", "hub", "members", F.greatest("t", "hub").alias("a"), F.least("t", "hub").alias("b"))
         known = spark.read.schema(known_schema).parquet(known_at)
         pairs = met.groupBy("a", "b").agg(F.lit(True).alias("x")).select("a", "b").join(known, ["a", "b"], "left_anti")
         _similarities(pairs, chosen, shared).write.mode("append").parquet(known_at)
         known = spark.read.schema(known_schema).parquet(known_at)
-        best = met.join(known, ["a", "b"]).groupBy("key", "t", "open").agg(F.max("s").alias("s"))
-        scored = stored(best.join(hubs.withColumnRenamed("hub", "t"), ["key", "t"], "left_anti"), "neardup-scored")
-        # unsettled members go on, and of the others those that may be within reach of one of them
-        unsettled = F.col("open") & (F.col("s") < threshold)
-        reach = scored.where(unsettled).groupBy("key").agg(F.max("s").alias("most"))
-        on = scored.join(reach, "key").where(unsettled | F.col("s").between(threshold, F.col("most") + 1 - threshold))
-        members = stored(on.select("key", "t", unsettled.alias("open")), "neardup-members")
+        scored = stored(met.join(known, ["a", "b"]).join(hubs.select("key", F.col("hub").alias("t"), F.lit(True).alias("was")), ["key", "t"], "left").select("key", "t", "hub", "s", "was"), "neardup-scored")
+        members = _merged(members, scored.where(F.col("s") >= threshold).select(F.col("t").alias("a"), F.col("hub").alias("b")).distinct())
+        members = stored(_within_reach(members, scored.where("was is null").drop("was"), threshold), "neardup-members")
     return spark.read.schema(known_schema).parquet(known_at).where(F.col("s") >= threshold)
 
 

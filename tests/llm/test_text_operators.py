@@ -247,6 +247,32 @@ def test_classes_against_brute_force(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_chains_in_a_large_bucket(spark, monkeypatch):
+    """a-x-y with a-y below the threshold, and h-x-y-k whose x and y settle on different hubs, all in one bucket."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "_bucket_rows", lambda texts, shared: texts.select(F.lit(1).cast("long").alias("key"), "t"))
+    rng = random.Random(11)
+    shared, texts = prose(rng, 60).split(), []
+    for c in range(60):
+        words = [f"c{c}w{i}" for i in range(20)] + shared + [f"c{c}v{i}" for i in range(40)]
+        for k in range(3 + c % 3):  # each link changes five more words
+            texts.append(" ".join(words))
+            words[115 - 5 * k : 120 - 5 * k] = [f"c{c}k{k}n{i}" for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sampler = neardup.Sampler(neardup.idf_table(*neardup.frequencies(docs.select("text"))))
+    of, h, count = neardup.Shingler()(texts)
+    sets = [(h[of == i], sampler.weights(h[of == i], count[of == i])) for i in range(len(texts))]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and sampler.similarity(sets[i], sets[j]) >= neardup.THRESHOLD:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(texts) > 200 and len(set(root)) == 60 and sampler.similarity(sets[8], sets[10]) < neardup.THRESHOLD
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == dict(enumerate(root))
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
