@@ -32,6 +32,9 @@ FAMILY = {
     "latin": "Albers Baker Castell Dorn Evans Fabre Gruber Hart Ibarra Jensen Keller Lambert Molina Norris Olsen Prior".split(),
     "cyrillic": "Авдеенко Бойко Волошко Гриценко Доценко Ермак Заяц Ильенко Кравец Левченко Мороз Назаренко Орлик Петренко Руденко Сидорук".split(),
 }
+#: Syllables of the family names that are built when the listed ones don't suffice, and the most of them in a name that the pattern still reads.
+SYLLABLES = {"latin": [c + v for c in "bcdfghjklmnprstvwxyz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгджзклмнпрстфхцчшщ" for v in "аеиоу"]}
+LISTED_ATTEMPTS, MOST_SYLLABLES = 3, 15
 _TITLE = "|".join(t for some in TITLES.values() for t in some)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds and their patterns, the first that fits at a place wins. None can start inside a run of its own characters, so a scan takes linear time.
@@ -142,10 +145,13 @@ def _surrogate(kind: Column, mention: Column, attempt: Column, title: Column, di
     iban = F.concat(F.substr(mention, F.lit(1), F.lit(2)), _per_letter(F.substr(mention, F.lit(3), F.length(mention)), digest))
     aws = F.concat(F.lit("AKIA"), _per_letter(F.substr(mention, F.lit(5), F.length(mention)), digest))
     script = F.when(mention.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    n1, n2, n3 = (_hex_at(digest, F.lit(i)) for i in range(3))
+    n1, n2 = (_hex_at(digest, F.lit(i)) for i in range(2))
     given = reduce(lambda out, k: out.when(F.concat_ws(" ", title, script) == k, _choice(GIVEN[k], n1)), GIVEN, F.when(F.lit(False), F.lit("")))
     family = F.when(script == "cyrillic", _choice(FAMILY["cyrillic"], n2)).otherwise(_choice(FAMILY["latin"], n2))
-    more = F.when(attempt > 2, F.concat(F.lit("-"), F.when(script == "cyrillic", _choice(FAMILY["cyrillic"], n3)).otherwise(_choice(FAMILY["latin"], n3)))).otherwise(F.lit(""))
+    # a hundred times as many names with each attempt
+    places = F.sequence(F.lit(2), 1 + F.least(F.greatest(attempt, F.lit(LISTED_ATTEMPTS)), F.lit(MOST_SYLLABLES)))
+    built = lambda k: F.initcap(F.array_join(F.transform(places, lambda i: _choice(SYLLABLES[k], _hex_at(digest, i))), ""))
+    more = F.when(attempt >= LISTED_ATTEMPTS, F.concat(F.lit("-"), F.when(script == "cyrillic", built("cyrillic")).otherwise(built("latin")))).otherwise(F.lit(""))
     name = F.when(F.instr(mention, " ") > 0, F.concat_ws(" ", given, F.concat(family, more))).otherwise(F.concat(family, more))
     return (
         F.when(kind == "email", email)

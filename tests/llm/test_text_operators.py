@@ -205,6 +205,16 @@ def test_collisions_are_settled(spark):
     assert len(set(got)) == len(rows) and not {t[4:] for t in got} & {t[4:] for _, t in rows}
 
 
+def test_more_names_than_listed_surrogates(spark):
+    rng, vowels, low = random.Random(12), "aeiou", "bdfgklmnprst"
+    names = sorted({"".join(rng.choice(low) + rng.choice(vowels) for _ in range(4)).title() for _ in range(700)})
+    cyrillic = ["".join("бвгдклмнпр"[int(d)] + "а" for d in f"{i:03}").title() for i in range(500)]
+    rows = list(enumerate([f"Mr {n}" for n in names] + [f"г-н {n}" for n in cyrillic]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text.split(" ")[1] for r in pii.pseudonymise(docs, "k").collect()]
+    assert len(set(got)) == len(rows) > 1100 and not set(got) & {*names, *cyrillic}
+
+
 # near-duplicates
 
 
