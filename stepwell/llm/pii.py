@@ -11,6 +11,7 @@ attempt above 0 are joined to the texts; all others need no join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +41,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds and their patterns, the first that fits at a place wins. None can start inside a run of its own characters, so a scan takes linear time.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=[=:\"'] ?)(?<=(?:token|password|passwd|secret|api_key|apikey) ?[=:] ?[\"']?)[0-9A-Za-z_+/-]{6,200}|(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=[=:\"'] ?)(?<=(?:token|password|passwd|secret|api_key|apikey) ?[=:] ?[\"']?)(?=[0-9A-Za-z_+/~.=-]{6})[0-9A-Za-z_+/~-]++(?:[.=]++[0-9A-Za-z_+/~-]++)*+=*+|(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -64,7 +65,7 @@ def _choice(words: list[str], number: Column) -> Column:
 def kind_of(mention: Column) -> Column:
     """The kind of a mention by its own text; what follows ``=`` is a secret, what has no digit a name."""
     fits = [(k, mention.rlike(rf"^(?:{p})$")) for k, p in KINDS.items() if k not in ("secret", "name")]
-    secret = mention.rlike(r"^AKIA[0-9A-Z]{16}$|^[0-9a-f]{32,128}$")
+    secret = mention.rlike(r"^AKIA[0-9A-Z]{16}$|^[0-9a-f]{32,}$")
     named = mention.rlike(r"^\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?$")
     out = F.when(secret, F.lit("secret"))
     for k, fit in fits:
@@ -84,25 +85,29 @@ def canonical(kind: Column, mention: Column) -> Column:
     )
 
 
-def _per_letter(mention: Column, digest: Column, last: int | None = None) -> Column:
+def _per_letter(mention: Column, digest: Column, last: int | None = None, forward: bool = False) -> Column:
     """Digits and ASCII letters redrawn, all else kept. Counted from the end, so that a prefix moves nothing.
 
-    With ``last``, only that many digits from the end are redrawn.
+    With ``last``, only that many digits from the end are redrawn. With ``forward`` places are
+    counted from the start, which takes linear time in a long mention.
     """
-    hexadecimal = mention.rlike("^[0-9a-f]+$")
 
-    def redraw(c: Column, i: Column) -> Column:
-        after = F.length(F.regexp_replace(F.substr(mention, i + 2, F.length(mention)), "[^0-9A-Za-z]", ""))
-        n = _hex_at(digest, after)
-        digit = F.pmod(n, F.lit(10)).cast("string")
-        return (
-            F.when(c.rlike("[0-9]"), digit if last is None else F.when(after < last, digit).otherwise(c))
-            .when(c.rlike("[a-z]"), F.when(hexadecimal, F.substr(F.lit("abcdef"), F.pmod(n, F.lit(6)) + 1, F.lit(1))).otherwise(F.char(F.lit(97) + F.pmod(n, F.lit(26)))))
-            .when(c.rlike("[A-Z]"), F.char(F.lit(65) + F.pmod(n, F.lit(26))))
-            .otherwise(c)
-        )
+    def redraw(small: Callable[[Column], Column]) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            after = i if forward else F.length(F.regexp_replace(F.substr(mention, i + 2, F.length(mention)), "[^0-9A-Za-z]", ""))
+            n = _hex_at(digest, after)
+            digit = F.pmod(n, F.lit(10)).cast("string")
+            return (
+                F.when(c.rlike("[0-9]"), digit if last is None else F.when(after < last, digit).otherwise(c))
+                .when(c.rlike("[a-z]"), small(n))
+                .when(c.rlike("[A-Z]"), F.char(F.lit(65) + F.pmod(n, F.lit(26))))
+                .otherwise(c)
+            )
 
-    return F.array_join(F.transform(F.split(mention, ""), redraw), "")
+        return F.array_join(F.transform(F.split(mention, ""), one), "")
+
+    hexadecimal = redraw(lambda n: F.substr(F.lit("abcdef"), F.pmod(n, F.lit(6)) + 1, F.lit(1)))
+    return F.when(mention.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(redraw(lambda n: F.char(F.lit(97) + F.pmod(n, F.lit(26)))))
 
 
 def _valid_card(number: Column) -> Column:
@@ -161,6 +166,7 @@ def _surrogate(kind: Column, mention: Column, attempt: Column, title: Column, di
         .when(kind == "iban", iban)
         .when(kind == "name", name)
         .when(mention.rlike("^AKIA[0-9A-Z]{16}$"), aws)
+        .when(kind == "secret", _per_letter(mention, digest, forward=True))
         .otherwise(_per_letter(mention, digest))
     )
 

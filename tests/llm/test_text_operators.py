@@ -205,6 +205,21 @@ def test_collisions_are_settled(spark):
     assert len(set(got)) == len(rows) and not {t[4:] for t in got} & {t[4:] for _, t in rows}
 
 
+def test_secrets_are_replaced_to_their_end(spark):
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJK23456789") for _ in range(n))
+    long, jwt, hexa, base = some(300), ".".join((some(36), some(90), some(43))), "".join(rng.choice("0123456789abcdef") for _ in range(20_000)), some(30) + "=="
+    texts = [f'token="{long}" x', f"secret: {jwt}. Then", f"sum {hexa} end", f"api_key={base}, password={jwt}"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for old, new in zip(texts, got):
+        assert len(new) == len(old) and re.sub("[0-9A-Za-z]", "", new) == re.sub("[0-9A-Za-z]", "", old)
+        for secret in (long, jwt, hexa, base):
+            at = old.find(secret)
+            for i in range(0, len(secret) - 12, 12) if at >= 0 else ():
+                assert secret[i : i + 12] != new[at + i : at + i + 12]
+    assert got[1].split()[1].rstrip(".") == got[3].split("password=")[1]  # one secret, one surrogate
+
+
 def test_more_names_than_listed_surrogates(spark):
     rng, vowels, low = random.Random(12), "aeiou", "bdfgklmnprst"
     names = sorted({"".join(rng.choice(low) + rng.choice(vowels) for _ in range(4)).title() for _ in range(700)})
