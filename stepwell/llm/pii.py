@@ -5,8 +5,9 @@ the same surrogate everywhere, written in the format of each mention. Digits sta
 letters stay letters of their case, separators stay; card numbers stay valid by their check
 digit, addresses stay addresses, names keep gender and script. All distinct entities of the
 corpus are checked: where two would get one surrogate, or one the text of a real entity, the
-later ones by canonical form take the next attempt until none collides. Only entities with an
-attempt above 0 are joined to the texts; all others need no join.
+later ones by canonical form take the next attempt until none collides. A name's gender is what
+all its titles in the corpus tell. Only entities with an attempt above 0, and those whose
+mentions have different titles, are joined to the texts; all others need no join.
 """
 
 from __future__ import annotations
@@ -188,14 +189,22 @@ def found(text: Column) -> Column:
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct entities of a corpus: kind, canonical form, and one mention (the least)."""
-    mention = docs.select(F.explode(found(F.col(text))).alias("mention")).groupBy("mention").agg(F.count(F.lit(1)).alias("n"))
+    """The distinct entities of a corpus: kind, canonical form, one mention (the least), title, and whether its mentions' titles differ.
+
+    The title is m or f where only that one is said of the entity anywhere, and n otherwise.
+    """
+    texts = docs.select(F.col(text).alias("_text"), found(F.col(text)).alias("_found")).where(F.size("_found") > 0)
+    titled = texts.select("_found", F.split("_text", PATTERN, -1).alias("_gaps"))
+    titled = titled.select(F.explode(F.transform("_found", lambda m, i: F.struct(m.alias("mention"), _title_of(F.try_element_at("_gaps", i + 1)).alias("title")))).alias("e"))
+    mention = titled.groupBy("e.mention", "e.title").agg(F.count(F.lit(1)).alias("n"))
     kinds = mention.withColumn("kind", kind_of(F.col("mention"))).withColumn("canonical", canonical(F.col("kind"), F.col("mention")))
-    return kinds.groupBy("kind", "canonical").agg(F.min("mention").alias("mention"))
+    said = lambda g: F.bool_or(F.col("title") == g)
+    own = F.when(said("m") & ~said("f"), F.lit("m")).when(said("f") & ~said("m"), F.lit("f")).otherwise(F.lit("n"))
+    return kinds.groupBy("kind", "canonical").agg(F.min("mention").alias("mention"), own.alias("title"), (F.min("title") != F.max("title")).alias("mixed"))
 
 
 def collisions(known: DataFrame, key: str) -> DataFrame:
-    """Entities (from `entities`, stored) that need an attempt above 0: kind, canonical, attempt.
+    """Entities (from `entities`, stored) that need an attempt above 0 or are told titles that differ: kind, canonical, attempt, title.
 
     Of entities with one surrogate the first by canonical form keeps it; one whose surrogate is
     the text of a real entity never does. Raises if ``MOST_ATTEMPTS`` don't suffice.
@@ -203,7 +212,7 @@ def collisions(known: DataFrame, key: str) -> DataFrame:
     taken = known.select("kind", F.col("canonical").alias("drawn"))
 
     def drawn(frame: DataFrame) -> DataFrame:
-        one = surrogates(key, F.array(F.struct("mention", "attempt", F.lit("n").alias("title"))))
+        one = surrogates(key, F.array(F.struct("mention", "attempt", "title")))
         return frame.withColumn("_s", one[0]["surrogate"]).withColumn("drawn", canonical(F.col("kind"), F.col("_s"))).drop("_s")
 
     open_, moved = known.withColumn("attempt", F.lit(0)), []
@@ -213,15 +222,14 @@ def collisions(known: DataFrame, key: str) -> DataFrame:
         tried = tried.withColumn("first", first).join(taken.distinct().withColumn("used", F.lit(True)), ["kind", "drawn"], "left")
         tried = stored(tried.withColumn("fits", F.col("first") & F.col("used").isNull()), "pii-attempt")
         fitting = tried.where("fits")
-        if attempt:
-            moved.append(fitting.select("kind", "canonical", "attempt"))
-        open_ = tried.where("not fits").select("kind", "canonical", "mention", (F.col("attempt") + 1).alias("attempt"))
+        moved.append((fitting if attempt else fitting.where("mixed")).select("kind", "canonical", "attempt", "title"))
+        open_ = tried.where("not fits").select("kind", "canonical", "mention", "title", "mixed", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             break
         taken = taken.unionByName(fitting.select("kind", "drawn"))
     else:
         raise ValueError(f"entities without a surrogate of their own after {MOST_ATTEMPTS} attempts")
-    empty = known.sparkSession.createDataFrame([], "kind string, canonical string, attempt int")
+    empty = known.sparkSession.createDataFrame([], "kind string, canonical string, attempt int, title string")
     return reduce(DataFrame.unionByName, moved, empty)
 
 
@@ -230,17 +238,18 @@ def replace(docs: DataFrame, key: str, moved: DataFrame, id_: str = "doc_id", te
     names = [c for c in docs.columns if c != "n_entities"]
     with_mentions = docs.select(*names, found(F.col(text)).alias("_found"))
     if moved.isEmpty():
-        attempts = with_mentions.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+        attempts = with_mentions.withColumn("_attempts", F.lit(None).cast("map<string,struct<attempt:int,title:string>>"))
     else:  # only the texts that mention a moved entity get a map
         rows = docs.where(hinted(F.col(text))).select(F.sha2(text, 256).alias("_d"), F.explode(F.array_distinct(found(F.col(text)))).alias("mention"))
         rows = rows.withColumn("kind", kind_of(F.col("mention"))).withColumn("canonical", canonical(F.col("kind"), F.col("mention"))).join(moved, ["kind", "canonical"])
-        per = rows.select("_d", F.struct("mention", "attempt").alias("e")).distinct().groupBy("_d").agg(F.map_from_entries(F.collect_list("e")).alias("_attempts"))
+        per = rows.select("_d", F.struct("mention", F.struct("attempt", "title").alias("own")).alias("e")).distinct().groupBy("_d").agg(F.map_from_entries(F.collect_list("e")).alias("_attempts"))
         attempts = with_mentions.withColumn("_d", F.sha2(F.col(text), 256)).join(per, "_d", "left").drop("_d")
     gaps = F.split(F.col(text), PATTERN, -1)
 
     some = attempts.withColumn("_gaps", F.when(F.size("_found") > 0, gaps))
-    # kind of a mention is found again from its own text, so a mention stands for its entity here
-    mentions = F.transform("_found", lambda m, i: F.struct(m.alias("mention"), F.coalesce(F.try_element_at("_attempts", m), F.lit(0)).alias("attempt"), _title_of(F.try_element_at("_gaps", i + 1)).alias("title")))
+    # kind of a mention is found again from its own text, so a mention stands for its entity here; an entity that isn't moved has one title
+    own = lambda m: F.try_element_at("_attempts", m)
+    mentions = F.transform("_found", lambda m, i: F.struct(m.alias("mention"), F.coalesce(own(m)["attempt"], F.lit(0)).alias("attempt"), F.coalesce(own(m)["title"], _title_of(F.try_element_at("_gaps", i + 1))).alias("title")))
     parts = F.zip_with(surrogates(key, mentions), F.slice("_gaps", 2, F.size("_gaps")), lambda x, gap: F.concat(x["surrogate"], F.coalesce(gap, F.lit(""))))
     new = F.when(F.size("_found") > 0, F.concat(F.element_at("_gaps", 1), F.array_join(parts, ""))).otherwise(F.col(text))
     return some.select(*[new.alias(text) if c == text else F.col(c) for c in names], F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"))

@@ -220,6 +220,16 @@ def test_secrets_are_replaced_to_their_end(spark):
     assert got[1].split()[1].rstrip(".") == got[3].split("password=")[1]  # one secret, one surrogate
 
 
+def test_one_name_under_all_titles_and_no_real_one(spark):
+    plain = [(i, f"{t} {n}") for i, (t, n) in enumerate((t, n) for n in ("John Smith", "Jane Miller") for t in ("Dr", "Mr" if n[1] == "o" else "Mrs"))] + [(8, "Mr Kim Berg"), (9, "Mrs Kim Berg")]
+    run = lambda rows: [r.text.split(" ", 1)[1] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    one = run(plain)
+    assert one[0] == one[1] and one[2] == one[3] and one[4] == one[5]
+    assert one[0].split()[0] in pii.GIVEN["m latin"] and one[2].split()[0] in pii.GIVEN["f latin"] and one[4].split()[0] in pii.GIVEN["n latin"]
+    alone = run([(0, "Mr Tom Berger")])[0]  # what it gets is a real name below
+    assert run([(0, "Mr Tom Berger"), (1, f"Mr {alone}")])[0] != alone
+
+
 def test_more_names_than_listed_surrogates(spark):
     rng, vowels, low = random.Random(12), "aeiou", "bdfgklmnprst"
     names = sorted({"".join(rng.choice(low) + rng.choice(vowels) for _ in range(4)).title() for _ in range(700)})
