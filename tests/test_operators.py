@@ -128,3 +128,10 @@ def test_stream_state_equals_replay(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.table("states").select("qid", "t", "selected", "distinct_units", "last_unit").collect())
     assert got == sorted(tuple(r) for r in state.replay(steps).collect())
+
+
+def test_mmr_selection_asks_all_items(spark):
+    from stepwell.plans import retrieval
+
+    asked = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
+    assert len(asked) > 20 and {r.qid for r in retrieval.mmr_selection(spark, SF).select("qid").distinct().collect()} == asked
