@@ -149,10 +149,22 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> Data
 
 
 def quota_sample(rows: DataFrame, stratum: str, id_: str, quotas: dict[str, int], seed: int) -> DataFrame:
-    """So many rows of each stratum in hash order."""
+    """So many rows of each stratum in hash order; what strata lack comes from all rows left, in the order of seed + 1.
+
+    ``pos`` is the place in the row's stratum. The rows are in the order of seed + 2. Raises if
+    there are too few.
+    """
     w = Window.partitionBy(stratum).orderBy(T.stable_key(seed, F.col(id_)))
     want = reduce(lambda c, kv: c.when(F.col(stratum) == kv[0], kv[1]), quotas.items(), F.when(F.lit(False), 0)).otherwise(0)
-    return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= want)
+    ranked = rows.withColumn("pos", F.row_number().over(w))
+    chosen = ranked.where(F.col("pos") <= want)
+    lack = sum(quotas.values()) - chosen.count()
+    if lack:
+        more = ranked.where(F.col("pos") > want).orderBy(T.stable_key(seed + 1, F.col(id_))).limit(lack)
+        if (found := more.count()) < lack:
+            raise ValueError(f"{lack - found} rows too few for the quotas")
+        chosen = chosen.unionByName(more)
+    return chosen.orderBy(T.stable_key(seed + 2, F.col(id_)))
 
 
 def largest_remainder(total: int, shares: dict[str, float]) -> dict[str, int]:

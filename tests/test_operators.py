@@ -135,3 +135,14 @@ def test_mmr_selection_asks_all_items(spark):
 
     asked = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
     assert len(asked) > 20 and {r.qid for r in retrieval.mmr_selection(spark, SF).select("qid").distinct().collect()} == asked
+
+
+def test_quota_sample_fills_up_from_other_strata(spark):
+    import hashlib
+
+    key = lambda seed, i: hashlib.sha256(f"{seed}::{i}".encode()).hexdigest()
+    stratum = {i: "a" if i < 4 else "b" if i < 50 else "c" for i in range(60)}
+    rows = spark.createDataFrame([(s, i) for i, s in stratum.items()], "stratum string, id long")
+    want = [i for s, n in {"a": 10, "b": 6}.items() for i in sorted((i for i in stratum if stratum[i] == s), key=lambda i: key(3, i))[:n]]
+    want += sorted(set(stratum) - set(want), key=lambda i: key(4, i))[: 16 - len(want)]
+    assert [r.id for r in R.quota_sample(rows, "stratum", "id", {"a": 10, "b": 6}, 3).collect()] == sorted(want, key=lambda i: key(5, i))
