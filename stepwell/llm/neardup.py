@@ -5,29 +5,36 @@ damped to ``[LEAST_IDF, 1]`` so that boilerplate draws fewer samples and yet a l
 copies isn't pushed below the threshold by being frequent. Document frequencies come from a
 counting sketch of fixed size over all documents. Improved consistent weighted sampling turns
 the set into ``BANDS x ROWS`` samples; texts that agree on all samples of a band share a bucket.
-
-Buckets are settled by hubs and never by all their pairs: every member is verified against the
-bucket's hub by the weighted Jaccard similarity of the whole sets. After each round the links
-found in all buckets are merged to components. A bucket goes on while it has members of two
-components, and a member while the triangle inequality leaves one of another component within
-its reach by every hub of the round, whether the two are linked to others or not. So no link
-between components is lost, and the work of a round is linear in the members,
-however large a bucket is. After the first round a bucket has up to ``HUBS`` hubs at a time,
-which does the work of as many rounds in one: all its members where they are ``HUBS`` or fewer,
-down to one where they are many.
+Every pair in a bucket whose weighted Jaccard similarity is at least the threshold ends up in
+one class, and yet a bucket's pairs are never listed:
+
+1. Every bucket has a hub, a text that many others share buckets with, so that a whole family
+   has one or a few hubs. Each member is verified against the hub by the whole sets.
+2. Members linked to a hub are in one class. A pair (x, y) that isn't settled by that has one
+   member, say y, that isn't linked to the hub h. What x and y then must have in common follows
+   from their differences from h. With L1 distances and c = (1 - threshold) / (1 + threshold),
+   x and y are linked exactly where |x - y| <= c (|x| + |y|), and |x - y| = |dx| + |dy| -
+   2 overlap(dx, dy) for the differences dx = x - h, dy = y - h. So a linked pair overlaps by
+   at least ``need`` in its differences, and by the prefix-filter argument x and y share one of
+   their first features (in an order common to all texts: added shingles first, rare ones
+   first) after which less than ``need`` is left. Members unlike the hub, which its differences
+   say little of, share a rare shingle of their own in the same way.
+3. These first features are the next round's buckets, within the hub's group only. Edits that
+   different copies made on their own share no feature, so a large family of copies comes to an
+   end here; what did change alike meets again, with a hub of its own. Hubs descend in a fixed
+   order of the texts, so the rounds end.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches, shared_dir, stored, text_or_empty
+from .frames import Scratch, map_batches, stored, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 5
@@ -36,60 +43,59 @@ SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 12
 LEAST_IDF = 0.5
 #: Draws (r, ln c, beta) of one hash function; a shingle picks one by its hash.
 DRAWS_BITS = 13
-MEMO_ENTRIES = 400_000
-#: A bucket has one hub in the first rounds, which settle families of copies, then so many a round.
-ONE_HUB_ROUNDS, HUBS = 1, 64
-#: Similarities to a hub are compared in steps of one part of so many.
-STEPS = 50
-
-
-class Shingler:
-    """Whole texts to distinct shingle hashes with counts."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, hash, count) of the distinct shingles, sorted by text and hash.
-
-        A text of fewer than five words is one shingle; one without words has none.
-        """
-        split = [t.lower().split() for t in texts]
-        missing = [w for w in set().union(*split) if w not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
-            self.memo, missing = {}, list(set().union(*split))
-        self.memo.update(zip(missing, map(xxhash.xxh3_64_intdigest, missing)))
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        w = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
-        of = np.repeat(np.arange(len(texts)), sizes)
-        h = np.zeros(len(w), np.uint64)
-        for k in range(WORDS):
-            step = w[k:] if k else w
-            h[: len(step)] = h[: len(step)] * np.uint64(0x9E3779B97F4A7C15) + (step ^ step >> np.uint64(29))
-            h[len(step) :] *= np.uint64(0x9E3779B97F4A7C15)
-        start = np.cumsum(sizes) - sizes
-        place = np.arange(len(w)) - start[of]
-        keep = place < np.maximum(1, sizes - WORDS + 1)[of]
-        for i in np.flatnonzero((sizes > 0) & (sizes < WORDS)):  # its neighbours' words have no part in it
-            h[start[i]] = xxhash.xxh3_64_intdigest(" ".join(split[i]), seed=1)
-        of, h = of[keep], h[keep]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        order = np.lexsort((h, of))
-        of, h = of[order], h[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        return of[at], h[at], np.diff(np.r_[at, len(h)])
-
-
-_SHINGLER: list[Shingler] = []
-
-
-def _shingler() -> Shingler:
-    if not _SHINGLER:
-        _SHINGLER.append(Shingler())
-    return _SHINGLER[0]
+#: Texts of one call of the shingler; their number fits the upper bits of a sort key.
+CALL_TEXTS, CALL_BITS = 512, 9
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: Marks a shingle that a text lacks and its hub has.
+LACKS = np.uint64(0xA5A5_5A5A_C3C3_3C3C)
+
+
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, count) of the distinct shingles of at most ``CALL_TEXTS`` texts, sorted by text and hash.
+
+    A text of fewer than five words is one shingle; one without words has none. Words compare in
+    lower case. The lowest ``CALL_BITS`` bits of a hash are zero.
+    """
+    words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    known = coded.dictionary.to_pylist()
+    of = np.repeat(np.arange(len(texts)), sizes)
+    if "" in known:  # white space at an end of a text
+        real = at != known.index("")
+        at, of = at[real], of[real]
+        sizes = np.bincount(of, minlength=len(texts))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[at] if known else np.zeros(0, np.uint64)
+    h = np.zeros(len(w), np.uint64)
+    mixed = w ^ w >> np.uint64(29)
+    for k in range(WORDS):
+        h *= np.uint64(MULTIPLIER)
+        h[: len(w) - k] += mixed[k:]
+    start = np.cumsum(sizes) - sizes
+    place = np.arange(len(w)) - start[of]
+    for i in np.flatnonzero((sizes > 0) & (sizes < WORDS)):  # its neighbours' words have no part in it
+        h[start[i]] = xxhash.xxh3_64_intdigest(" ".join(known[j] for j in at[start[i] : start[i] + sizes[i]]), seed=1)
+    keep = place < np.maximum(1, sizes - WORDS + 1)[of]
+    of, h = of[keep], h[keep]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    both = np.sort(of.astype(np.uint64) << np.uint64(64 - CALL_BITS) | h >> np.uint64(CALL_BITS))
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[first, len(both)])
+    both = both[first]
+    return (both >> np.uint64(64 - CALL_BITS)).astype(np.int64), both << np.uint64(CALL_BITS), count
+
+
+def _calls(texts: pa.Array):
+    """Slices of at most ``CALL_TEXTS`` texts, with the number of the first."""
+    for at in range(0, len(texts), CALL_TEXTS):
+        yield at, texts.slice(at, CALL_TEXTS)
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -98,10 +104,9 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
         total, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
         for batch in batches:
-            some = batch.column(0).to_pylist()
-            _, h, _ = _shingler()(some)
-            total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            n += len(some)
+            for _, some in _calls(batch.column(0)):
+                total += np.bincount(_counter(shingles(some)[1]), minlength=1 << SKETCH_BITS)
+            n += batch.num_rows
         if n:
             blocks = total.reshape(-1, SKETCH_BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blocks)), pa.int32()), pa.array([np.array([n]).tobytes(), *(b.tobytes() for b in blocks)], pa.binary())], names=["block", "counts"])
@@ -153,18 +158,15 @@ class Sampler:
         return np.where(bits < 0, ~bits, bits ^ np.int32(-(1 << 31))).view(np.uint32).astype(np.uint64) << np.uint64(32)
 
     def weights(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.sqrt(count.astype(np.float32)) * self.idf[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        return np.sqrt(count.astype(np.float32)) * self.idf[_counter(h)]
 
-    def bands(self, of: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text numbers that have shingles, a row of bucket keys for each)."""
-        if not len(h):
-            return of, np.zeros((0, BANDS), np.int64)
+    def samples(self, of: np.ndarray, h: np.ndarray, count: np.ndarray):
+        """For each sample, its value in every text that has shingles (a 32-bit name of shingle and level)."""
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         ln_w = np.log(self.weights(h, count))
         other = np.flatnonzero(np.abs(ln_w) > 1e-6)
         h_other, w_other = h[other], ln_w[other]
-        mark = h & np.uint64(0xFFFFFFFF)
-        keys = np.zeros((len(starts), BANDS), np.uint64)
+        mark = h >> np.uint64(CALL_BITS) & np.uint64(0xFFFFFFFF)
         shift = np.uint64(64 - DRAWS_BITS)
         for i in range(BANDS * ROWS):
             value = self.unit[i][(h * self.odd[i] >> shift).view(np.int64)] | mark
@@ -174,124 +176,209 @@ class Sampler:
                 t = np.floor(w_other / r + beta)
                 own = mark[other] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF))
                 value[other] = self._order(self.ln_c[i][at] - r * (t - beta) - r) | own
-            least = np.minimum.reduceat(value, starts) & np.uint64(0xFFFFFFFF)
+            yield np.minimum.reduceat(value, starts) & np.uint64(0xFFFFFFFF)
+
+    def bands(self, of: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text numbers that have shingles, a row of bucket keys for each)."""
+        if not len(h):
+            return of, np.zeros((0, BANDS), np.int64)
+        own = of[np.flatnonzero(np.r_[True, of[1:] != of[:-1]])]
+        keys = np.zeros((len(own), BANDS), np.uint64)
+        for i, least in enumerate(self.samples(of, h, count)):
             b = i // ROWS
-            keys[:, b] = (keys[:, b] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1)
+            keys[:, b] = (keys[:, b] ^ least) * np.uint64(MULTIPLIER) + np.uint64(b + 1)
             keys[:, b] ^= keys[:, b] >> np.uint64(31)
-        return of[starts], keys.view(np.int64)
+        return own, keys.view(np.int64)
 
     def similarity(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
         """Weighted Jaccard of two (hashes ascending, weights)."""
-        at = np.searchsorted(a[0], b[0])
-        at[at == len(a[0])] = 0
-        same = a[0][at] == b[0] if len(a[0]) else np.zeros(len(b[0]), bool)
-        x, y = a[1][at[same]], b[1][same]
-        least = float(np.minimum(x, y).sum())
-        return least / max(1e-12, float(a[1].sum()) + float(b[1].sum()) - least)
+        return Difference(a, b).similarity
+
+
+class Difference:
+    """A weighted set x (hashes ascending, weights) seen from another one, its hub h."""
+
+    def __init__(self, x: tuple[np.ndarray, np.ndarray], h: tuple[np.ndarray, np.ndarray]):
+        self.x, self.h = x, h
+        at = np.searchsorted(h[0], x[0])
+        at[at == len(h[0])] = 0
+        hit = h[0][at] == x[0] if len(h[0]) else np.zeros(len(x[0]), bool)
+        self.in_hub = np.where(hit, h[1][at], 0.0) if len(h[0]) else np.zeros(len(x[0]))
+        self.at, self.hit = at, hit
+        self.size, self.hub_size = float(x[1].sum(dtype=np.float64)), float(h[1].sum(dtype=np.float64))
+        least = float(np.minimum(x[1], self.in_hub).sum(dtype=np.float64))
+        self.added, self.lacking = self.size - least, self.hub_size - least
+        self.similarity = least / max(1e-12, self.size + self.hub_size - least)
+
+    def features(self, idf: np.ndarray, threshold: float) -> np.ndarray:
+        """The first features of the difference, one of which any text linked to x shares, unless both are linked to the hub."""
+        c = (1 - threshold) / (1 + threshold)
+        whole = self.added + self.lacking
+        if self.similarity >= threshold:
+            need = (whole - c * (self.added - self.lacking)) / 2
+        else:
+            need = (whole - c * (self.hub_size + self.size)) / (1 + c)
+        own = self.x[1] - self.in_hub
+        more, less = own > 0, own < 0
+        gone = np.ones(len(self.h[0]), bool)
+        gone[self.at[self.hit]] = False
+        h = np.concatenate([self.x[0][more], self.x[0][less], self.h[0][gone]])
+        w = np.concatenate([own[more], -own[less], self.h[1][gone]])
+        lacks = np.arange(len(h)) >= more.sum()
+        return _first(np.where(lacks, h ^ LACKS, h), w, np.lexsort((h, -idf[_counter(h)], lacks)), need)
+
+    def rare(self, idf: np.ndarray, threshold: float) -> np.ndarray:
+        """The rarest shingles of x itself, one of which any text linked to x has as well."""
+        h, w = self.x
+        return _first(h, w, np.lexsort((h, -idf[_counter(h)])), threshold * self.size)
+
+
+def _first(names: np.ndarray, w: np.ndarray, order: np.ndarray, need: float) -> np.ndarray:
+    """The names in ``order`` until the weights of the others are less than ``need`` (with a margin for rounding)."""
+    w = w[order].astype(np.float64)
+    left = w.sum() - np.cumsum(w)
+    return names[order[: int(np.searchsorted(-left, -need * (1 - 1e-6) + 1e-6, "left")) + 1]].view(np.int64)
 
 
 _SAMPLERS: dict[int, Sampler] = {}
 
 
 def _sampler(shared) -> Sampler:
-    key = id(shared.value)
+    """One sampler for each broadcast table and worker process."""
+    key = shared.id if hasattr(shared, "id") else id(shared.value)
     if key not in _SAMPLERS:
         _SAMPLERS.clear()
         _SAMPLERS[key] = Sampler(shared.value)
     return _SAMPLERS[key]
 
 
-def _bucket_rows(texts: DataFrame, shared) -> DataFrame:
-    """(key, t) of every band of every row (t, text)."""
+def _signatures(rows: DataFrame, shared) -> DataFrame:
+    """(_key, t, keys) for every row (_key, t, text): the bucket keys of all bands, none for a text without words."""
 
     def run(batches):
         sampler = _sampler(shared)
         for batch in batches:
-            of, keys = sampler.bands(*_shingler()(batch.column(1).to_pylist()))
-            t = batch.column(0).take(pa.array(np.repeat(of, BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), t], names=["key", "t"])
+            for at, some in _calls(batch.column(2)):
+                of, keys = sampler.bands(*shingles(some))
+                sizes = np.zeros(len(some), np.int32)
+                sizes[of] = BANDS
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), lists], names=["_key", "t", "keys"])
 
-    return map_batches(texts, run, "key long, t long")
+    kind = rows.schema["_key"].dataType.simpleString()
+    return map_batches(rows, run, f"_key {kind}, t binary, keys array<long>")
 
 
-def _similarities(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """(a, b, s) of pairs (a, b), by whole texts."""
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """(key, t) of the buckets with two members or more; each text once."""
+    rows = signatures.select(F.explode("keys").alias("key"), "t")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(sizes, "key")
 
-    def run(batches):
-        sampler = _sampler(shared)
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            both = dict(zip(chain(a, b), chain(batch.column(2).to_pylist(), batch.column(3).to_pylist())))
-            of, h, count = _shingler()(list(both.values()))
-            w, cuts = sampler.weights(h, count), np.searchsorted(of, np.arange(1, len(both)))
-            sets = dict(zip(both, zip(np.split(h, cuts), np.split(w, cuts))))
-            s = [sampler.similarity(sets[x], sets[y]) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "s"])
 
-    left = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a")
-    full = left.join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
-    return map_batches(full.select("a", "b", "ta", "tb"), run, "a long, b long, s double")
+def _pairs(members: DataFrame) -> DataFrame:
+    """The hub of each bucket of (key, t, score): its first member by score and t. (hub, t, score, on)
 
+    ``on`` is false where a bucket has one member beside the hub, so that no pair is left.
+    """
+    best = members.groupBy("key").agg(F.max(F.struct("score", "t")).alias("best"), F.count(F.lit(1)).alias("n"))
+    return _against(members, best)
 
-def _merged(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """The members (key, t, comp) with the components of all linked (a, b) made one."""
-    of = members.groupBy("t").agg(F.first("comp").alias("comp"))
-    edges = linked.join(of.withColumnRenamed("t", "a").withColumnRenamed("comp", "x"), "a").join(of.withColumnRenamed("t", "b").withColumnRenamed("comp", "y"), "b")
-    roots = components(edges.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    return members.join(roots.withColumnRenamed("t", "comp"), "comp", "left").select("key", "t", F.coalesce("root", "comp").alias("comp"))
 
+def _against(members: DataFrame, best: DataFrame) -> DataFrame:
+    met = members.join(best, "key").select(F.col("best.t").alias("hub"), "t", "score", (F.col("n") > 2).alias("on"))
+    return met.where("hub <> t").groupBy("hub", "t").agg(F.first("score").alias("score"), F.bool_or("on").alias("on"))
 
-def _within_reach(members: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
-    """The members that may be linked to one of another component, by their similarities (key, t, hub, s).
 
-    If two are linked, their similarities to any third differ by 1 - threshold at most.
+def _first_pairs(buckets: DataFrame) -> DataFrame:
+    """`_pairs` of the bands' buckets (key, t, n), where a whole family of texts has the same hub.
+
+    A text's score is the number of members it meets. A bucket's hub is the first text, by score,
+    of the buckets that its members are in, so it need not be a member.
     """
-    placed = scored.join(members, ["key", "t"]).withColumn("step", F.floor(F.col("s") * STEPS))
-    reach = int(np.ceil((1 - threshold) * STEPS)) + 1
-    near = Window.partitionBy("key", "hub").orderBy("step").rangeBetween(-reach, reach)
-    steps = placed.groupBy("key", "hub", "step").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    steps = steps.select("key", "hub", "step", (F.min("lo").over(near) != F.max("hi").over(near)).alias("other"))
-    return placed.join(steps, ["key", "hub", "step"]).groupBy("key", "t", "comp").agg(F.bool_and("other").alias("on")).where("on").drop("on")
+    score = buckets.groupBy("t").agg(F.sum("n").alias("score"))
+    members = buckets.join(score, "t").select("key", "t", "score")
+    own = members.groupBy("key").agg(F.max(F.struct("score", "t")).alias("best"))
+    reach = members.join(own, "key").groupBy("t").agg(F.max("best").alias("best"))
+    best = members.select("key", "t").join(reach, "t").groupBy("key").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
+    inside = members.join(best, "key").where(F.col("best.t") == F.col("t")).select("key", F.lit(1).alias("inside"))
+    return _against(members, best.join(inside, "key", "left").select("key", "best", (F.col("n") + 1 - F.coalesce("inside", F.lit(0))).alias("n")))
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """(hub, t, score, on, s, near, far) of pairs (hub, t, score, on), by whole texts; near and far only where ``on``.
 
-def links(texts: DataFrame, shared, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b, s), a > b, between the rows of (t, text); copies of a text count once.
+    Two linked texts differ by 1 - threshold at most in their similarity to a hub, so both are
+    at least ``low`` (``near``: they share a feature of the difference) or both below ``high``.
+    """
+    low, high = threshold / 2, threshold / 2 + (1 - threshold)
 
-    They have the components of all links within buckets, and need not be all links of a component.
+    def run(batches):
+        sampler = _sampler(shared)
+        for whole in batches:
+            for at in range(0, whole.num_rows, CALL_TEXTS // 2):
+                batch = whole.slice(at, CALL_TEXTS // 2)
+                coded = batch.column(0).dictionary_encode()
+                of_hub = coded.indices.to_numpy(zero_copy_only=False)
+                one = np.unique(of_hub, return_index=True)[1]
+                some = pa.concat_arrays([batch.column(4), batch.column(5).take(pa.array(one))])
+                of, h, count = shingles(some)
+                w, cuts = sampler.weights(h, count), np.searchsorted(of, np.arange(len(some) + 1))
+                sets = [(h[a:b], w[a:b]) for a, b in zip(cuts, cuts[1:])]
+                s, near, far = [], [], []
+                for i, (j, on) in enumerate(zip(of_hub, batch.column(3).to_pylist())):
+                    d = Difference(sets[i], sets[batch.num_rows + j])
+                    s.append(d.similarity)
+                    near.append(d.features(sampler.idf, threshold) if on and d.similarity >= low else _NO_NAMES)
+                    far.append(d.rare(sampler.idf, threshold) if on and d.similarity < high else _NO_NAMES)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(s, pa.float64()), _lists(near), _lists(far)], names=["hub", "t", "score", "on", "s", "near", "far"])
+
+    with_text = pairs.join(texts, "t")
+    of_hubs = texts.join(pairs.select(F.col("hub").alias("t")).distinct(), "t", "left_semi").select(F.col("t").alias("hub"), F.col("text").alias("hub_text"))
+    full = with_text.join(of_hubs, "hub").select("hub", "t", "score", "on", "text", "hub_text")
+    return map_batches(full, run, "hub binary, t binary, score long, on boolean, s double, near array<long>, far array<long>")
+
+
+_NO_NAMES = np.zeros(0, np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, _NO_NAMES])))
+
+
+def _next(group: DataFrame, roots: DataFrame) -> DataFrame:
+    """The next buckets (key, t, score) of groups (hub, t, score, near, far): features shared by members of two components."""
+    placed = group.join(roots, "t", "left").withColumn("comp", F.coalesce("root", "t")).drop("root")
+    two = (F.min("comp") != F.max("comp")).alias("two")
+    open_ = placed.groupBy("hub").agg(two).where("two").select("hub")
+    names = F.concat(F.transform("near", lambda f: F.xxhash64("hub", F.lit(1), f)), F.transform("far", lambda f: F.xxhash64("hub", F.lit(2), f)))
+    rows = placed.join(open_, "hub", "left_semi").select(F.explode(names).alias("key"), "t", "score", "comp")
+    live = rows.groupBy("key").agg(two).where("two").select("key")
+    return rows.join(live, "key", "left_semi").select("key", "t", "score")
+
+
+def links(buckets: DataFrame, texts: DataFrame, shared, threshold: float = THRESHOLD) -> DataFrame:
+    """(t, root) for every linked text of the buckets (key, t, n); ``texts`` has each of their texts once.
+
+    The classes are the components of all pairs that share a bucket and reach the threshold.
     """
-    spark = texts.sparkSession
-    known_at, known_schema = shared_dir(spark, "neardup-similarities"), "a long, b long, s double"
-    spark.createDataFrame([], known_schema).write.parquet(known_at)
-    members = stored(_bucket_rows(texts, shared).groupBy("key", "t").agg(F.lit(True).alias("x")).drop("x"), "neardup-buckets")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(members.join(sizes.drop("n"), "key", "left_semi"), "neardup-members")
-    need = stored(members.groupBy("t").agg(F.lit(True).alias("need")), "neardup-need")
-    chosen = stored(texts.join(need, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")), "neardup-texts")
-    members = members.select("key", "t", F.col("t").alias("comp"))
-    for turn in range(1 << 20):
-        live = members.groupBy("key").agg(F.min("t").alias("hub"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        if turn < ONE_HUB_ROUNDS:
-            hubs = stored(live.select("key", "hub", F.col("n").alias("members")), "neardup-hubs")
-        else:  # the members of small components first: what is in the largest may never need a turn
-            per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
-            wanted = live.select("key", "n", F.when(F.col("n") <= HUBS, F.col("n")).otherwise(F.greatest(F.lit(1), F.floor(HUBS * HUBS / F.col("n")))).alias("hubs"))
-            first = F.row_number().over(Window.partitionBy("key").orderBy("own", "comp", "t"))
-            many = members.join(wanted, "key").join(per, ["key", "comp"]).withColumn("at", first)
-            hubs = stored(many.where("at <= hubs").select("key", F.col("t").alias("hub"), F.col("n").alias("members")), "neardup-hubs")
-        if hubs.isEmpty():
+    scratch, known, members = Scratch(texts.sparkSession), None, None
+    while True:
+        met = scratch.keep(_pairs(members) if known else _first_pairs(buckets), "neardup-pairs")
+        if met.isEmpty():
             break
-        # where not all members are hubs, those of the hub's component are met too: their distances bound others
-        of_hub = hubs.join(members.withColumnRenamed("t", "hub").withColumnRenamed("comp", "hub_comp"), ["key", "hub"])
-        met = members.join(of_hub, "key").where((F.col("t") != F.col("hub")) & ((F.col("members") > HUBS) | (F.col("comp") != F.col("hub_comp"))))
-        met = met.select("key", "t", "hub", "members", F.greatest("t", "hub").alias("a"), F.least("t", "hub").alias("b"))
-        known = spark.read.schema(known_schema).parquet(known_at)
-        pairs = met.groupBy("a", "b").agg(F.lit(True).alias("x")).select("a", "b").join(known, ["a", "b"], "left_anti")
-        _similarities(pairs, chosen, shared).write.mode("append").parquet(known_at)
-        known = spark.read.schema(known_schema).parquet(known_at)
-        scored = stored(met.join(known, ["a", "b"]).join(hubs.select("key", F.col("hub").alias("t"), F.lit(True).alias("was")), ["key", "t"], "left").select("key", "t", "hub", "s", "was"), "neardup-scored")
-        members = _merged(members, scored.where(F.col("s") >= threshold).select(F.col("t").alias("a"), F.col("hub").alias("b")).distinct())
-        members = stored(_within_reach(members, scored.where("was is null").drop("was"), threshold), "neardup-members")
-    return spark.read.schema(known_schema).parquet(known_at).where(F.col("s") >= threshold)
+        # a pair met again where more than it is at stake needs its features as well
+        had = known.groupBy("hub", "t").agg(F.bool_or("on").alias("had")) if known else None
+        new = met if known is None else met.join(had, ["hub", "t"], "left").where("had is null or (on and not had)").drop("had")
+        found = scratch.keep(_verified(new, texts, shared, threshold), "neardup-verified")
+        known = found if known is None else known.unionByName(found)
+        roots = scratch.keep(components(known.where(F.col("s") >= threshold).select(F.col("hub").alias("a"), F.col("t").alias("b"))), "neardup-roots")
+        group = met.where("on").select("hub", "t").join(known.where("on").drop("s", "on"), ["hub", "t"])
+        members = scratch.keep(_next(group, roots), "neardup-members")
+    out = stored(components(known.where(F.col("s") >= threshold).select(F.col("hub").alias("a"), F.col("t").alias("b"))), "neardup-roots") if known else None
+    scratch.drop_all_but()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,57 +387,91 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps on stored tables; a hot node's rows are joined,
     never gathered.
     """
+    scratch = Scratch(edges.sparkSession)
+    a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
 
     def star(now: DataFrame, large: bool) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else now
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "components-least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         if large:
             new = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             new = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return stored(new.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg(F.lit(1).alias("x")).drop("x"), "components")
+        return new.where("a <> b").select(a, b).distinct()
 
     def digest(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "components")
+    now = scratch.keep(edges.select(a, b).where("a <> b").distinct(), "components")
     before = digest(now)
     while before[0]:
-        now = star(star(now, True), False)
-        after = digest(now)
+        half = scratch.keep(star(now, True), "components")
+        new = scratch.keep(star(half, False), "components")
+        after = digest(new)
+        scratch.drop(half, now)
+        now = new
         if after == before:
             break
         before = after
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "t")
 
 
+def _digest(text: str):
+    """A text's identity: 128 bits."""
+    return F.unhex(F.md5(text_or_empty(text)))
+
+
+def _classed(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """(_key, t, root) of every row, stored."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("_key"), _digest(text).alias("t"), text_or_empty(text).alias("text"))
+    counters, n = frequencies(rows.select("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(idf_table(counters, n))
+    signed = scratch.keep(_signatures(rows, shared), "neardup-signatures")
+    # one row of each text: copies meet in the map-side part of the aggregation
+    distinct = scratch.keep(signed.groupBy("t").agg(F.first("keys").alias("keys"), F.min("_key").alias("_key")), "neardup-distinct")
+    buckets = scratch.keep(_buckets(distinct), "neardup-buckets")
+    need = distinct.join(buckets.select("t").distinct(), "t", "left_semi").select("t", F.col("_key").alias("k"))
+    some = rows.join(need, (rows["t"] == need["t"]) & rows["_key"].eqNullSafe(need["k"]), "left_semi").select("t", "text")
+    texts = scratch.keep(some.groupBy("t").agg(F.first("text").alias("text")), "neardup-texts")
+    roots = links(buckets, texts, shared, threshold)
+    of = signed.select("_key", "t")
+    of = of.join(roots, "t", "left") if roots is not None else of.withColumn("root", F.lit(None).cast("binary"))
+    out = stored(of.select("_key", "t", F.coalesce("root", "t").alias("root")), "neardup-classes")
+    scratch.drop_all_but()
+    shared.unpersist()
+    return out
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Every row's key with class_id, the least key of its class of near-duplicates.
 
     Classes are the connected components of the verified links; copies of a text are in one
     class. Null and empty texts are copies of the empty text. A row without key is in a class
     but names none (a class of such rows alone has a null id). Words compare in lower case.
+    Repeated rows are answered as often as they occur; an empty table gives an empty one; other
+    columns aren't read.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("t"), text_or_empty(text).alias("text"))
-    counters, n = frequencies(rows.select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(idf_table(counters, n))
-    roots = stored(components(links(rows.select("t", "text"), shared, threshold)), "neardup-roots")
-    of = rows.select("_key", "t").join(roots, "t", "left").select("_key", F.coalesce("root", "t").alias("root"))
-    of = stored(of, "neardup-of")
-    least = stored(of.groupBy("root").agg(F.min("_key").alias("class_id")), "neardup-least")
+    of = _classed(docs, key, text, threshold)
+    least = of.groupBy("root").agg(F.min("_key").alias("class_id"))
     return of.join(least, "root").select(F.col("_key").alias(key), "class_id")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without all but one row of each class: the one of least key (any one of rows that repeat it).
+    """``docs`` without all but one row of each class: the one of least key (any one of rows that repeat key and text).
 
-    Rows without key stay only where their class has no other; then one of them does.
+    A row without key stays only where its class has no other; then one of them does. Rows of one
+    key with texts of different classes are different rows.
     """
-    found = stored(classes(docs, key, text, threshold), "neardup-classes")
-    kept = stored(found.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(key).agg(F.count(F.lit(1)).alias("n")), "neardup-kept")
-    many = kept.where("n > 1 or n is null").limit(1).count() > 0
-    nulls = kept.where(F.col(key).isNull()).limit(1).count() > 0
-    out = docs.join(kept.drop("n"), key, "left_semi")
-    if nulls:
-        out = out.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))
-    return out.dropDuplicates([key, text]) if many else out
+    scratch = Scratch(docs.sparkSession)
+    of = _classed(docs, key, text, threshold)
+    best = of.groupBy("root").agg(F.min(F.struct(F.isnull("_key").alias("none"), "_key", "t")).alias("b")).select(F.col("b._key").alias("_nd_k"), F.col("b.t").alias("_nd_t"))
+    counts = of.groupBy("_key", "t").agg(F.count(F.lit(1)).alias("_nd_n"))
+    same = counts["_key"].eqNullSafe(best["_nd_k"]) & (counts["t"] == best["_nd_t"])
+    kept = scratch.keep(counts.join(best, same).select("_nd_k", "_nd_t", "_nd_n"), "neardup-kept")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs[key].eqNullSafe(some["_nd_k"]) & (_digest(text) == some["_nd_t"]), "left_semi")
+
+    out, many = rows_of(kept.where("_nd_n = 1")), kept.where("_nd_n > 1")
+    return out if many.isEmpty() else out.unionByName(rows_of(many).dropDuplicates([key, text]))

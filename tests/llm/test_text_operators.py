@@ -5,10 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stepwell.llm import chat, fingerprint, langid, mpegts, neardup, pii, quality
 
@@ -282,11 +284,28 @@ def test_classes_against_brute_force(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def weighted_sets(texts, sampler):
+    of, h, count = (np.concatenate(x) for x in zip(*((o + at, h, c) for at, some in neardup._calls(pa.array(texts)) for o, h, c in [neardup.shingles(some)])))
+    return [(h[of == i], sampler.weights(h[of == i], count[of == i])) for i in range(len(texts))]
+
+
+def classes_by_all_pairs(texts, sampler):
+    sets, root = weighted_sets(texts, sampler), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and sampler.similarity(sets[i], sets[j]) >= neardup.THRESHOLD:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sets, root
+
+
+def in_one_bucket(monkeypatch):
+    monkeypatch.setattr(neardup, "_buckets", lambda signatures: signatures.select(F.lit(1).cast("long").alias("key"), "t", F.lit(1000).cast("long").alias("n")))
+
+
 def test_chains_in_a_large_bucket(spark, monkeypatch):
     """a-x-y with a-y below the threshold, and h-x-y-k whose x and y settle on different hubs, all in one bucket."""
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(neardup, "_bucket_rows", lambda texts, shared: texts.select(F.lit(1).cast("long").alias("key"), "t"))
+    in_one_bucket(monkeypatch)
     rng = random.Random(11)
     shared, texts = prose(rng, 60).split(), []
     for c in range(60):
@@ -296,18 +315,43 @@ def test_chains_in_a_large_bucket(spark, monkeypatch):
             words[115 - 5 * k : 120 - 5 * k] = [f"c{c}k{k}n{i}" for i in range(5)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sampler = neardup.Sampler(neardup.idf_table(*neardup.frequencies(docs.select("text"))))
-    of, h, count = neardup.Shingler()(texts)
-    sets = [(h[of == i], sampler.weights(h[of == i], count[of == i])) for i in range(len(texts))]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if root[i] != root[j] and sampler.similarity(sets[i], sets[j]) >= neardup.THRESHOLD:
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
+    sets, root = classes_by_all_pairs(texts, sampler)
     assert len(texts) > 200 and len(set(root)) == 60 and sampler.similarity(sets[8], sets[10]) < neardup.THRESHOLD
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_family_of_edited_copies_in_one_bucket(spark, monkeypatch, seed):
+    """Copies with edits of their own, versions with edits in common, cuts, repeats and shuffled halves: the classes of all pairs, in few comparisons."""
+    in_one_bucket(monkeypatch)
+    compared, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    rng = random.Random(seed)
+    first = [f"w{rng.randrange(400)}" for _ in range(150)]
+    versions = [first]
+    for v in range(5):
+        words = list(versions[rng.randrange(len(versions))])
+        for _ in range(rng.randint(1, 8)):
+            words[rng.randrange(len(words))] = f"v{v}x{rng.randrange(99)}"
+        versions.append(words)
+    texts = []
+    for i in range(220):
+        words = list(rng.choice(versions))
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [f"n{i}y{rng.randrange(999)}"], [words[at], words[at]]])
+        kind = rng.randrange(12)
+        words = words[: rng.randint(60, 150)] if kind == 0 else words[75:] + words[:75] if kind == 1 else words + words[:30] if kind == 2 else words
+        texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sampler = neardup.Sampler(neardup.idf_table(*neardup.frequencies(docs.select("text"))))
+    _, root = classes_by_all_pairs(texts, sampler)
+    assert 1 < len(set(root)) < len(texts)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == dict(enumerate(root))
+    assert sum(compared) < len(texts) ** 2 / 8
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
@@ -324,12 +368,43 @@ def test_components(spark):
     assert got == {i: root(i) for i in got} and all(root(i) == i for i in set(parent) - set(got) if all(a == b for a, b in edges if i in (a, b)))
 
 
-def test_sampling_estimates_weighted_jaccard():
+def test_samples_agree_as_often_as_weighted_jaccard():
+    """Over many pairs with weights of all sizes, the share of equal samples is the similarity."""
+    rng, off = random.Random(10), []
+    sampler = neardup.Sampler(np.linspace(0.5, 1, 1 << neardup.SKETCH_BITS, dtype=np.float32))
+    for k in range(60):
+        words = [f"w{k}n{rng.randrange(150)}" for _ in range(200)]
+        other = [w if rng.random() > k / 600 else f"x{rng.random()}" for w in words] + words[:20] * (k % 4)
+        sets = weighted_sets([" ".join(words), " ".join(other)], sampler)
+        of, h, count = neardup.shingles(pa.array([" ".join(words), " ".join(other)]))
+        same = np.mean([s[0] == s[1] for s in sampler.samples(of, h, count)])
+        off.append(same - sampler.similarity(*sets))
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.09
+
+
+def test_similarity_is_weighted_jaccard():
     sampler = neardup.Sampler(np.ones(1 << neardup.SKETCH_BITS, np.float32))
-    rng = random.Random(10)
     words = [f"w{i}" for i in range(300)]
-    a = " ".join(words)
-    b = " ".join(words[:200] + [f"x{rng.random()}" for _ in range(100)])
-    of, h, count = neardup.Shingler()([a, b])
-    x, y = ((h[of == i], sampler.weights(h[of == i], count[of == i])) for i in range(2))
-    assert abs(sampler.similarity(x, y) - jaccard(a, b)) < 1e-6
+    a, b = " ".join(words), " ".join(words[:200] + [f"x{i}" for i in range(100)])
+    assert abs(sampler.similarity(*weighted_sets([a, b], sampler)) - jaccard(a, b)) < 1e-6
+    x, y = weighted_sets(["a b c d e " * 4, "a b c d e " * 2], sampler)  # shingles occur 4 and 3 times, and 2 and 1
+    assert abs(sampler.similarity(x, y) - (2**0.5 + 4) / (2 + 4 * 3**0.5)) < 1e-6
+
+
+def test_representatives_of_clashing_rows(spark):
+    """A key with two texts, repeated rows, null keys, null texts, and columns of the operator's own names."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, 7), (1, two, 7), (2, one, 8), (3, two, 9), (3, two, 9), (None, one, 1), (None, "only here", 2), (None, "only here", 2), (4, None, 3), (5, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t long").withColumn("root", F.lit("x")).withColumn("key", F.lit(0)).withColumn("_key", F.lit(1))
+    kept = neardup.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (1, two), (None, "only here"), (4, None)], key=str)
+    assert sorted((r.doc_id, r.class_id) for r in neardup.classes(docs.where("doc_id is not null")).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (5, 4)]
+
+
+def test_very_long_texts_and_an_empty_table(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 2_000_000), (4, " " * 100_000), (5, None)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert neardup.representatives(docs.limit(0)).count() == 0
