@@ -9,20 +9,22 @@ Every pair in a bucket whose weighted Jaccard similarity is at least the thresho
 one class, and yet a bucket's pairs are never listed:
 
 1. Every bucket has a hub, a text that many others share buckets with, so that a whole family
-   has one or a few hubs. Each member is verified against the hub by the whole sets.
-2. Members linked to a hub are in one class. A pair (x, y) that isn't settled by that has one
-   member, say y, that isn't linked to the hub h. What x and y then must have in common follows
-   from their differences from h. With L1 distances and c = (1 - threshold) / (1 + threshold),
+   has one or a few hubs. Each member is verified against the hub by the whole sets. A hub's
+   group is done with once its members are in one component.
+2. The members of another group are compared with what most of them have in common, a set h
+   that needs no text of its own. With L1 distances and c = (1 - threshold) / (1 + threshold),
    x and y are linked exactly where |x - y| <= c (|x| + |y|), and |x - y| = |dx| + |dy| -
-   2 overlap(dx, dy) for the differences dx = x - h, dy = y - h. So a linked pair overlaps by
-   at least ``need`` in its differences, and by the prefix-filter argument x and y share one of
-   their first features (in an order common to all texts: added shingles first, rare ones
-   first) after which less than ``need`` is left. Members unlike the hub, which its differences
-   say little of, share a rare shingle of their own in the same way.
-3. These first features are the next round's buckets, within the hub's group only. Edits that
-   different copies made on their own share no feature, so a large family of copies comes to an
-   end here; what did change alike meets again, with a hub of its own. Hubs descend in a fixed
-   order of the texts, so the rounds end.
+   2 overlap(dx, dy) for the differences dx = x - h, dy = y - h. With p(x) = |dx| - c |x| they
+   are linked exactly where overlap(dx, dy) >= (p(x) + p(y)) / 2. If that is 0 or less, both are
+   linked to the member of least p as well. Otherwise, by the prefix-filter argument, x and y
+   share a feature of the difference after which (in an order common to all texts: added
+   shingles first, rare ones first) each has at least that much left. Members unlike h share a
+   rare shingle of their own in the same way.
+3. These features are new buckets, within the group only, which count where they hold members
+   of two components. Edits that different copies made on their own share no feature, so little
+   is left of a large family of copies; what did change alike meets again. While the new buckets
+   hold more pairs than the first ones had members, and as long as that lessens them, they get
+   hubs of their own as in 1. Then the pairs left are verified one by one.
 """
 
 from __future__ import annotations
@@ -48,6 +50,10 @@ CALL_TEXTS, CALL_BITS = 512, 9
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Marks a shingle that a text lacks and its hub has.
 LACKS = np.uint64(0xA5A5_5A5A_C3C3_3C3C)
+#: About so many members show what a group has in common.
+SHOWN = 64
+#: Bounds are widened by this share, which is more than rounding makes of them.
+ROUNDING = 1e-6
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,6 +201,9 @@ class Sampler:
         return Difference(a, b).similarity
 
 
+_NO_NAMES = np.zeros(0, np.int64)
+
+
 class Difference:
     """A weighted set x (hashes ascending, weights) seen from another one, its hub h."""
 
@@ -210,34 +219,24 @@ class Difference:
         self.added, self.lacking = self.size - least, self.hub_size - least
         self.similarity = least / max(1e-12, self.size + self.hub_size - least)
 
-    def features(self, idf: np.ndarray, threshold: float) -> np.ndarray:
-        """The first features of the difference, one of which any text linked to x shares, unless both are linked to the hub."""
-        c = (1 - threshold) / (1 + threshold)
-        whole = self.added + self.lacking
-        if self.similarity >= threshold:
-            need = (whole - c * (self.added - self.lacking)) / 2
-        else:
-            need = (whole - c * (self.hub_size + self.size)) / (1 + c)
+    def features(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The names of the difference's features in their order, and the weight of each and all after it."""
         own = self.x[1] - self.in_hub
         more, less = own > 0, own < 0
         gone = np.ones(len(self.h[0]), bool)
         gone[self.at[self.hit]] = False
         h = np.concatenate([self.x[0][more], self.x[0][less], self.h[0][gone]])
-        w = np.concatenate([own[more], -own[less], self.h[1][gone]])
+        w = np.concatenate([own[more], -own[less], self.h[1][gone]]).astype(np.float64)
         lacks = np.arange(len(h)) >= more.sum()
-        return _first(np.where(lacks, h ^ LACKS, h), w, np.lexsort((h, -idf[_counter(h)], lacks)), need)
+        order = np.lexsort((h, -idf[_counter(h)], lacks))
+        return np.where(lacks, h ^ LACKS, h)[order].view(np.int64), np.cumsum(w[order][::-1])[::-1]
 
     def rare(self, idf: np.ndarray, threshold: float) -> np.ndarray:
         """The rarest shingles of x itself, one of which any text linked to x has as well."""
         h, w = self.x
-        return _first(h, w, np.lexsort((h, -idf[_counter(h)])), threshold * self.size)
-
-
-def _first(names: np.ndarray, w: np.ndarray, order: np.ndarray, need: float) -> np.ndarray:
-    """The names in ``order`` until the weights of the others are less than ``need`` (with a margin for rounding)."""
-    w = w[order].astype(np.float64)
-    left = w.sum() - np.cumsum(w)
-    return names[order[: int(np.searchsorted(-left, -need * (1 - 1e-6) + 1e-6, "left")) + 1]].view(np.int64)
+        order = np.lexsort((h, -idf[_counter(h)]))
+        left = np.cumsum(w[order].astype(np.float64)[::-1])[::-1]
+        return h[order[left >= threshold * self.size * (1 - ROUNDING)]].view(np.int64)
 
 
 _SAMPLERS: dict[int, Sampler] = {}
@@ -277,7 +276,7 @@ def _buckets(signatures: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """The hub of each bucket of (key, t, score): its first member by score and t. (hub, t, score, on)
+    """The hub of each bucket of (key, t, score) is the member of greatest score: (hub, t, on).
 
     ``on`` is false where a bucket has one member beside the hub, so that no pair is left.
     """
@@ -286,8 +285,8 @@ def _pairs(members: DataFrame) -> DataFrame:
 
 
 def _against(members: DataFrame, best: DataFrame) -> DataFrame:
-    met = members.join(best, "key").select(F.col("best.t").alias("hub"), "t", "score", (F.col("n") > 2).alias("on"))
-    return met.where("hub <> t").groupBy("hub", "t").agg(F.first("score").alias("score"), F.bool_or("on").alias("on"))
+    met = members.join(best, "key").select(F.col("best.t").alias("hub"), "t", (F.col("n") > 2).alias("on"))
+    return met.where("hub <> t").groupBy("hub", "t").agg(F.bool_or("on").alias("on"))
 
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
@@ -305,41 +304,83 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
     return _against(members, best.join(inside, "key", "left").select("key", "best", (F.col("n") + 1 - F.coalesce("inside", F.lit(0))).alias("n")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
-    """(hub, t, score, on, s, near, far) of pairs (hub, t, score, on), by whole texts; near and far only where ``on``.
+def _sets(texts: pa.Array, sampler: Sampler) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted sets of at most ``CALL_TEXTS`` texts."""
+    of, h, count = shingles(texts)
+    w, cuts = sampler.weights(h, count), np.searchsorted(of, np.arange(len(texts) + 1))
+    return [(h[a:b], w[a:b]) for a, b in zip(cuts, cuts[1:])]
 
-    Two linked texts differ by 1 - threshold at most in their similarity to a hub, so both are
-    at least ``low`` (``near``: they share a feature of the difference) or both below ``high``.
-    """
-    low, high = threshold / 2, threshold / 2 + (1 - threshold)
+
+def _verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """(hub, t, s) of pairs (hub, t), by whole texts. A hub's text moves once for each task that has members of it."""
 
     def run(batches):
         sampler = _sampler(shared)
         for whole in batches:
             for at in range(0, whole.num_rows, CALL_TEXTS // 2):
                 batch = whole.slice(at, CALL_TEXTS // 2)
-                coded = batch.column(0).dictionary_encode()
-                of_hub = coded.indices.to_numpy(zero_copy_only=False)
+                of_hub = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 one = np.unique(of_hub, return_index=True)[1]
-                some = pa.concat_arrays([batch.column(4), batch.column(5).take(pa.array(one))])
-                of, h, count = shingles(some)
-                w, cuts = sampler.weights(h, count), np.searchsorted(of, np.arange(len(some) + 1))
-                sets = [(h[a:b], w[a:b]) for a, b in zip(cuts, cuts[1:])]
-                s, near, far = [], [], []
-                for i, (j, on) in enumerate(zip(of_hub, batch.column(3).to_pylist())):
-                    d = Difference(sets[i], sets[batch.num_rows + j])
-                    s.append(d.similarity)
-                    near.append(d.features(sampler.idf, threshold) if on and d.similarity >= low else _NO_NAMES)
-                    far.append(d.rare(sampler.idf, threshold) if on and d.similarity < high else _NO_NAMES)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(s, pa.float64()), _lists(near), _lists(far)], names=["hub", "t", "score", "on", "s", "near", "far"])
-
-    with_text = pairs.join(texts, "t")
+                sets = _sets(pa.concat_arrays([batch.column(2), batch.column(3).take(pa.array(one))]), sampler)
+                s = [Difference(sets[i], sets[batch.num_rows + j]).similarity for i, j in enumerate(of_hub)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["hub", "t", "s"])
+
+    with_text = pairs.select("hub", "t").join(texts, "t")
     of_hubs = texts.join(pairs.select(F.col("hub").alias("t")).distinct(), "t", "left_semi").select(F.col("t").alias("hub"), F.col("text").alias("hub_text"))
-    full = with_text.join(of_hubs, "hub").select("hub", "t", "score", "on", "text", "hub_text")
-    return map_batches(full, run, "hub binary, t binary, score long, on boolean, s double, near array<long>, far array<long>")
+    full = with_text.join(of_hubs, "hub").select("hub", "t", "text", "hub_text")
+    return map_batches(full, run, "hub binary, t binary, s double")
 
 
-_NO_NAMES = np.zeros(0, np.int64)
+def _in_common(groups: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """(hub, names, weights) of groups (hub, t): the shingles of most of about ``SHOWN`` members. Any set would do for right results."""
+
+    def common(table: pa.Table) -> pa.Table:
+        sampler, sets = _sampler(shared), []
+        for _, some in _calls(table.column(1).combine_chunks()):
+            sets += _sets(some, sampler)
+        h, w = (np.concatenate(x) for x in zip(*sets))
+        order = np.lexsort((w, h))
+        h, w = h[order], w[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(h)])
+        most = count * 2 > len(sets)
+        middle = (first + count // 2)[most]
+        return pa.table({"hub": table.column(0).slice(0, 1), "names": pa.array([h[first[most]].tobytes()], pa.binary()), "weights": pa.array([w[middle].tobytes()], pa.binary())})
+
+    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    some = groups.join(sizes, "hub").where(F.pmod(F.xxhash64("t"), F.col("n")) < SHOWN).select("hub", "t").join(texts, "t")
+    return some.select("hub", "text").groupBy("hub").applyInArrow(common, "hub binary, names binary, weights binary")
+
+
+def _differences(groups: DataFrame, common: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """(hub, t, comp, p, near, far) of groups (hub, t, comp): features of the difference (f, left), and rare shingles.
+
+    Two linked texts differ by 1 - threshold at most in their similarity to a set, so both are at
+    least ``low`` (``near``) or both below ``high`` (``far``).
+    """
+    low, high, c = threshold / 2, threshold / 2 + (1 - threshold), (1 - threshold) / (1 + threshold)
+
+    def run(batches):
+        sampler = _sampler(shared)
+        for whole in batches:
+            for at in range(0, whole.num_rows, CALL_TEXTS):
+                batch = whole.slice(at, CALL_TEXTS)
+                sets, p, near, far, hubs = _sets(batch.column(3), sampler), [], [], [], {}
+                for x, hub, names, weights in zip(sets, *(batch.column(i).to_pylist() for i in (0, 4, 5))):
+                    if hub not in hubs:
+                        hubs[hub] = np.frombuffer(names or b"", np.uint64), np.frombuffer(weights or b"", np.float32)
+                    d = Difference(x, hubs[hub])
+                    p.append(d.added + d.lacking - c * d.size)
+                    near.append(d.features(sampler.idf) if d.similarity >= low else (_NO_NAMES, np.zeros(0)))
+                    far.append(d.rare(sampler.idf, threshold) if d.similarity < high else _NO_NAMES)
+                ends = pa.array(np.cumsum([0, *(len(f) for f, _ in near)]), pa.int32())
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([_NO_NAMES, *(f for f, _ in near)])), pa.array(np.concatenate([np.zeros(0), *(x for _, x in near)]))], names=["f", "left"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in range(3)), pa.array(p, pa.float64()), pa.ListArray.from_arrays(ends, pairs), _lists(far)], names=["hub", "t", "comp", "p", "near", "far"]
+                )
+
+    full = groups.join(texts, "t").join(common, "hub", "left").select("hub", "t", "comp", "text", "names", "weights")
+    return map_batches(full, run, "hub binary, t binary, comp binary, p double, near array<struct<f:long,left:double>>, far array<long>")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -347,15 +388,41 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, _NO_NAMES])))
 
 
-def _next(group: DataFrame, roots: DataFrame) -> DataFrame:
-    """The next buckets (key, t, score) of groups (hub, t, score, near, far): features shared by members of two components."""
-    placed = group.join(roots, "t", "left").withColumn("comp", F.coalesce("root", "t")).drop("root")
+def _next(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of groups as by `_differences`: the members sure to be linked to the one of least p, and the next buckets.
+
+    The first are pairs (hub, t, on), the second (key, side, t, comp, p, left, score), as far as
+    they hold pairs of two components. A pair counts in a bucket where its sides are 0, or 1 (in
+    the component of the one of least p) and 2 (not in it).
+    """
+    least = groups.groupBy("hub").agg(F.min(F.struct("p", "t", "comp")).alias("m"))
+    placed = groups.join(least, "hub").withColumn("sure", F.col("p") + F.col("m.p") <= 1e-9)
+    sure = placed.where("sure and t <> m.t and comp <> m.comp").select(F.col("m.t").alias("hub"), "t").distinct().withColumn("on", F.lit(False))
+    # those sure to be linked count as of the same component from here on
+    placed = placed.withColumn("comp", F.when(F.col("sure"), F.col("m.comp")).otherwise(F.col("comp")))
+    others = placed.where("comp <> m.comp").groupBy("hub").agg(F.min("p").alias("q"))
+    placed = placed.join(others, "hub")
+    inside, wide = F.col("comp") == F.col("m.comp"), 1 - ROUNDING
+
+    def buckets(kind: int, side: int, other):
+        """Features of which a pair with a member whose p is at least ``other`` may share the first."""
+        some = F.filter("near", lambda x: x["left"] >= (F.col("p") + other) / 2 * wide - ROUNDING)
+        return F.transform(some, lambda x: F.struct(F.xxhash64("hub", F.lit(kind), x["f"]).alias("key"), F.lit(side).alias("side"), x["left"].alias("left")))
+
+    rare = F.transform("far", lambda f: F.struct(F.xxhash64("hub", F.lit(3), f).alias("key"), F.lit(0).alias("side"), F.lit(float("inf")).alias("left")))
+    near = F.when(inside, buckets(2, 1, F.col("q"))).otherwise(F.concat(buckets(1, 0, F.col("q")), buckets(2, 2, F.col("m.p"))))
+    rows = placed.select(F.explode(F.concat(near, rare)).alias("b"), "t", "comp", "p").select("b.*", "t", "comp", "p", (-F.col("p")).alias("score"))
     two = (F.min("comp") != F.max("comp")).alias("two")
-    open_ = placed.groupBy("hub").agg(two).where("two").select("hub")
-    names = F.concat(F.transform("near", lambda f: F.xxhash64("hub", F.lit(1), f)), F.transform("far", lambda f: F.xxhash64("hub", F.lit(2), f)))
-    rows = placed.join(open_, "hub", "left_semi").select(F.explode(names).alias("key"), "t", "score", "comp")
-    live = rows.groupBy("key").agg(two).where("two").select("key")
-    return rows.join(live, "key", "left_semi").select("key", "t", "score")
+    live = rows.groupBy("key").agg(two, F.min("side").alias("lo"), F.max("side").alias("hi")).where("two and (hi = 0 or lo < hi)")
+    return sure, rows.join(live.select("key"), "key", "left_semi")
+
+
+def _one_by_one(members: DataFrame) -> DataFrame:
+    """The pairs (hub, t, on) that count in buckets as by `_next` and have enough left to be linked."""
+    other = members.select("key", *(F.col(c).alias(f"{c}_") for c in ("side", "t", "comp", "p", "left")))
+    met = members.join(other, "key").where("comp <> comp_ and ((side = 0 and t < t_) or side < side_)")
+    enough = F.least("left", "left_") >= (F.col("p") + F.col("p_")) / 2 * (1 - ROUNDING) - ROUNDING
+    return met.where(enough).select(F.greatest("t", "t_").alias("hub"), F.least("t", "t_").alias("t")).distinct().withColumn("on", F.lit(False))
 
 
 def links(buckets: DataFrame, texts: DataFrame, shared, threshold: float = THRESHOLD) -> DataFrame:
@@ -363,20 +430,30 @@ def links(buckets: DataFrame, texts: DataFrame, shared, threshold: float = THRES
 
     The classes are the components of all pairs that share a bucket and reach the threshold.
     """
-    scratch, known, members = Scratch(texts.sparkSession), None, None
+    scratch = Scratch(texts.sparkSession)
+    met, known, last, most = scratch.keep(_first_pairs(buckets), "neardup-pairs"), None, None, None
     while True:
-        met = scratch.keep(_pairs(members) if known else _first_pairs(buckets), "neardup-pairs")
-        if met.isEmpty():
-            break
-        # a pair met again where more than it is at stake needs its features as well
-        had = known.groupBy("hub", "t").agg(F.bool_or("on").alias("had")) if known else None
-        new = met if known is None else met.join(had, ["hub", "t"], "left").where("had is null or (on and not had)").drop("had")
-        found = scratch.keep(_verified(new, texts, shared, threshold), "neardup-verified")
+        new = met.select("hub", "t") if known is None else met.select("hub", "t").distinct().join(known, ["hub", "t"], "left_anti")
+        found = scratch.keep(_verified(new, texts, shared), "neardup-verified")
         known = found if known is None else known.unionByName(found)
-        roots = scratch.keep(components(known.where(F.col("s") >= threshold).select(F.col("hub").alias("a"), F.col("t").alias("b"))), "neardup-roots")
-        group = met.where("on").select("hub", "t").join(known.where("on").drop("s", "on"), ["hub", "t"])
-        members = scratch.keep(_next(group, roots), "neardup-members")
-    out = stored(components(known.where(F.col("s") >= threshold).select(F.col("hub").alias("a"), F.col("t").alias("b"))), "neardup-roots") if known else None
+        roots = scratch.keep(components(known.where(F.col("s") >= threshold - ROUNDING).select(F.col("hub").alias("a"), F.col("t").alias("b"))), "neardup-roots")
+        if last == "one by one":
+            break
+        placed = met.where("on").join(roots, "t", "left").select("hub", "t", F.coalesce("root", "t").alias("comp"))
+        open_ = placed.groupBy("hub").agg((F.min("comp") != F.max("comp")).alias("two")).where("two").select("hub")
+        groups = scratch.keep(placed.join(open_, "hub", "left_semi"), "neardup-groups")
+        if groups.isEmpty():
+            break
+        common = scratch.keep(_in_common(groups, texts, shared), "neardup-common")
+        sure, members = _next(scratch.keep(_differences(groups, common, texts, shared, threshold), "neardup-differences"))
+        members = scratch.keep(members, "neardup-members")
+        sizes = members.groupBy("key").agg(*(F.sum((F.col("side") == k).cast("long")).alias(f"n{k}") for k in range(3)))
+        pairs = sizes.agg(F.sum(F.expr("n0 * (n0 - 1) div 2 + n1 * n2"))).first()[0] or 0
+        most = most or met.count()
+        direct = pairs <= most or (last is not None and pairs >= last)  # few, or hubs don't lessen them
+        last = "one by one" if direct else pairs
+        met = scratch.keep((_one_by_one(members) if direct else _pairs(members)).unionByName(sure), "neardup-pairs")
+    out = stored(roots, "neardup-roots")
     scratch.drop_all_but()
     return out
 
@@ -435,8 +512,7 @@ def _classed(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
     some = rows.join(need, (rows["t"] == need["t"]) & rows["_key"].eqNullSafe(need["k"]), "left_semi").select("t", "text")
     texts = scratch.keep(some.groupBy("t").agg(F.first("text").alias("text")), "neardup-texts")
     roots = links(buckets, texts, shared, threshold)
-    of = signed.select("_key", "t")
-    of = of.join(roots, "t", "left") if roots is not None else of.withColumn("root", F.lit(None).cast("binary"))
+    of = signed.select("_key", "t").join(roots, "t", "left")
     out = stored(of.select("_key", "t", F.coalesce("root", "t").alias("root")), "neardup-classes")
     scratch.drop_all_but()
     shared.unpersist()
