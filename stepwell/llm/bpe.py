@@ -30,6 +30,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
+from .frames import at_task_end
+
 #: The pre-token pattern of the byte-level vocabulary (a fixed value of its format).
 PRETOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -37,8 +39,8 @@ PRETOKEN = regex.compile(
 SPACE = regex.compile(r"\p{White_Space}")
 PATTERN_AHEAD = 3
 BLOCK_CHARS = 1 << 16
-#: Entries of each of the two generations of a memo (pieces, words).
-MEMO_ENTRIES = 400_000
+#: Entries of each of the two generations of a memo (pieces, words); a task drops them when it ends.
+MEMO_ENTRIES = 150_000
 NEVER = 1 << 60
 NONE = (1 << 31) - 1
 #: Odd multipliers of the two places of a pair.
@@ -243,6 +245,9 @@ class _Kept(dict):
             self[key] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
     def fill(self, keys: list[str], ids: list[np.ndarray], dtype: np.dtype) -> None:
         if len(self) + len(keys) > self.entries:
@@ -357,8 +362,9 @@ _TABLES: dict[str, MergeTable] = {}
 
 
 def table(path: str) -> MergeTable:
-    """One table for each path and worker process."""
+    """One table, of one path, for each worker process."""
     if path not in _TABLES:
+        _TABLES.clear()
         _TABLES[path] = MergeTable(path)
     return _TABLES[path]
 
@@ -367,7 +373,15 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder, with its memo, for each path and worker process."""
+    """One encoder, of one path, for each worker process."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(table(path))
     return _ENCODERS[path]
+
+
+@at_task_end
+def _forget() -> None:
+    for e in _ENCODERS.values():
+        e.words.forget()
+        e.memo.forget()

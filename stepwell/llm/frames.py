@@ -16,9 +16,10 @@ _LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sq
 _AT_END: list[Callable[[], None]] = []
 
 
-def at_task_end(clear: Callable[[], None]) -> None:
+def at_task_end(clear: Callable[[], None]) -> Callable[[], None]:
     """Register a function that frees a module's memo; every task of `map_batches` calls all of them when it ends."""
     _AT_END.append(clear)
+    return clear
 
 
 def _number(value: str) -> int:

@@ -8,31 +8,32 @@ that length, gives the k-th place to the document of rank k (so no two claim one
 updates the gaps and repeats. That is what best-fit decreasing does one document at a time.
 
 Ranks are found without a global sort: every task numbers its own pieces of each length, and
-the counts of (length, task) give each task's offset. Only the runs reach the driver:
+the counts of (length, task), joined by a shuffle, give each task's offset. Only the runs reach the driver:
 ``capacity`` rows in, and out a plan whose rows are bounded by ``12 * 3 * capacity``, because
 a superstep adds three runs at most and a run's gap falls by half or more whenever it is used.
 """
 
 from __future__ import annotations
 
-import struct
 import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .frames import map_batches, stored, text_or_empty
+from .frames import at_task_end, map_batches, stored, text_or_empty
 
-#: Entries of each of the two generations of the memo of words.
-MEMO_ENTRIES = 300_000
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Entries of the memo of words and of that of tokens within words, which are dropped when full and with the task.
+MEMO_ENTRIES, LONGEST_KEPT = 150_000, 64
+#: Python and Arrow take these four control characters for white space; the tokenizer keeps them.
+SEPARATORS = "[\x1c-\x1f]"
 SPACES = regex.compile(r"\p{White_Space}+")
 #: The token pattern within words (a fixed value of the tokenizer's format).
 TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -52,13 +53,10 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokens: dict[str, bytes] = {}  # lower-case tokens within words
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Python takes four control characters for white space that the tokenizer keeps."""
-        return text.split() if not SEPARATORS.search(text) else [w for w in SPACES.split(text) if w]
+    def forget(self) -> None:
+        self.tokens, self.words = {}, {}
 
     @staticmethod
     def _lower(word: str) -> str:
@@ -81,27 +79,48 @@ class WordEncoder:
         out.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in rest)
         return out
 
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (and the last one's end)."""
+        split = pc.utf8_split_whitespace(texts)
+        if pc.any(pc.match_substring_regex(texts, SEPARATORS)).as_py():
+            split = pa.array(([w for w in SPACES.split(t) if w] for t in texts.to_pylist()), pa.list_(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        missing = [w for w in distinct if w not in self.words]
+        if len(self.words) + len(missing) > MEMO_ENTRIES:
+            self.words, missing = {}, distinct
+        self.words.update(self._learn(missing))
+        ids = [self.words[w] for w in distinct]
+        for w in missing:
+            if len(w) > LONGEST_KEPT:
+                del self.words[w]
+        # each word's ids are taken from where they lie among those of the distinct words
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(begins[at] - (ends - n), n) + np.arange(n.sum())] if len(at) else flat
+        return out, np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        new, old = self.new, self.old
-        missing = [w for w in set().union(*split) if w not in new]
-        again = {w: old[w] for w in missing if w in old}
-        found = self._learn([w for w in missing if w not in again]) if len(again) < len(missing) else {}
-        new.update(again)
-        new.update(found)
-        out = [b"".join(map(new.__getitem__, s)) for s in split]
-        for w in [w for w in found if len(w) > 64]:
-            del new[w]
-        if len(new) > MEMO_ENTRIES:
-            self.old, self.new = new, {}
-        return out
+        ids, at = self(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+@at_task_end
+def _forget() -> None:
+    for e in _ENCODERS.values():
+        e.forget()
+
+
 def _encoder(path: str) -> WordEncoder:
+    """One encoder, of one path, for each worker process."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
@@ -113,29 +132,32 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, with_
     those of its length in its task), and ids (packed u32) if asked for. A null text is empty.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = struct.pack("<I", end)
 
     def run(batches):
         e, seen = _encoder(path), defaultdict(int)
         task = TaskContext.get().partitionId()
         for batch in batches:
-            out = defaultdict(list)
-            at = []
-            for row, ids in enumerate(e.encode(batch.column(1).to_pylist())):
-                ids += last
-                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    n = len(part) // 4
-                    at.append(row)
-                    for c, v in (("piece", k), ("start", start // 4), ("length", n), ("ids_crc32", zlib.crc32(part)), ("task", task), ("seq", seen[n])):
-                        out[c].append(v)
-                    if with_ids:
-                        out["ids"].append(part)
-                    seen[n] += 1
-            kinds = {"piece": pa.int32(), "length": pa.int32(), "task": pa.int32(), "ids": pa.binary()}
-            columns = {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()}
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns.values()], names=["doc_id", *columns])
+            if not batch.num_rows:
+                continue
+            ids, bounds = e(batch.column(1))
+            sizes = np.diff(bounds)
+            ids = np.insert(ids, bounds[1:], end)  # after each text's own
+            sizes, begins = sizes + 1, bounds[:-1] + np.arange(batch.num_rows)
+            number = -(-sizes // capacity)
+            row = np.repeat(np.arange(batch.num_rows), number)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+            start = piece * capacity
+            length = np.minimum(sizes[row] - start, capacity)
+            first = begins[row] + start
+            seq = np.empty(len(row), np.int64)
+            for i, n in enumerate(length.tolist()):
+                seq[i] = seen[n]
+                seen[n] += 1
+            raw = ids.tobytes()
+            parts = [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist())]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()), pa.array(map(zlib.crc32, parts), pa.int64()), pa.array(np.full(len(row), task), pa.int32()), pa.array(seq)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "seq"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
     return map_batches(
         docs.select("doc_id", text_or_empty()),
@@ -194,7 +216,7 @@ def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
     sort = np.argsort(order)
     shared = spark.sparkContext.broadcast({"order": order[sort], **{c: v[sort] for c, v in rows.items()}})
     before = per_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = found.join(before, ["length", "task"])
+    ranked = found.join(before.hint("merge"), ["length", "task"])  # a row for each length of each task: it grows with the tasks, so it isn't broadcast
     names = [f.name for f in found.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
 
