@@ -173,12 +173,19 @@ class MergeTable:
         return np.where(keys[i] == k, ranks[i], np.where(keys[j] == k, ranks[j], NONE))
 
     def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """`merge` of many short words at once: each round makes the next merge of every word."""
+        """`merge` of many short words at once."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids, counts = self.merge_flat(np.frombuffer(b"".join(words), np.uint8), sizes)
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+    def merge_flat(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`merge` of words given by their bytes, one after the other: all ids, and how many each word has.
+
+        Each round makes the next merge of every word.
+        """
         ids, ends = np.array(self.base, np.int32)[raw], np.cumsum(sizes) - 1
         ids[ends] = np.array(self.last, np.int32)[raw[ends]]
-        of, merged = np.repeat(np.arange(len(words)), sizes), np.array(self.merged, np.int32)
+        of, merged = np.repeat(np.arange(len(sizes)), sizes), np.array(self.merged, np.int32)
         rank = np.full(len(ids), NONE, np.int32)
         rank[:-1] = np.where(of[1:] == of[:-1], self._ranks(ids[:-1], ids[1:]), NONE)
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -206,8 +213,7 @@ class MergeTable:
                 same = (of[here_next] == of[here]) & (here_next > here)
                 rank[here] = np.where(same, self._ranks(ids[here], ids[here_next]), NONE)
         of, ids = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        order = np.argsort(of, kind="stable")
-        return np.split(ids[order], np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
+        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(sizes))
 
     def pretoken(self, token: str) -> Iterator[int]:
         """Ids of one pre-token of any length, window by window."""

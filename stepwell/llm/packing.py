@@ -15,7 +15,6 @@ a superstep adds three runs at most and a run's gap falls by half or more whenev
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -28,22 +27,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .frames import at_task_end, map_batches, stored, text_or_empty
+from .frames import map_batches, stored, text_or_empty
 
-#: Entries of the memo of words and of that of tokens within words, which are dropped when full and with the task.
-MEMO_ENTRIES, LONGEST_KEPT = 150_000, 64
+#: Bytes of the texts that are encoded together: the more, the less often a word is merged again.
+CALL_BYTES = 8 << 20
 #: Python and Arrow take these four control characters for white space; the tokenizer keeps them.
 SEPARATORS = "[\x1c-\x1f]"
 SPACES = regex.compile(r"\p{White_Space}+")
+
+
+#: Words that Arrow's functions treat as the tokenizer does: letters whose classes, cases and forms no version of Unicode disputes.
+SAFE = "[!-~\u00c0-\u012f\u0131-\u0137\u0139-\u0148\u014a-\u017e\u0410-\u044f]{1,40}"
 #: The token pattern within words (a fixed value of the tokenizer's format).
-TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+SAFE_TOKENS = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\pL\pN]+)"
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _pieces_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, and how many each has."""
+    bounds = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8) if strings.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], np.diff(bounds).astype(np.int64)
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer that drops white space and treats words apart, as packed u32.
+    """Ids of texts by a tokenizer that drops white space and treats words apart.
 
-    Short words are merged here, many at once; the library takes the long ones and those that
-    may hold a special string.
+    The distinct words of many texts are split into tokens and these merged, many at once; the
+    library takes those that are long, hold a special string, or have uncommon characters.
+    Nothing is kept from one call to the next.
     """
 
     def __init__(self, path: str):
@@ -52,32 +69,26 @@ class WordEncoder:
         self.tokenizer, self.table = Tokenizer.from_file(path), bpe.table(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokens: dict[str, bytes] = {}  # lower-case tokens within words
-        self.words: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        self.tokens, self.words = {}, {}
-
-    @staticmethod
-    def _lower(word: str) -> str:
-        """NFC, then lower case letter by letter (Python alone would make a final sigma of the last one)."""
-        word = word if word.isascii() else unicodedata.normalize("NFC", word)
-        return word.lower() if "\u03a3" not in word else "".join(map(str.lower, word))
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain, rest = [], []
-        for w in words:
-            (rest if len(w) > 40 or "<|" in w or not (w.isascii() or w.isprintable()) else plain).append(w)
-        split = [(low,) if (low := self._lower(w)).isalpha() and low.isascii() else TOKENS.findall(low) for w in plain]
-        need = list({t for some in split for t in some if t not in self.tokens})
-        if len(self.tokens) + len(need) > MEMO_ENTRIES:
-            self.tokens, need = {}, list({t for some in split for t in some})
-        for at in range(0, len(need), 20_000):
-            some = need[at : at + 20_000]
-            self.tokens.update((t, ids.astype("<u4").tobytes()) for t, ids in zip(some, self.table.merge_many([t.encode() for t in some])))
-        out = {w: self.tokens[s[0]] if len(s) == 1 else b"".join(map(self.tokens.__getitem__, s)) for w, s in zip(plain, split)}
-        out.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in rest)
-        return out
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words: one pool of ids, and where in it each word's begin and how many they are."""
+        safe = pc.and_not(pc.match_substring_regex(words, f"^{SAFE}$"), pc.match_substring(words, "<|"))
+        is_safe = safe.to_numpy(zero_copy_only=False).astype(bool)
+        some = words.filter(safe)
+        split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(some), SAFE_TOKENS, r"\1 ")))
+        tokens = split.flatten().dictionary_encode()
+        ids, counts = self.table.merge_flat(*_pieces_of(tokens.dictionary))
+        at = tokens.indices.to_numpy(zero_copy_only=False)
+        starts = np.cumsum(counts) - counts
+        pool = ids[_ragged(starts[at], counts[at])].astype("<u4")
+        # a word's ids end where those of its last token do
+        ends = np.r_[0, np.cumsum(counts[at])][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        rest = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4") for w in words.filter(pc.invert(safe)).to_pylist()]
+        begins, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begins[is_safe], sizes[is_safe] = ends[:-1], np.diff(ends)
+        sizes[~is_safe] = [len(x) for x in rest]
+        begins[~is_safe] = len(pool) + np.cumsum(sizes[~is_safe]) - sizes[~is_safe]
+        return np.concatenate([pool, *rest]) if rest else pool, begins, sizes
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (and the last one's end)."""
@@ -85,23 +96,12 @@ class WordEncoder:
         if pc.any(pc.match_substring_regex(texts, SEPARATORS)).as_py():
             split = pa.array(([w for w in SPACES.split(t) if w] for t in texts.to_pylist()), pa.list_(pa.string()))
         coded = split.flatten().dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        missing = [w for w in distinct if w not in self.words]
-        if len(self.words) + len(missing) > MEMO_ENTRIES:
-            self.words, missing = {}, distinct
-        self.words.update(self._learn(missing))
-        ids = [self.words[w] for w in distinct]
-        for w in missing:
-            if len(w) > LONGEST_KEPT:
-                del self.words[w]
-        # each word's ids are taken from where they lie among those of the distinct words
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        n = sizes[at]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(begins[at] - (ends - n), n) + np.arange(n.sum())] if len(at) else flat
-        return out, np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        if not len(at):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        pool, begins, sizes = self._learn(coded.dictionary)
+        bounds = np.r_[0, np.cumsum(sizes[at])][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return pool[_ragged(begins[at], sizes[at])], bounds
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, at = self(pa.array(texts, pa.string()))
@@ -111,12 +111,6 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-@at_task_end
-def _forget() -> None:
-    for e in _ENCODERS.values():
-        e.forget()
-
-
 def _encoder(path: str) -> WordEncoder:
     """One encoder, of one path, for each worker process."""
     if path not in _ENCODERS:
@@ -125,6 +119,19 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _joined(batches):
+    """Batches of at least ``CALL_BYTES``, put together of small ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CALL_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: its ids, then ``end``, cut every ``capacity`` ids.
 
@@ -136,9 +143,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, with_
     def run(batches):
         e, seen = _encoder(path), defaultdict(int)
         task = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _joined(batches):
             ids, bounds = e(batch.column(1))
             sizes = np.diff(bounds)
             ids = np.insert(ids, bounds[1:], end)  # after each text's own
