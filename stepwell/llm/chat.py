@@ -80,7 +80,10 @@ def windows(turns: DataFrame, path: str, budget: int = 1024, history: int = 2, h
     Columns: conv_id, block and number (their order), text, repeated (turns at the start that an
     earlier window has as new), tokens, and loss (array of start and end, in characters of text).
     Nulls: a role or text counts as empty, a turn comes first, a conv_id is a conversation of its
-    own. Rows of one turn number are ordered by role and text, and repeated rows are turns too.
+    own. Rows of one turn number are ordered by role and text, and repeated rows are turns too. A
+    turn's tokens are counted apart from its neighbours', which the tokenizer may join at their
+    marks. A conversation is laid out in blocks of ``BLOCK_TURNS`` turn numbers, at whose ends a
+    window ends as well; rows that share a turn number are laid out by one task.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -91,7 +94,7 @@ def windows(turns: DataFrame, path: str, budget: int = 1024, history: int = 2, h
     rows = rows.withColumn("_own", block)
     rows = rows.withColumn("block", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))).withColumn("old", F.col("block") > F.col("_own"))
     dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
-    dealt = dealt.select("conv_id", "block", "old", "role", "text", "system_text", F.coalesce(F.col("turn") == F.col("system_turn"), F.lit(False)).alias("may_be_system"))
+    dealt = dealt.select("conv_id", "block", "old", "role", "text", "system_text", (F.col("turn").eqNullSafe(F.col("system_turn")) & F.col("system_text").isNotNull()).alias("may_be_system"))
 
     def lay_out(key: tuple, group: list[tuple], e: bpe.Encoder) -> Iterator[tuple]:
         if all(old for old, *_ in group):
@@ -144,7 +147,8 @@ def windows(turns: DataFrame, path: str, budget: int = 1024, history: int = 2, h
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from its windows: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows.
 
-    Hashes run over a conversation's windows in order and hold no text, however long it is.
+    Hashes run over a conversation's windows in order and hold no text, however long it is. They
+    are digests of an ordered whole, so one task reads all windows of a conversation.
     """
     kind = formatted.schema["conv_id"].dataType.simpleString()
     ordered = formatted.select("conv_id", "block", "number", "text", "repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "block", "number")

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .frames import map_batches, text_or_empty
 
 UNKNOWN = "und"
-#: Bounds of the training sample: rows in all (as many for each language), languages (the most frequent), characters of a row's text; n-grams that count.
-SAMPLE_ROWS, MOST_LANGUAGES, MOST_CHARS, MOST_GRAMS = 1600, 64, 20_000, 8192
+#: Bounds of the training sample: rows in all (as many for each language, but at least so many), characters of a row's text; n-grams that count.
+SAMPLE_ROWS, LEAST_ROWS, MOST_CHARS, MOST_GRAMS = 1600, 20, 20_000, 8192
+#: A text is of none of the languages if so small a share of its byte pairs is known, and smaller than that of any text of the sample.
+LEAST_KNOWN = 0.3
 #: Hash bits of trigrams; pairs of bytes have their own places.
 TRIGRAM_BITS = 14
 DIMENSIONS = (1 << 16) + (1 << TRIGRAM_BITS)
@@ -85,6 +87,19 @@ class Model:
         right = (np.sign(scaled @ w + b) == want).astype(np.float64)
         trust = np.array([right[labels == i].mean(0) if (labels == i).any() else np.ones(len(b)) for i in range(len(languages))])
         self.trust = (trust + 1e-9) / (trust + 1e-9).sum(1, keepdims=True)
+        self.known = np.zeros(1 << 16, bool)
+        self.known[seen[seen < 1 << 16]] = True
+        self.least = min(LEAST_KNOWN, *(self.share(t) for t in texts))
+
+    def share(self, text: str) -> float:
+        """Of the pairs of bytes of a text, how many are among the model's n-grams."""
+        raw, n = _bytes(text).astype(np.uint32), 0
+        for at in range(0, len(raw) - 1, SLICE_BYTES):
+            n += int(self.known[raw[at : at + SLICE_BYTES + 1][:-1] << 8 | raw[at + 1 : at + SLICE_BYTES + 1]].sum())
+        return n / max(1, len(raw) - 1)
+
+    def _losses(self, text: str) -> np.ndarray:
+        return (self.trust * np.logaddexp(0, -self.code * self.margins(text))).sum(1)
 
     def margins(self, text: str) -> np.ndarray:
         raw, total, n = _bytes(text), self.bias * 0, 0
@@ -96,16 +111,17 @@ class Model:
             n += len(pairs) + len(triples)
         return total / max(1, n) + self.bias
 
-    def predict(self, text: str) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1, and whether a second language is nearly as close."""
+    def predict(self, text: str) -> tuple[str, float, bool, bool]:
+        """Language, score from 0 to 1, whether a second language is nearly as close, and whether the text is rejected as of none."""
         if not LETTER.search(text):
-            return UNKNOWN, 0.0, True
-        loss = (self.trust * np.logaddexp(0, -self.code * self.margins(text))).sum(1)
+            return UNKNOWN, 0.0, True, True
+        loss = self._losses(text)
+        unlike = self.share(text) < self.least
         order = np.argsort(loss, kind="stable")
         if len(order) == 1:
-            return self.languages[0], float(np.exp(-loss[0])), False
+            return self.languages[0], float(np.exp(-loss[0])), False, unlike
         z = np.exp(-(loss - loss[order[0]]) * self.code.shape[1])
-        return self.languages[order[0]], float(1 / z.sum()), bool(loss[order[1]] - loss[order[0]] < AMBIGUOUS)
+        return self.languages[order[0]], float(1 / z.sum()), bool(loss[order[1]] - loss[order[0]] < AMBIGUOUS), unlike
 
 
 def split_of(key: str = "doc_id", parts: int = 4, held: int = 2):
@@ -116,14 +132,13 @@ def split_of(key: str = "doc_id", parts: int = 4, held: int = 2):
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model | None:
     """A model from a bounded sample of the labelled rows outside the held-out part; None without any."""
     rows = docs.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~split_of(key) & (F.length(text) <= MOST_CHARS) & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row for each language
     if not counts:
         return None
     languages = sorted(counts)
-    chosen = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20))
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep |= (F.col(label) == name) & (chosen < int(min(1.0, SAMPLE_ROWS / len(counts) / n) * (1 << 20)))
+    wanted = max(LEAST_ROWS, SAMPLE_ROWS / len(counts))
+    shares = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, wanted / n) * (1 << 20)))))
+    keep = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < shares[F.col(label)]
     sample = rows.where(keep).select(label, text, F.xxhash64(F.col(key).cast("string")).alias("h")).toPandas().sort_values(["h", text])
     if sample.empty:
         return None
@@ -132,27 +147,29 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous, from whole texts alone.
+    """``docs`` with lang_pred, score, ambiguous and rejected, from whole texts alone.
 
-    A null text, one without letters, or any text without a model: ``und``, 0.0, true.
+    A null text, one without letters, or any text without a model: ``und``, 0.0, true, true.
+    Columns of these names are replaced; repeated rows are answered alike, an empty table gives
+    an empty one, and a text of any length is read in slices.
     """
-    names = ("lang_pred", "score", "ambiguous")
+    names = ("lang_pred", "score", "ambiguous", "rejected")
     kept = docs.drop(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, ambiguous boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, ambiguous boolean, rejected boolean"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            found = [m.predict(t) if m and t else (UNKNOWN, 0.0, True) for t in texts]
-            columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            found = [m.predict(t) if m and t else (UNKNOWN, 0.0, True, True) for t in texts]
+            columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return map_batches(kept, run, schema)
 
 
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """Per row: key, held_out, lang_pred, score, ambiguous, by a model learnt from ``docs`` themselves."""
+    """Per row: key, held_out, lang_pred, score, ambiguous, rejected, by a model learnt from ``docs`` themselves."""
     found = identify(docs.select(key, text_or_empty(text).alias(text)), learn(docs, key, text, label), key, text)
-    return found.select(key, split_of(key).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select(key, split_of(key).alias("held_out"), "lang_pred", "score", "ambiguous", "rejected")

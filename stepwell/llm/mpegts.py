@@ -99,17 +99,35 @@ def mux(payload: bytes, unit: int = UNIT_BYTES) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: bytes) -> bytes | None:
-    """The section that starts in a packet, or None if its checksum is wrong."""
-    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    at += 1 + packet[at]
-    length = (packet[at + 1] & 15) << 8 | packet[at + 2]
-    section = packet[at : at + 3 + length]
-    return section if crc32_mpeg(section[:-4]) == int.from_bytes(section[-4:], "big") else None
+def _section_of(packets: np.ndarray, pids: np.ndarray, pid: int) -> tuple[bytes | None, int]:
+    """The first section of a stream whose checksum is right, over as many packets as it takes, and the stream's continuity errors."""
+    own = packets[(pids == pid) & (packets[:, 3] & 0x10 > 0)]
+    found, part, lost, last = None, None, 0, None
+    for packet in map(bytes, own):
+        counter = packet[3] & 15
+        if last is not None and counter == last[3] & 15 and packet == last:
+            continue  # a packet may be sent twice
+        if last is not None and counter != (last[3] + 1) & 15:
+            lost, part = lost + 1, None
+        last = packet
+        if found is not None:
+            continue  # the rest is read for its counters only
+        body = packet[4 + (1 + packet[4] if packet[3] & 0x20 else 0) :]
+        if packet[1] & 0x40:
+            body, part = body[1 + body[0] :], b""
+        if part is None:
+            continue
+        part += body
+        size = 3 + ((part[1] & 15) << 8 | part[2]) if len(part) > 2 else len(part) + 1
+        if len(part) >= size:
+            if size > 6 and crc32_mpeg(part[: size - 4]) == int.from_bytes(part[size - 4 : size], "big"):
+                found = part[:size]
+            part = None
+    return found, lost
 
 
 def demux(media: bytes) -> dict:
-    """payload, pts (list), random_access (unit numbers), packets, lost (continuity errors), program, stream_type.
+    """payload, pts (list), random_access (unit numbers), packets, lost (continuity errors of all streams), program, stream_type.
 
     A stream whose tables are missing or damaged, or that isn't whole packets, raises ValueError.
     """
@@ -119,11 +137,11 @@ def demux(media: bytes) -> dict:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("a packet doesn't start with the sync byte")
     pid = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
-    pat = next((s for i in np.flatnonzero(pid == PAT_PID) if (s := _read_section(packets[i].tobytes()))), None)
+    pat, lost_pat = _section_of(packets, pid, PAT_PID)
     if pat is None:
         raise ValueError("no program association table")
     program, pmt_pid = int.from_bytes(pat[8:10], "big"), int.from_bytes(pat[10:12], "big") & 0x1FFF
-    pmt = next((s for i in np.flatnonzero(pid == pmt_pid) if (s := _read_section(packets[i].tobytes()))), None)
+    pmt, lost_pmt = _section_of(packets, pid, pmt_pid)
     if pmt is None:
         raise ValueError("no program map table")
     at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
@@ -133,7 +151,7 @@ def demux(media: bytes) -> dict:
     again = np.r_[False, (counters[1:] == counters[:-1]) & (es[1:] == es[:-1]).all(1)] if len(es) else np.zeros(0, bool)
     es = es[~again]  # a packet may be sent twice
     counters = es[:, 3].astype(np.int64) & 15
-    lost = int(((np.diff(counters) - 1) % 16 != 0).sum())
+    lost = lost_pat + lost_pmt + int(((np.diff(counters) - 1) % 16 != 0).sum())
     extra = es[:, 3] & 0x20 > 0
     start = np.where(extra, 5 + es[:, 4].astype(np.int64), 4)
     body = es[np.arange(PACKET) >= start[:, None]].tobytes()
@@ -162,7 +180,11 @@ def text_payload(text: str) -> bytes:
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A media column: key, n_bytes (of the text in UTF-8; null: 0), media (the transport stream)."""
+    """A media column: key, n_bytes (of the text in UTF-8; null: 0), media (the transport stream).
+
+    Repeated rows are stored as often as they occur; an empty table gives an empty one; other
+    columns are left out.
+    """
 
     def run(batches):
         for batch in batches:
@@ -175,25 +197,35 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def read(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What a media column holds, read back: digests, time stamps, random-access points, feature.
+    """What a media column holds, read back: digests, time stamps, random-access points, feature, status.
 
     The feature names the packets, units, random-access points, last time stamp, continuity
-    errors, and mean and spread of the payload's bytes.
+    errors, and mean and spread of the payload's bytes. ``status`` is ``ok``; or ``no media`` for
+    a null, or what is wrong with a stream that can't be read, and then what comes of the
+    payload is null. Repeated rows are read as often as they occur; an empty table gives an
+    empty one.
     """
 
     def run(batches):
         for batch in batches:
             rows = []
             for media in batch.column(2).to_pylist():
-                m = demux(media)
+                try:
+                    m, status = (demux(media), "ok") if media is not None else (None, "no media")
+                except (ValueError, IndexError) as e:
+                    m, status = None, str(e) if isinstance(e, ValueError) else "a damaged packet"
+                if m is None:
+                    size, sha = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+                    rows.append((None, None, None, size, sha, None, None, None, status))
+                    continue
                 p = m["payload"]
                 counts = np.bincount(np.frombuffer(p, np.uint8), minlength=256)
                 values = np.arange(256)
                 mean = (counts * values).sum() / max(1, len(p))
                 spread = ((counts * (values - mean) ** 2).sum() / max(1, len(p))) ** 0.5
                 feature = f"packets={m['packets']};units={len(m['pts'])};access={len(m['random_access'])};end={max(m['pts'], default=0)};lost={m['lost']};mean={mean:.4f};spread={spread:.4f}"
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, m["pts"], m["random_access"]))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, m["pts"], m["random_access"], status))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[key, "n_bytes", *NAMES])
 
@@ -201,8 +233,8 @@ def read(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     return map_batches(
         stored.select(key, "n_bytes", "media"),
         run,
-        f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>",
+        f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>, status string",
     )
 
 
-NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access"]
+NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access", "status"]

@@ -388,7 +388,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, _NO_NAMES])))
 
 
-def _next(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _next(groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of groups as by `_differences`: the members sure to be linked to the one of least p, and the next buckets.
 
     The first are pairs (hub, t, on), the second (key, side, t, comp, p, left, score), as far as
@@ -396,7 +396,8 @@ def _next(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     the component of the one of least p) and 2 (not in it).
     """
     least = groups.groupBy("hub").agg(F.min(F.struct("p", "t", "comp")).alias("m"))
-    placed = groups.join(least, "hub").withColumn("sure", F.col("p") + F.col("m.p") <= 1e-9)
+    # written out, so that adaptive execution may split a large group's rows in each join on the hub
+    placed = scratch.keep(groups.join(least, "hub"), "neardup-placed").withColumn("sure", F.col("p") + F.col("m.p") <= 1e-9)
     sure = placed.where("sure and t <> m.t and comp <> m.comp").select(F.col("m.t").alias("hub"), "t").distinct().withColumn("on", F.lit(False))
     # those sure to be linked count as of the same component from here on
     placed = placed.withColumn("comp", F.when(F.col("sure"), F.col("m.comp")).otherwise(F.col("comp")))
@@ -445,7 +446,7 @@ def links(buckets: DataFrame, texts: DataFrame, shared, threshold: float = THRES
         if groups.isEmpty():
             break
         common = scratch.keep(_in_common(groups, texts, shared), "neardup-common")
-        sure, members = _next(scratch.keep(_differences(groups, common, texts, shared, threshold), "neardup-differences"))
+        sure, members = _next(scratch.keep(_differences(groups, common, texts, shared, threshold), "neardup-differences"), scratch)
         members = scratch.keep(members, "neardup-members")
         sizes = members.groupBy("key").agg(*(F.sum((F.col("side") == k).cast("long")).alias(f"n{k}") for k in range(3)))
         pairs = sizes.agg(F.sum(F.expr("n0 * (n0 - 1) div 2 + n1 * n2"))).first()[0] or 0

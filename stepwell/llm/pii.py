@@ -6,8 +6,10 @@ letters stay letters of their case, separators stay; card numbers stay valid by
 digit, addresses stay addresses, names keep gender and script. All distinct entities of the
 corpus are checked: where two would get one surrogate, or one the text of a real entity, the
 later ones by canonical form take the next attempt until none collides. A name's gender is what
-all its titles in the corpus tell. Only entities with an attempt above 0, and those whose
-mentions have different titles, are joined to the texts; all others need no join.
+all its titles in the corpus tell. Family names are entities of their own, whether they stand
+alone or behind a given name, so "Mrs Smith" and "Dr Anna Smith" share theirs. Only entities
+with an attempt above 0, and those whose mentions have different titles, are joined to the
+texts; all others need no join.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stored, text_or_empty
+from .frames import Scratch, stored
 
 #: Titles by gender (fixed values), and names to choose from by gender and script.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "n": ["Dr", "Prof"]}
@@ -51,7 +53,8 @@ KINDS = {
     "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}])(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-MOST_ATTEMPTS = 60
+#: So many attempts in a row that settle no entity mean that a kind has more entities than its format has values.
+FRUITLESS_ATTEMPTS = 60
 
 
 def _hex_at(digest: Column, i: Column) -> Column:
@@ -122,50 +125,68 @@ def _valid_card(number: Column) -> Column:
     return F.concat(F.substr(number, F.lit(1), F.length(number) - 1), F.pmod(-sums, F.lit(10)).cast("string"))
 
 
+def _family_of(name: Column) -> Column:
+    """The last word of a name."""
+    return F.substring_index(name, " ", -1)
+
+
 def surrogates(key: str, mentions: Column) -> Column:
-    """For an array of (mention, attempt, title): the array with kind, canonical and surrogate added.
+    """For an array of (mention, attempt, title, family): an array of (mention, kind, canonical, surrogate).
 
     Each step is a transform of the one before, so that nothing is worked out twice. ``title``
-    (m, f or n) chooses names of that gender.
+    (m, f or n) chooses given names of that gender, and ``family`` is the attempt of the family
+    name behind a given one.
     """
 
     def then(array: Column, **more) -> Column:
         return F.transform(array, lambda x: F.struct(*[x[c].alias(c) for c in fields], *[f(x).alias(c) for c, f in more.items()]))
 
-    fields = ["mention", "attempt", "title"]
+    fields = ["mention", "attempt", "title", "family"]
     array = then(mentions, kind=lambda x: kind_of(x["mention"]))
     fields.append("kind")
     array = then(array, canonical=lambda x: canonical(x["kind"], x["mention"]))
     fields.append("canonical")
-    base = lambda x, part: F.sha2(F.concat_ws("\x1f", F.lit(key), x["kind"], x["canonical"], x["attempt"].cast("string"), F.lit(part)), 256)
-    array = then(array, digest=lambda x: F.concat(base(x, "1"), base(x, "2")))
-    fields.append("digest")
-    return F.transform(array, lambda x: F.struct(*[x[c].alias(c) for c in ("mention", "attempt", "kind", "canonical")], _surrogate(x["kind"], x["mention"], x["attempt"], x["title"], x["digest"]).alias("surrogate")))
+    of = lambda kind, form, attempt, part: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string"), F.lit(part)), 256)
+    own = lambda x, part: of(x["kind"], x["canonical"], x["attempt"], part)
+    given = lambda x: (x["kind"] == "name") & (F.instr(x["mention"], " ") > 0)
+    array = then(array, digest=lambda x: F.concat(own(x, "1"), own(x, "2")), behind=lambda x: F.when(given(x), of(x["kind"], _family_of(x["canonical"]), x["family"], "1")))
+    fields += ["digest", "behind"]
+    return F.transform(array, lambda x: F.struct(*[x[c].alias(c) for c in ("mention", "kind", "canonical")], _surrogate(x).alias("surrogate")))
+
 
+def _syllables(attempt: Column, script: Column, digest: Column) -> Column:
+    """What a name has beside a listed one after ``LISTED_ATTEMPTS``: a hundred times as many forms with each attempt."""
+    places = F.sequence(F.lit(2), 1 + F.least(F.greatest(attempt, F.lit(LISTED_ATTEMPTS)), F.lit(MOST_SYLLABLES)))
+    built = lambda k: F.initcap(F.array_join(F.transform(places, lambda i: _choice(SYLLABLES[k], _hex_at(digest, i))), ""))
+    return F.when(attempt >= LISTED_ATTEMPTS, F.concat(F.lit("-"), F.when(script == "cyrillic", built("cyrillic")).otherwise(built("latin")))).otherwise(F.lit(""))
 
-def _surrogate(kind: Column, mention: Column, attempt: Column, title: Column, digest: Column) -> Column:
+
+def _surrogate(x: Column) -> Column:
+    kind, mention, attempt, title, digest = (x[c] for c in ("kind", "mention", "attempt", "title", "digest"))
     at = F.instr(mention, "@")
     email = F.concat(_per_letter(F.regexp_replace(F.substr(mention, F.lit(1), at - 1), r"[^\x00-\x7f]", "x"), digest), F.lit("@"), F.right(digest, F.lit(6)), F.lit(".example.org"))
     ip = F.concat_ws(".", *[(F.pmod(_hex_at(digest, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)])
     card = _valid_card(F.concat(F.substr(mention, F.lit(1), F.lit(1)), _per_letter(F.substr(mention, F.lit(2), F.length(mention)), digest)))
     iban = F.concat(F.substr(mention, F.lit(1), F.lit(2)), _per_letter(F.substr(mention, F.lit(3), F.length(mention)), digest))
     aws = F.concat(F.lit("AKIA"), _per_letter(F.substr(mention, F.lit(5), F.length(mention)), digest))
-    script = F.when(mention.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    n1, n2 = (_hex_at(digest, F.lit(i)) for i in range(2))
-    given = reduce(lambda out, k: out.when(F.concat_ws(" ", title, script) == k, _choice(GIVEN[k], n1)), GIVEN, F.when(F.lit(False), F.lit("")))
-    family = F.when(script == "cyrillic", _choice(FAMILY["cyrillic"], n2)).otherwise(_choice(FAMILY["latin"], n2))
-    # a hundred times as many names with each attempt
-    places = F.sequence(F.lit(2), 1 + F.least(F.greatest(attempt, F.lit(LISTED_ATTEMPTS)), F.lit(MOST_SYLLABLES)))
-    built = lambda k: F.initcap(F.array_join(F.transform(places, lambda i: _choice(SYLLABLES[k], _hex_at(digest, i))), ""))
-    more = F.when(attempt >= LISTED_ATTEMPTS, F.concat(F.lit("-"), F.when(script == "cyrillic", built("cyrillic")).otherwise(built("latin")))).otherwise(F.lit(""))
-    name = F.when(F.instr(mention, " ") > 0, F.concat_ws(" ", given, F.concat(family, more))).otherwise(F.concat(family, more))
+    script_of = lambda name: F.when(name.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+
+    def family(name: Column, drawn: Column, times: Column) -> Column:
+        script, n = script_of(name), _hex_at(drawn, F.lit(1))
+        listed = F.when(script == "cyrillic", _choice(FAMILY["cyrillic"], n)).otherwise(_choice(FAMILY["latin"], n))
+        return F.concat(listed, _syllables(times, script, drawn))
+
+    script = script_of(F.substring_index(mention, " ", 1))
+    listed = reduce(lambda out, k: out.when(F.concat_ws(" ", title, script) == k, _choice(GIVEN[k], _hex_at(digest, F.lit(0)))), GIVEN, F.when(F.lit(False), F.lit("")))
+    full = F.concat_ws(" ", F.concat(listed, _syllables(attempt, script, digest)), family(_family_of(mention), x["behind"], x["family"]))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
         .when(kind == "phone", _per_letter(mention, digest, 10))
         .when(kind == "iban", iban)
-        .when(kind == "name", name)
+        .when((kind == "name") & (F.instr(mention, " ") > 0), full)
+        .when(kind == "name", family(mention, F.substr(digest, F.lit(1), F.lit(64)), attempt))
         .when(mention.rlike("^AKIA[0-9A-Z]{16}$"), aws)
         .when(kind == "secret", _per_letter(mention, digest, forward=True))
         .otherwise(_per_letter(mention, digest))
@@ -191,75 +212,106 @@ def found(text: Column) -> Column:
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """The distinct entities of a corpus: kind, canonical form, one mention (the least), title, and whether its mentions' titles differ.
 
-    The title is m or f where only that one is said of the entity anywhere, and n otherwise.
+    The title is m or f where only that one is said of the entity anywhere, and n otherwise. The
+    family name behind a given name is an entity too.
     """
     texts = docs.select(F.col(text).alias("_text"), found(F.col(text)).alias("_found")).where(F.size("_found") > 0)
     titled = texts.select("_found", F.split("_text", PATTERN, -1).alias("_gaps"))
     titled = titled.select(F.explode(F.transform("_found", lambda m, i: F.struct(m.alias("mention"), _title_of(F.try_element_at("_gaps", i + 1)).alias("title")))).alias("e"))
     mention = titled.groupBy("e.mention", "e.title").agg(F.count(F.lit(1)).alias("n"))
-    kinds = mention.withColumn("kind", kind_of(F.col("mention"))).withColumn("canonical", canonical(F.col("kind"), F.col("mention")))
+    kinds = mention.withColumn("kind", kind_of(F.col("mention")))
+    behind = kinds.where("kind = 'name' and instr(mention, ' ') > 0").select(_family_of(F.col("mention")).alias("mention"), F.lit("n").alias("title"), "kind")
+    kinds = kinds.select("mention", "title", "kind").unionByName(behind).withColumn("canonical", canonical(F.col("kind"), F.col("mention")))
     said = lambda g: F.bool_or(F.col("title") == g)
     own = F.when(said("m") & ~said("f"), F.lit("m")).when(said("f") & ~said("m"), F.lit("f")).otherwise(F.lit("n"))
     return kinds.groupBy("kind", "canonical").agg(F.min("mention").alias("mention"), own.alias("title"), (F.min("title") != F.max("title")).alias("mixed"))
 
 
+MOVED = "kind string, canonical string, attempt int, title string, family int"
+
+
+def _settled(scratch: Scratch, open_: DataFrame, taken: DataFrame, key: str) -> tuple[list[DataFrame], DataFrame]:
+    """The entities ``open_`` (with family) with attempts so that no two surrogates are equal and none is ``taken`` (kind, drawn); and all that is taken then.
+
+    Raises where a kind has more entities than its format has values.
+    """
+    open_, settled, attempt, fruitless, before = open_.withColumn("attempt", F.lit(0)), [], 0, 0, -1
+    while True:
+        one = surrogates(key, F.array(F.struct("mention", "attempt", "title", "family")))
+        tried = open_.withColumn("drawn", canonical(F.col("kind"), one[0]["surrogate"]))
+        tried = scratch.keep(tried, "pii-tried")
+        first = tried.groupBy("kind", "drawn").agg(F.min("canonical").alias("canonical"))
+        free = first.join(taken, ["kind", "drawn"], "left_anti").select("kind", "canonical", F.lit(True).alias("fits"))
+        tried = scratch.keep(tried.join(free, ["kind", "canonical"], "left"), "pii-attempt")
+        settled.append(tried.where("fits"))
+        taken = taken.unionByName(settled[-1].select("kind", "drawn"))
+        open_ = tried.where("fits is null").drop("fits", "drawn").withColumn("attempt", F.col("attempt") + 1)
+        left = open_.count()
+        if not left:
+            return settled, taken
+        fruitless = fruitless + 1 if left == before else 0
+        if fruitless >= FRUITLESS_ATTEMPTS:
+            raise ValueError("more entities of a kind than its format has values")
+        attempt, before = attempt + 1, left
+
+
 def collisions(known: DataFrame, key: str) -> DataFrame:
-    """Entities (from `entities`, stored) that need an attempt above 0 or are told titles that differ: kind, canonical, attempt, title.
+    """Entities (from `entities`, stored) that need an attempt above 0 or are told titles that differ: kind, canonical, attempt, title, family.
 
     Of entities with one surrogate the first by canonical form keeps it; one whose surrogate is
-    the text of a real entity never does. Raises if ``MOST_ATTEMPTS`` don't suffice.
+    the text of a real entity never does. Family names are settled first, then the names that
+    have one behind a given name, which keep it in every attempt.
     """
-    taken = known.select("kind", F.col("canonical").alias("drawn"))
-
-    def drawn(frame: DataFrame) -> DataFrame:
-        one = surrogates(key, F.array(F.struct("mention", "attempt", "title")))
-        return frame.withColumn("_s", one[0]["surrogate"]).withColumn("drawn", canonical(F.col("kind"), F.col("_s"))).drop("_s")
-
-    open_, moved = known.withColumn("attempt", F.lit(0)), []
-    for attempt in range(MOST_ATTEMPTS):
-        tried = drawn(open_)
-        first = F.row_number().over(Window.partitionBy("kind", "drawn").orderBy("canonical")) == 1
-        tried = tried.withColumn("first", first).join(taken.distinct().withColumn("used", F.lit(True)), ["kind", "drawn"], "left")
-        tried = stored(tried.withColumn("fits", F.col("first") & F.col("used").isNull()), "pii-attempt")
-        fitting = tried.where("fits")
-        moved.append((fitting if attempt else fitting.where("mixed")).select("kind", "canonical", "attempt", "title"))
-        open_ = tried.where("not fits").select("kind", "canonical", "mention", "title", "mixed", (F.col("attempt") + 1).alias("attempt"))
-        if open_.isEmpty():
-            break
-        taken = taken.unionByName(fitting.select("kind", "drawn"))
-    else:
-        raise ValueError(f"entities without a surrogate of their own after {MOST_ATTEMPTS} attempts")
-    empty = known.sparkSession.createDataFrame([], "kind string, canonical string, attempt int, title string")
-    return reduce(DataFrame.unionByName, moved, empty)
-
-
-def replace(docs: DataFrame, key: str, moved: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    scratch = Scratch(known.sparkSession)
+    full = (F.col("kind") == "name") & (F.instr("mention", " ") > 0)
+    alone, taken = _settled(scratch, known.where(~full).withColumn("family", F.lit(0)), known.select("kind", F.col("canonical").alias("drawn")), key)
+    families = reduce(DataFrame.unionByName, [f.where("kind = 'name'").select(F.col("canonical").alias("_family"), F.col("attempt").alias("family")) for f in alone])
+    names = known.where(full).withColumn("_family", _family_of(F.col("canonical"))).join(families, "_family", "left").drop("_family").withColumn("family", F.coalesce("family", F.lit(0)))
+    both, _ = _settled(scratch, scratch.keep(names, "pii-names"), taken, key)
+    moved = [f.where("attempt > 0 or mixed or family > 0").select(*(c.split()[0] for c in MOVED.split(", "))) for f in (*alone, *both)]
+    out = stored(reduce(DataFrame.unionByName, moved), "pii-moved")
+    scratch.drop_all_but()
+    return out
+
+
+def replace(docs: DataFrame, key: str, moved: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with entities of ``text`` replaced, and n_entities (long). Null texts stay null."""
     names = [c for c in docs.columns if c != "n_entities"]
-    with_mentions = docs.select(*names, found(F.col(text)).alias("_found"))
+    with_mentions = docs.select(*names, found(F.col(text)).alias("_pii_found"))
     if moved.isEmpty():
-        attempts = with_mentions.withColumn("_attempts", F.lit(None).cast("map<string,struct<attempt:int,title:string>>"))
+        attempts = with_mentions.withColumn("_pii_own", F.lit(None).cast("map<string,struct<attempt:int,title:string,family:int>>"))
     else:  # only the texts that mention a moved entity get a map
-        rows = docs.where(hinted(F.col(text))).select(F.sha2(text, 256).alias("_d"), F.explode(F.array_distinct(found(F.col(text)))).alias("mention"))
+        rows = docs.where(hinted(F.col(text))).select(F.sha2(text, 256).alias("_pii_d"), F.explode(F.array_distinct(found(F.col(text)))).alias("mention"))
         rows = rows.withColumn("kind", kind_of(F.col("mention"))).withColumn("canonical", canonical(F.col("kind"), F.col("mention"))).join(moved, ["kind", "canonical"])
-        per = rows.select("_d", F.struct("mention", F.struct("attempt", "title").alias("own")).alias("e")).distinct().groupBy("_d").agg(F.map_from_entries(F.collect_list("e")).alias("_attempts"))
-        attempts = with_mentions.withColumn("_d", F.sha2(F.col(text), 256)).join(per, "_d", "left").drop("_d")
+        per = rows.select("_pii_d", F.struct("mention", F.struct("attempt", "title", "family").alias("own")).alias("e")).distinct().groupBy("_pii_d").agg(F.map_from_entries(F.collect_list("e")).alias("_pii_own"))
+        attempts = with_mentions.withColumn("_pii_d", F.sha2(F.col(text), 256)).join(per, "_pii_d", "left").drop("_pii_d")
     gaps = F.split(F.col(text), PATTERN, -1)
 
-    some = attempts.withColumn("_gaps", F.when(F.size("_found") > 0, gaps))
+    some = attempts.withColumn("_pii_gaps", F.when(F.size("_pii_found") > 0, gaps))
     # kind of a mention is found again from its own text, so a mention stands for its entity here; an entity that isn't moved has one title
-    own = lambda m: F.try_element_at("_attempts", m)
-    mentions = F.transform("_found", lambda m, i: F.struct(m.alias("mention"), F.coalesce(own(m)["attempt"], F.lit(0)).alias("attempt"), F.coalesce(own(m)["title"], _title_of(F.try_element_at("_gaps", i + 1))).alias("title")))
-    parts = F.zip_with(surrogates(key, mentions), F.slice("_gaps", 2, F.size("_gaps")), lambda x, gap: F.concat(x["surrogate"], F.coalesce(gap, F.lit(""))))
-    new = F.when(F.size("_found") > 0, F.concat(F.element_at("_gaps", 1), F.array_join(parts, ""))).otherwise(F.col(text))
-    return some.select(*[new.alias(text) if c == text else F.col(c) for c in names], F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"))
+    own = lambda m: F.try_element_at("_pii_own", m)
+    mentions = F.transform(
+        "_pii_found",
+        lambda m, i: F.struct(
+            m.alias("mention"),
+            F.coalesce(own(m)["attempt"], F.lit(0)).alias("attempt"),
+            F.coalesce(own(m)["title"], _title_of(F.try_element_at("_pii_gaps", i + 1))).alias("title"),
+            F.coalesce(own(m)["family"], F.lit(0)).alias("family"),
+        ),
+    )
+    parts = F.zip_with(surrogates(key, mentions), F.slice("_pii_gaps", 2, F.size("_pii_gaps")), lambda x, gap: F.concat(x["surrogate"], F.coalesce(gap, F.lit(""))))
+    new = F.when(F.size("_pii_found") > 0, F.concat(F.element_at("_pii_gaps", 1), F.array_join(parts, ""))).otherwise(F.col(text))
+    return some.select(*[new.alias(text) if c == text else F.col(c) for c in names], F.coalesce(F.size("_pii_found"), F.lit(0)).cast("long").alias("n_entities"))
 
 
-def pseudonymise(docs: DataFrame, key: str, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Detect, check for collisions over the whole corpus, replace.
 
     Null texts stay null and have no entities; an empty table gives an empty one; repeated rows
-    get equal surrogates.
+    get equal surrogates; other columns stay as they are (n_entities is replaced).
     """
-    known = stored(entities(docs, text), "pii-entities")
-    return replace(docs, key, collisions(known, key), id_, text)
+    scratch = Scratch(docs.sparkSession)
+    known = scratch.keep(entities(docs, text), "pii-entities")
+    moved = collisions(known, key)
+    scratch.drop(known)
+    return replace(docs, key, moved, text)

@@ -126,6 +126,27 @@ def test_media_column(spark):
         assert r.n_bytes == len(raw) and r.payload_sha256 == hashlib.sha256(mpegts.text_payload(t or "")).hexdigest() and r.payload_bytes % 64 == 0 < r.payload_bytes
 
 
+def test_damaged_and_missing_media_have_a_status(spark):
+    good, wide = mpegts.mux(b"x" * 90_000), mpegts.mux(b"y" * 500)
+    rows = [(1, 3, good), (2, 3, None), (3, 3, good[: 188 * 5] + good[188 * 6 :]), (4, 3, b""), (5, 3, good[:100]), (5, 3, wide)]
+    got = mpegts.read(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()
+    status = sorted((r.doc_id, r.status, r.payload_bytes) for r in got if r.status == "ok") + sorted((r.doc_id, r.status) for r in got if r.status != "ok")
+    assert [x[:2] for x in status] == [(1, "ok"), (5, "ok"), (2, "no media"), (3, "a damaged elementary packet"), (4, "not whole transport packets"), (5, "not whole transport packets")]
+    assert all(r.payload_sha256 is None and r.pts is None for r in got if r.status != "ok")
+
+
+def test_sections_over_several_packets_and_their_counters():
+    section = mpegts._section(0x02, 1, bytes(range(256)) + b"z" * 200)
+    raw, packets, counter = b"\x00" + section, [], 14
+    while raw:
+        head = bytes([mpegts.SYNC, (0 if packets else 0x40) | 0x10, 0, 0x10 | counter & 15])
+        packets.append((head + raw[:184]).ljust(188, b"\xff"))
+        raw, counter = raw[184:], counter + 1
+    read = lambda some: mpegts._section_of(np.frombuffer(b"".join(some), np.uint8).reshape(-1, 188), np.full(len(some), 0x1000), 0x1000)
+    assert len(packets) == 3 and read(packets) == (section, 0) and read([*packets[:2], packets[1], packets[2]]) == (section, 0)
+    assert read([packets[0], packets[2]]) == (None, 1)
+
+
 # languages and quality
 
 
@@ -144,6 +165,27 @@ def test_language_id(spark):
     assert {r.doc_id: r.lang_pred for r in langid.language_id(odd).collect()} == {1: "und", 2: "und", 3: "und", 4: "und"}
 
 
+def test_many_languages_and_texts_of_none(spark):
+    """Every labelled language is learnt, however rare; a text unlike all is rejected; clashing columns are replaced."""
+    rng, rows = random.Random(21), []
+    for k in range(70):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzßéñøåüöçãž", 9)
+        for i in range(40 if k else 400):
+            rows.append((len(rows), " ".join("".join(rng.choices(letters, k=5)) for _ in range(60)), f"l{k:02}", "x", 1))
+    rows += [(len(rows), None, "l01", "x", 1), (len(rows) + 1, "", "l02", "x", 1), (len(rows) + 2, "12 34", None, "x", 1), (None, rows[0][1], None, "x", 1), (7, rows[7][1], "l00", "x", 1)]
+    rows += [(10**6, " ".join("漢字仮名交文"[i % 6] * 3 for i in range(60)), None, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
+    got = langid.identify(docs, langid.learn(docs)).collect()
+    assert len(got) == len(rows) and len({r.lang_pred for r in got}) == 71
+    known = [r for r in got if r.lang and r.text]
+    assert np.mean([r.lang == r.lang_pred for r in known]) > 0.9 and not any(r.rejected for r in known)
+    assert all(r.rejected and r.lang_pred == "und" for r in got if not r.text or r.text == "12 34") and [r.rejected for r in got if r.doc_id == 10**6] == [True]
+    model = langid.learn(docs)
+    for t in [r[1] for r in rows[:3]]:  # decoding against a plain version
+        losses = [sum(model.trust[i][b] * np.log1p(np.exp(-model.code[i][b] * m)) for b, m in enumerate(model.margins(t))) for i in range(70)]
+        assert model.predict(t)[0] == model.languages[int(np.argmin(losses))]
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = quality.quality(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
@@ -232,6 +274,23 @@ def test_one_name_under_all_titles_and_no_real_one(spark):
     assert run([(0, "Mr Tom Berger"), (1, f"Mr {alone}")])[0] != alone
 
 
+def test_a_family_name_stays_the_same_with_and_without_a_given_one(spark):
+    rows = [(1, "Mrs Smith"), (2, "Dr. Anna Smith"), (3, "Mrs. Anna Smith"), (4, "Mr Smith"), (5, "Mr Tom Smith"), (6, "Mrs Anna Jones"), (7, "г-н Антон Петров"), (8, "г-н Петров")]
+    rows += [(100 + i, f"Mr {g} Smith") for i, g in enumerate(f"{a}{b}" for a in ("Al", "Be", "Co", "Du", "El", "Fo") for b in ("ma", "ne", "pi", "ro", "su"))]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    last = {i: t.split(" ")[-1] for i, t in got.items()}
+    assert len({last[i] for i in last if i not in (6, 7, 8)}) == 1 and last[6] != last[1] and last[7] == last[8]
+    assert got[2].split(" ", 1)[1] == got[3].split(" ", 1)[1] and got[3].split()[1] in pii.GIVEN["f latin"]
+    full = [t.split(" ", 1)[1] for i, t in got.items() if len(t.split()) == 3]
+    assert len(set(full)) == len(full) - 1  # Anna Smith twice
+
+
+def test_columns_of_the_operators_own_names(spark):
+    docs = spark.createDataFrame([(1, "Mr Smith 10.0.0.1", 5)], "doc_id long, text string, _found long").select("*", *(F.lit(i).alias(c) for i, c in enumerate(("_gaps", "_d", "_attempts", "kind", "canonical", "attempt", "mention", "n_entities"))))
+    got = pii.pseudonymise(docs, "k")
+    assert sorted(got.columns) == sorted(docs.columns) and got.first().n_entities == 2 and got.first().kind == 3
+
+
 def test_more_names_than_listed_surrogates(spark):
     rng, vowels, low = random.Random(12), "aeiou", "bdfgklmnprst"
     names = sorted({"".join(rng.choice(low) + rng.choice(vowels) for _ in range(4)).title() for _ in range(700)})

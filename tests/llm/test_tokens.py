@@ -136,7 +136,7 @@ def test_every_safe_character_in_words_equals_library():
 
     library, e = Tokenizer.from_file(WORD), packing.WordEncoder(WORD)
     safe = [c for c in map(chr, range(33, 0x500)) if regex.fullmatch(packing.SAFE, c)]
-    assert len(safe) > 350
+    assert len(safe) > 300
     texts = [f"{c} a{c}b {c}{c}1 x'{c} {c}'s{c.upper()}" for c in safe] + ["".join(random.Random(k).choices(safe, k=35)) for k in range(300)]
     for text, ids in zip(texts, e.encode(texts)):
         assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
