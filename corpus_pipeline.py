@@ -17,8 +17,8 @@ from stepwell.llm.queries import PII_KEY
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts and texts without letters."""
-    return langid.identify(docs, langid.learn(docs)).where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    """Rejects documents without a language: null texts, texts without letters, and texts unlike all of the learnt languages."""
+    return langid.identify(docs, langid.learn(docs)).where("not rejected").select(docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
