@@ -12,6 +12,11 @@ STOPWORDS = (
     "a an and are as at be been between both by did do does for from had has have how in is it its of on or "
     "that the their these this to was were what when where which who whom whose with"
 ).split()
+#: Words that are no anchors.
+ANCHOR_STOPWORDS = (
+    "a an and are as at be both by did do does for from get have how in is it its many of on or that the their "
+    "this to what when where which who whom whose with was were"
+).split()
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ordered rules from question to goal; the first that matches wins.
@@ -90,7 +95,7 @@ def capitalized_phrases(text: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """Normalised phrases with their tokens (3 letters on), then the text's tokens (4 on), stop words left out, each once."""
-    stop = F.array(*map(F.lit, STOPWORDS))
+    stop = F.array(*map(F.lit, ANCHOR_STOPWORDS))
     short = lambda arr, n: F.filter(arr, lambda t: (F.length(t) >= n) & ~F.array_contains(stop, t))
     of_phrases = F.flatten(F.transform(capitalized_phrases(text), lambda p: F.concat(F.filter(F.array(normalize(p)), lambda x: x != ""), short(tokens(p), 3))))
     return F.array_distinct(F.concat(of_phrases, short(tokens(text), 4)))
@@ -219,10 +224,18 @@ def novel_tokens(note: Column, source: Column) -> Column:
     return F.array_sort(F.filter(F.array_except(F.array_distinct(tokens(note)), tokens(source)), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)))
 
 
+#: What a query is asked as beside itself, and with what has been read.
+VARIANTS = ("Find evidence that answers: ", "Find the bridge entity and final answer evidence for: ")
+KNOWN_EVIDENCE = "\nKnown evidence:\n"
+
+
 def query_variants(question: Column, context: Column) -> Column:
-    """Templated variants of a query, each once regardless of case."""
-    some = F.array(question, F.concat(question, F.lit(" "), context), F.concat(F.lit("evidence for: "), question), F.concat(F.lit("Evidence for: "), question))
-    return F.transform(F.filter(F.array_distinct(F.transform(some, lambda x: F.lower(F.trim(x)))), lambda x: x != ""), lambda x: x)
+    """A query as it is, in two templates, and with the context if there is any; each once regardless of case and white space."""
+    read = F.trim(F.coalesce(context, F.lit("")))
+    some = F.array(question, *(F.concat(F.lit(v), question) for v in VARIANTS), F.when(read != "", F.concat(question, F.lit(KNOWN_EVIDENCE), read)))
+    keyed = F.transform(F.array_compact(some), lambda q: F.struct(F.trim(F.regexp_replace(F.lower(q), r"\s+", " ")).alias("k"), q.alias("q")))
+    first = F.filter(keyed, lambda x: (x["k"] != "") & (x["q"] == F.filter(keyed, lambda y: y["k"] == x["k"])[0]["q"]))
+    return F.array_distinct(F.transform(first, lambda x: x["q"]))
 
 
 def json_answer(raw: Column) -> Column:

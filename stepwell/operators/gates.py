@@ -118,8 +118,14 @@ def loosely_visible(answer: Column, text: Column) -> Column:
     return T.contains_answer(answer, text) | ((F.size(words) >= 2) & (F.size(F.array_except(words, T.tokens(text))) == 0))
 
 
-def derive_goal(mismatch: Column, bridge: Column, ambiguous: Column) -> Column:
-    return F.when(mismatch, "answer_focus_verification").when(bridge, "bridge_query_entity_to_answer_candidate").when(ambiguous, "target_type_disambiguation").otherwise("generic")
+def derive_goal(mismatch: Column, bridge: Column, kind: Column, touches: Column, signal: Column) -> Column:
+    """What notes are to be derived for: ``bridge``: two units can be bridged; ``touches``: one touches the question; ``signal``: one shows the answer type."""
+    return (
+        F.when(mismatch, "answer_focus_verification")
+        .when(bridge & touches & signal, "bridge_query_entity_to_answer_candidate")
+        .when(~kind.isin("generic", "yes_no") & ~signal, "target_type_disambiguation")
+        .otherwise("generic_bridge_or_verification")
+    )
 
 
 def note_value(kind: Column, text: Column, question: Column, answer: Column, goal: Column, sources: Column) -> Column:
@@ -132,9 +138,25 @@ def note_value(kind: Column, text: Column, question: Column, answer: Column, goa
     return by_kind + one(answer_signal(text, T.focus_kind(question)), 3) + F.least(F.lit(2), shared) + one(T.contains_answer(answer, text), 3) + one((goal == "bridge_query_entity_to_answer_candidate") & (sources >= 2), 2) - one(hedged, 2)
 
 
-def repeat_penalty(same_doc: Column, near_copy: Column, idle: Column) -> Column:
-    """0.05 for each recent unit of the document, 0.10 for each near copy, half as much again after a step without progress."""
-    return (0.05 * same_doc + 0.10 * near_copy) * F.when(idle, 1.5).otherwise(1.0)
+#: What a candidate loses for each recent unit it is like, and for the rest only after steps without progress.
+REPEATS = {"same_doc": 0.05, "near_copy": 0.10}
+STALLED_REPEATS = {"same_unit": 0.20, "same_parent": 0.10, "same_doc": 0.10}
+AFTER_NO_PROGRESS, STALL_WINDOW, REPEAT_RATIO, NEAR_COPY = 1.5, 2, 0.75, 0.90
+
+
+def repeat_penalty(candidate: Column, recent: Column, progress: Column, repeat_ratio: Column) -> Column:
+    """What repetition costs a candidate (unit, parent, doc, text), by the last two units taken, the progress flags so far and the share of repeated candidates."""
+    last = F.slice(recent, F.greatest(F.size(recent) - 1, F.lit(1)), 2)
+    has = lambda c: F.exists(last, lambda r: r[c] == candidate[c])
+    alike = lambda r: T.jaccard(T.tokens(r["text"]), T.tokens(candidate["text"])) >= NEAR_COPY
+    for_each = REPEATS["same_doc"] * F.size(F.filter(last, lambda r: r["doc"] == candidate["doc"])) + REPEATS["near_copy"] * F.size(F.filter(last, alike))
+    tail = F.slice(progress, F.greatest(F.size(progress) - STALL_WINDOW + 1, F.lit(1)), STALL_WINDOW)
+    stalled = (F.size(progress) >= STALL_WINDOW) & F.forall(tail, lambda x: x == 0)
+    often = F.coalesce(repeat_ratio >= REPEAT_RATIO, F.lit(False))
+    extra = F.when(has("unit"), STALLED_REPEATS["same_unit"]).otherwise(0.0) + F.when(has("parent"), STALLED_REPEATS["same_parent"]).otherwise(0.0) + F.when(often & has("doc"), STALLED_REPEATS["same_doc"]).otherwise(0.0)
+    whole = for_each + F.when(stalled, extra).otherwise(0.0)
+    idle = F.coalesce(F.try_element_at(progress, F.lit(-1)) == 0, F.lit(False))
+    return F.when(F.size(last) == 0, 0.0).otherwise(F.round(whole * F.when(idle, AFTER_NO_PROGRESS).otherwise(1.0), 9))
 
 
 def context_answerability(answered: Column, supported: Column, distinguished: Column) -> Column:

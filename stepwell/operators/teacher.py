@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -45,35 +45,44 @@ def note_subtype(late_check: Column, t: Column, bridge: Column, triggered: Colum
     return F.when(late_check, "late_verification").when((t <= 1) & bridge, "early_bridge").when(triggered, "trigger_only_candidate")
 
 
+#: Note types and limits of a note.
+LEGAL_TYPES, MOST_SOURCES, MOST_TOKENS, DUPLICATE = ("bridge_note", "verification_note"), 3, 45, 0.90
+
+
 def legality(notes: DataFrame) -> DataFrame:
-    """Notes (qid, note_id, type, text, sources array) with legal and reasons.
+    """Notes with legal and reasons (sorted).
 
-    A note is a duplicate of an earlier accepted one of its qid (Jaccard above 0.90), which
-    depends on order, so a qid's few notes are judged together.
+    ``notes``: qid, note_id, pos, type, text, sources, and of the state: visible (unit ids) and
+    existing (texts of its notes). Whether a note repeats an earlier one depends on which of
+    those were accepted, so a question's few notes are folded in order of ``pos``.
     """
-
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, accepted, out = frame.sort_values("note_id"), [], []
-        for r in frame.itertuples():
-            words = {w for w in "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in r.text or "").split()}
-            why = []
-            if r.type not in ("bridge_note", "verification_note"):
-                why.append("bad_type")
-            if not words:
-                why.append("empty_text")
-            if not 1 <= len(r.sources) <= 3:
-                why.append("bad_source_count")
-            if len(words) > 45:
-                why.append("too_long")
-            if any(len(words & a) / max(1, len(words | a)) > REDUNDANT for a in accepted):
-                why.append("duplicate_note")
-            if not why:
-                accepted.append(words)
-            out.append((r.qid, r.note_id, not why, sorted(why)))
-        return pd.DataFrame(out, columns=["qid", "note_id", "legal", "reasons"])
-
-    kind = notes.schema["qid"].dataType.simpleString()
-    return notes.groupBy("qid").applyInPandas(judge, f"qid {kind}, note_id string, legal boolean, reasons array<string>")
+    bare = lambda x: T.normalize(F.coalesce(x, F.lit("")))
+    same = lambda a, b: (a == b) | (T.jaccard(T.tokens(a), T.tokens(b)) > DUPLICATE)
+    text = F.trim(F.coalesce("text", F.lit("")))
+    rules = {
+        "duplicate_with_state": F.exists(F.coalesce("existing", F.array().cast("array<string>")), lambda x: same(bare(x), bare(text))),
+        "duplicated_source_ids": F.size("sources") != F.size(F.array_distinct("sources")),
+        "empty_text": bare(text) == "",
+        "invalid_source_count": ~F.size("sources").between(1, MOST_SOURCES),
+        "invalid_type": ~F.coalesce(F.col("type").isin(*LEGAL_TYPES), F.lit(False)),
+        "invisible_source_ids": F.size(F.array_except("sources", "visible")) > 0,
+        "not_single_sentence": T.sentence_count(text) != 1,
+        "too_long": T.token_count(text) > MOST_TOKENS,
+    }
+    own = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())))
+    rows = notes.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).withColumn("visible", F.coalesce("visible", F.array().cast("array<string>")))
+    judged = rows.select("qid", F.struct("pos", "note_id", bare(text).alias("norm"), own.alias("why")).alias("n"))
+    listed = judged.groupBy("qid").agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<struct<note_id:string,legal:boolean,reasons:array<string>>>").alias("out"))
+
+    def fold(state: Column, n: Column) -> Column:
+        again = F.exists(state["kept"], lambda k: same(k, n["norm"]))
+        why = F.array_sort(F.when(again, F.array_union(n["why"], F.array(F.lit("duplicate_in_harvest")))).otherwise(n["why"]))
+        legal = F.size(why) == 0
+        one = F.struct(n["note_id"].cast("string").alias("note_id"), legal.alias("legal"), why.alias("reasons"))
+        return F.struct(F.when(legal, F.concat(state["kept"], F.array(n["norm"]))).otherwise(state["kept"]).alias("kept"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    return listed.select("qid", F.explode(F.aggregate("ns", start, fold, lambda s: s["out"])).alias("o")).select("qid", "o.*")
 
 
 def stop_probe(answered: Column, correct: Column, sufficient: Column) -> dict[str, Column]:
@@ -81,15 +90,26 @@ def stop_probe(answered: Column, correct: Column, sufficient: Column) -> dict[st
     return {"teacher_stop": stop, "false_stop": ~stop}
 
 
-def retention(notes: DataFrame, keep: dict[str, int]) -> DataFrame:
-    """Notes kept by subtype: so many of the best (answer-facing, closure value, id); the rest is auxiliary."""
-    from functools import reduce
+#: Fixed value: most notes kept for the state.
+MOST_KEPT = 2
+LAST = 10**9
 
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("qid").orderBy(F.desc("answer_facing"), F.desc("closure"), "note_id")
-    most = reduce(lambda c, kv: c.when(F.col("subtype") == kv[0], kv[1]), keep.items(), F.when(F.lit(False), 0)).otherwise(0)
-    return notes.withColumn("kept", F.row_number().over(w) <= most)
+def retention(notes: DataFrame) -> DataFrame:
+    """Legal notes with ``kept``; the others are auxiliary.
+
+    ``notes``: qid, note_id, type, priority, sources (their number), answer_facing, closure, and
+    the question's mode and subtype. Repair after a false stop and late verification keep the
+    two best by what they close, an early bridge keeps one, and any other subtype none.
+    """
+    priority, first_id = F.coalesce("priority", F.lit(LAST)), F.col("note_id")
+    by = lambda *order: F.row_number().over(Window.partitionBy("qid").orderBy(*order))
+    closing = by(F.desc("answer_facing"), F.desc("closure"), priority, F.desc("sources"), first_id)
+    bridging = by(F.desc(F.col("type") == "bridge_note"), priority, F.desc("sources"), first_id)
+    repair = F.coalesce(F.col("mode") == "repair_after_false_stop", F.lit(False)) | F.coalesce(F.col("subtype") == "late_verification", F.lit(False))
+    ranked = notes.withColumn("_c", closing).withColumn("_b", bridging)
+    kept = F.when(repair, F.col("_c") <= MOST_KEPT).when(F.col("subtype") == "early_bridge", F.col("_b") == 1).otherwise(F.lit(False))
+    return ranked.withColumn("kept", kept).drop("_c", "_b")
 
 
 def rollout(candidates: DataFrame) -> DataFrame:
