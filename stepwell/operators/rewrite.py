@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .retrieval import interleave
-from .trajectories import step_window
+from .trajectories import cyclic_next, step_window
 
 
 def hard_negatives(expanded: DataFrame, channels: dict[str, DataFrame], positives: DataFrame, source: str, count: int) -> DataFrame:
@@ -80,9 +80,7 @@ def step_mismatches(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 def other_question(rows: DataFrame) -> DataFrame:
     """(qid, t, other): for each step the next question by order that has the same t, the last with the first."""
-    w = Window.partitionBy("t").orderBy("qid")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select("qid", "t", F.coalesce(F.lead("qid").over(w), F.first("qid").over(whole)).alias("other"))
+    return cyclic_next(rows, "qid", "t").select("qid", "t", F.col("paired").alias("other"))
 
 
 def state_breaks(states: DataFrame) -> DataFrame:

@@ -150,11 +150,25 @@ def as_of(left: DataFrame, bank: DataFrame, key: str = "qid", t: str = "t") -> D
     return found.select(key, t, F.col(f"_r.{t}").alias(f"source_{t}"), *[F.col(f"_r.{c}").alias(c) for c in value])
 
 
-def cyclic_next(rows: DataFrame, id_: str, part: str) -> DataFrame:
-    """Each id of a part with the next by order, the last with the first."""
-    w = Window.partitionBy(part).orderBy(id_)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select(part, id_, F.coalesce(F.lead(id_).over(w), F.first(id_).over(whole)).alias("paired"))
+#: Ids of one range where each is to meet the next.
+RANGE_IDS = 1 << 12
+
+
+def cyclic_next(rows: DataFrame, id_: str, part: str, width: int = RANGE_IDS) -> DataFrame:
+    """Each whole id of a part with the next by order, the last with the first: (part, id, paired).
+
+    A part may hold any share of the rows, so it is cut into ranges of ``width`` ids, which are
+    sorted apart; the last id of a range gets the first of the next range from a table with one
+    row for each range.
+    """
+    ranged = rows.select(part, id_, F.floor(F.col(id_) / width).alias("_range"))
+    own = Window.partitionBy(part, "_range").orderBy(id_)
+    firsts = ranged.groupBy(part, "_range").agg(F.min(id_).alias("_first"))
+    order = Window.partitionBy(part).orderBy("_range")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select(part, "_range", F.coalesce(F.lead("_first").over(order), F.first("_first").over(whole)).alias("_after"))
+    led = ranged.withColumn("_next", F.lead(id_).over(own))
+    return led.join(after, [part, "_range"]).select(part, id_, F.coalesce("_next", "_after").alias("paired"))
 
 
 def notebook(entries: Column, most: int = 8, chars: int = 260) -> Column:

@@ -70,17 +70,17 @@ def candidate_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.similar_pairs(turns, 0.2)
 
 
-@query(f"""WITH {STEPS}, a AS (SELECT qid, t, unit FROM steps WHERE t <= 3), b AS (SELECT qid, t, CASE WHEN unit % 50 = 0 THEN 0 ELSE unit END AS unit FROM steps WHERE t >= 1 AND t <= 4)
+@query(f"""WITH {STEPS}, a AS (SELECT qid, t, unit FROM steps WHERE unit % 11 <> 0), b AS (SELECT qid, t, CASE WHEN unit % 50 = 0 THEN 0 ELSE unit END AS unit FROM steps WHERE unit % 13 <> 0)
 SELECT qid, t, CASE WHEN a.unit IS NULL THEN 'missing_left' WHEN b.unit IS NULL THEN 'missing_right' ELSE 'different' END AS reason FROM a FULL JOIN b USING (qid, t) WHERE a.unit IS NULL OR b.unit IS NULL OR a.unit <> b.unit""")
 def paired_step_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = steps(spark, sf_dir).select("qid", "t", "unit")
-    changed = own.where("t between 1 and 4").withColumn("unit", F.when(F.col("unit") % 50 == 0, 0).otherwise(F.col("unit")))
-    return W.step_mismatches(own.where("t <= 3"), changed, "unit")
+    changed = own.where("unit % 13 <> 0").withColumn("unit", F.when(F.col("unit") % 50 == 0, 0).otherwise(F.col("unit")))
+    return W.step_mismatches(own.where("unit % 11 <> 0"), changed, "unit")
 
 
-@query(f"""WITH {STEPS}, c AS (SELECT DISTINCT qid, t FROM steps WHERE t >= 8) SELECT qid, t, coalesce(lead(qid) OVER (PARTITION BY t ORDER BY qid), min(qid) OVER (PARTITION BY t)) AS other FROM c""")
+@query(f"""WITH {STEPS}, c AS (SELECT DISTINCT qid, t FROM steps) SELECT qid, t, coalesce(lead(qid) OVER (PARTITION BY t ORDER BY qid), min(qid) OVER (PARTITION BY t)) AS other FROM c""")
 def other_question_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.other_question(steps(spark, sf_dir).where("t >= 8").select("qid", "t").distinct())
+    return W.other_question(steps(spark, sf_dir).select("qid", "t").distinct())
 
 
 @query(f"""WITH {STEPS}, s AS (SELECT qid, unit % 2 AS pair, t, sign(score - 40000 - quantity * 100) AS s FROM steps), n AS (SELECT *, lead(s) OVER (PARTITION BY qid, pair ORDER BY t) AS n FROM s)

@@ -108,7 +108,7 @@ _DRAW = "(" + " + ".join(f"(u >= {sum(0.36787944117144233 / __import__('math').f
 
 
 @query(f"""WITH {STEPS}, r AS (SELECT qid, sum(CASE WHEN role = 'support' THEN 1 ELSE 0 END) AS num, count(*) AS den FROM steps GROUP BY qid),
-d AS (SELECT b, num, den, ('0x' || left(md5('3::' || b || '::' || qid), 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM r, generate_series(0, 99) g(b)), n AS (SELECT b, num, den, {_DRAW} AS k FROM d),
+d AS (SELECT b, num, den, ('0x' || substr(md5('3::' || b // 4 || '::' || qid), 8 * (b % 4) + 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM r, generate_series(0, 99) g(b)), n AS (SELECT b, num, den, {_DRAW} AS k FROM d),
 v AS (SELECT b, sum(num * k) / greatest(sum(den * k), 1) AS v FROM n GROUP BY b) SELECT (SELECT round(sum(num) / greatest(sum(den), 1), 6) FROM r) AS observed, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM v""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = steps(spark, sf_dir).groupBy("qid").agg(F.sum((F.col("role") == "support").cast("int")).alias("num"), F.count(F.lit(1)).alias("den"))
@@ -116,7 +116,7 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STEPS}, r AS (SELECT qid, max(CASE WHEN t = 0 THEN discount END) AS a, max(CASE WHEN t = 1 THEN discount END) AS b FROM steps GROUP BY qid HAVING count(*) > 1),
-d AS (SELECT k.b AS rep, r.b - r.a AS x, ('0x' || left(md5('4::' || k.b || '::' || qid), 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM r, generate_series(0, 99) k(b)), n AS (SELECT rep, x, {_DRAW} AS k FROM d),
+d AS (SELECT k.b AS rep, r.b - r.a AS x, ('0x' || substr(md5('4::' || k.b // 4 || '::' || qid), 8 * (k.b % 4) + 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM r, generate_series(0, 99) k(b)), n AS (SELECT rep, x, {_DRAW} AS k FROM d),
 v AS (SELECT rep, sum(x * k) / greatest(sum(k), 1) AS v FROM n GROUP BY rep), o AS (SELECT (SELECT round(avg(b - a), 6) FROM r) AS observed, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM v)
 SELECT *, CASE WHEN ci_low > 0 THEN 'primary_higher' WHEN ci_high < 0 THEN 'primary_lower' ELSE 'interval_includes_zero' END AS significance FROM o""")
 def paired_bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

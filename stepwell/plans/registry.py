@@ -27,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes for each core below which a table may lie in fewer splits than there are cores.
+SMALL_BYTES = 64 << 20
+
+
+def dealt(frame: DataFrame) -> DataFrame:
+    """A small table dealt to all cores before costly work on its texts; a large one has splits enough and stays where it lies."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return frame.repartition(cores) if size < SMALL_BYTES * cores else frame
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories: orders are questions, their lines are steps."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import units as U
-from .registry import STEPS, query, steps, table
+from .registry import STEPS, dealt, query, steps, table
 
 TOK = "regexp_extract_all(lower({}), '([a-z0-9]+)', 1)"
 
@@ -23,15 +23,15 @@ scores AS (SELECT qid, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 
 
 def _docs(spark: SparkSession, sf_dir: str, text="text") -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.expr(text).alias("text"))
+    return dealt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.expr(text).alias("text")))
 
 
-def _questions(spark: SparkSession, sf_dir: str, most: int = 5) -> DataFrame:
-    """The stated queries of a search: benchmark items below a number."""
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < most).select(F.col("item_id").alias("qid"), "text")
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries of a search: every item whose number is divisible by 100."""
+    return table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), "text")
 
 
-_D, _Q = "SELECT doc_id AS doc, text FROM documents", "SELECT item_id AS qid, text FROM benchmark WHERE item_id < 5"
+_D, _Q = "SELECT doc_id AS doc, text FROM documents", "SELECT item_id AS qid, text FROM benchmark WHERE item_id % 100 = 0"
 
 
 @query(f"""WITH {bm25_sql(_D, _Q)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM scores) SELECT qid, doc, score, rank FROM r WHERE rank <= 3""")
@@ -66,13 +66,13 @@ def best_atom_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("n = 1").select("qid", "doc", F.col("sent_id").cast("long").alias("sent_id"), "hits")
 
 
-_DENSE = "scores AS (SELECT q.vec_id AS qid, u.vec_id AS unit, u.label AS label, q.label AS want, round(list_dot_product(q.embedding::DOUBLE[], u.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings u WHERE q.vec_id < 20 AND q.vec_id <> u.vec_id)"
+_DENSE = "scores AS (SELECT q.vec_id AS qid, u.vec_id AS unit, u.label AS label, q.label AS want, round(list_dot_product(q.embedding::DOUBLE[], u.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings u WHERE q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id)"
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty stated query vectors against all vectors."""
+    """Every vector whose number is divisible by 100 against all vectors."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return R.dense(asked, rows.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v")))
 
 
@@ -86,7 +86,7 @@ SELECT qid, count(*) AS gold, {", ".join(f"round(sum(CASE WHEN rank <= {k} THEN
 FROM r WHERE label = want GROUP BY qid""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit"), "label")
-    want = labels.where("unit < 20").select(F.col("unit").alias("qid"), "label")
+    want = labels.where("unit % 100 = 0").select(F.col("unit").alias("qid"), "label")
     gold = labels.join(F.broadcast(want), "label").where("qid <> unit").select("qid", "unit")
     ranked = _dense(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit")))
     return R.retrieval_metrics(ranked, gold, [5, 20])
@@ -127,10 +127,10 @@ def interleaved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH u AS (SELECT doc_id AS doc, generate_subscripts(l, 1) - 1 AS sent_id FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS l FROM documents) WHERE len(l) > 0),
-s AS (SELECT doc AS qid, doc, sent_id FROM u WHERE sent_id % 10 = 4) SELECT s.qid, s.doc || '::' || u.sent_id AS unit_id, min(abs(u.sent_id - s.sent_id)) AS distance FROM s JOIN u ON s.doc = u.doc AND abs(u.sent_id - s.sent_id) <= 2 GROUP BY ALL""")
+s AS (SELECT doc AS qid, doc, sent_id FROM u WHERE sent_id % 100 = 0) SELECT s.qid, s.doc || '::' || u.sent_id AS unit_id, min(abs(u.sent_id - s.sent_id)) AS distance FROM s JOIN u ON s.doc = u.doc AND abs(u.sent_id - s.sent_id) <= 2 GROUP BY ALL""")
 def neighbourhood_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_units = U.units(table(spark, sf_dir, "documents")).select("unit_id", "doc", "sent_id")
-    seeds = all_units.where("sent_id % 10 = 4").select(F.col("doc").alias("qid"), "doc", "sent_id")
+    seeds = all_units.where("sent_id % 100 = 0").select(F.col("doc").alias("qid"), "doc", "sent_id")
     return R.neighbours(seeds, all_units, 2).select("qid", "unit_id", F.col("distance").cast("long").alias("distance"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import units as U
+from ..operators.trajectories import cyclic_next
 from .registry import query, table
 
 TOK = "regexp_extract_all(lower({}), '([a-z0-9]+)', 1)"
@@ -29,9 +30,9 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT item_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard, len(list_intersect(a, b)) AS overlap,
  array_to_string(list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x) AND length(x) >= 3 AND x NOT IN ({", ".join(repr(w) for w in T.STOPWORDS)}))), ' ') AS novel FROM t""")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    pairs = table(spark, sf_dir, "benchmark").withColumn("other", F.lead("text").over(Window.orderBy("item_id"))).where("other is not null")  # the benchmark is a small table
+    items = table(spark, sf_dir, "benchmark")
+    after = cyclic_next(items.withColumn("all", F.lit(0)), "item_id", "all").where("paired > item_id").select("item_id", "paired")
+    pairs = items.join(after, "item_id").join(items.select(F.col("item_id").alias("paired"), F.col("text").alias("other")), "paired")
     a, b = T.tokens(F.col("text")), T.tokens(F.col("other"))
     return pairs.select("item_id", F.round(T.jaccard(a, b), 6).alias("jaccard"), T.overlap(a, b).cast("long").alias("overlap"), F.array_join(T.novel_tokens(F.col("text"), F.col("other")), " ").alias("novel"))
 
@@ -69,12 +70,13 @@ def stable_keys_and_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.stable_key(7, F.col("doc_id")).alias("order_key"), T.shorten(F.col("text"), 80).alias("short"), T.shorten_dots(F.col("text"), 80).alias("dotted"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][A-Za-z0-9''&().-]+(?:\\s+[A-Z][A-Za-z0-9''&().-]+)*') AS phrases FROM documents)
-SELECT doc_id, len(list_distinct(phrases)) AS phrases, coalesce(max_by(phrase, length(phrase) * 1000 - i), '') AS longest FROM (SELECT doc_id, phrases, i, phrases[i] AS phrase FROM d, generate_series(1, 5) g(i) WHERE i = 1 OR i <= len(phrases)) GROUP BY doc_id, phrases""".replace("\\\\s", "\\s"))
+@query("""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][A-Za-z0-9''&().-]+(?:\\s+[A-Z][A-Za-z0-9''&().-]+)*') AS phrases FROM documents),
+e AS (SELECT doc_id, phrases, unnest(phrases) AS phrase, generate_subscripts(phrases, 1) AS i FROM d)
+SELECT d.doc_id, len(list_distinct(d.phrases)) AS phrases, coalesce(max_by(phrase, length(phrase) * 10000000 - i), '') AS longest FROM d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id, d.phrases""")
 def capitalized_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"([A-Z][A-Za-z0-9'&().-]+(?:\s+[A-Z][A-Za-z0-9'&().-]+)*)"), F.lit(1))
-    first = F.transform(F.slice(found, 1, 5), lambda p, i: F.struct((F.length(p) * 1000 - (i + 1)).alias("n"), p.alias("p")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.capitalized_phrases(F.col("text"))).cast("long").alias("phrases"), F.coalesce(F.array_max(first)["p"], F.lit("")).alias("longest"))
+    found = T.capitalized_phrases(F.col("text"))
+    longest = F.array_max(F.transform(found, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("i"), p.alias("p"))))["p"]
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("phrases"), F.coalesce(longest, F.lit("")).alias("longest"))
 
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.k')::BIGINT % 3 AS bucket, coalesce(props->>'$.missing', props->>'$.k') AS first_hit FROM events""")
@@ -104,12 +106,12 @@ def split_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(b.subtract(a).withColumn("side", F.lit("customer")))
 
 
-@query(f"""WITH q AS (SELECT item_id, text AS question FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, text FROM documents),
-x AS (SELECT doc_id, item_id, {NORM.format('text')} AS nt, {NORM.format("left(question, 40)")} AS na, len(list_intersect(list_distinct({TOK.format('question')}), {TOK.format('text')})) AS overlap FROM d, q)
+@query(f"""WITH q AS (SELECT item_id, text AS question FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, text FROM documents),
+x AS (SELECT doc_id, item_id, {NORM.format('text')} AS nt, {NORM.format("question")} AS na, len(list_intersect(list_distinct({TOK.format('question')}), {TOK.format('text')})) AS overlap FROM d, q)
 SELECT item_id, CASE WHEN na <> '' AND contains(nt, na) THEN 'support' WHEN overlap >= 2 THEN 'bridge' ELSE 'distinguish' END AS role, count(*) AS n FROM x GROUP BY ALL""")
 def rule_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten stated questions against all documents; the questions travel."""
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.col("text").alias("question"))
+    """A search: every item whose number is divisible by 100 against all documents, in blocks; the questions travel."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("question"))
     rows = table(spark, sf_dir, "documents").select("text").join(F.broadcast(asked))
-    role = T.role_of(F.col("question"), F.left("question", F.lit(40)), F.col("text"), F.lit(""))
+    role = T.role_of(F.col("question"), F.col("question"), F.col("text"), F.lit(""))
     return rows.select("item_id", role.alias("role")).groupBy("item_id", "role").agg(F.count(F.lit(1)).alias("n"))

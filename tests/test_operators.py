@@ -8,7 +8,7 @@ from stepwell.operators import retrieval as R
 from stepwell.operators import scorers, statistics, teacher
 from stepwell.operators import trajectories as J
 from stepwell.operators import units as U
-from stepwell.plans import registry
+from stepwell.plans import registry, retrieval, steps  # noqa: F401  they register their queries
 from stepwell.sources import cache
 from stepwell.sources import json as sources
 from stepwell.streaming import state
@@ -89,9 +89,17 @@ def test_rollout_against_a_plain_version(spark):
 
 
 def test_legality_and_retention(spark):
-    notes = spark.createDataFrame([(1, "a", "bridge_note", "one two three", ["u"]), (1, "b", "bridge_note", "one two three", ["u"]), (1, "c", "odd", "x", [])], "qid int, note_id string, type string, text string, sources array<string>")
-    got = {r.note_id: r.reasons for r in teacher.legality(notes).collect()}
-    assert got == {"a": [], "b": ["duplicate_note"], "c": ["bad_source_count", "bad_type"]}
+    schema = "qid int, note_id string, pos int, type string, text string, sources array<string>, visible array<string>, existing array<string>"
+    row = lambda i, n, kind, text, src, old=None: (1, n, i, kind, text, src, ["u", "v"], old)
+    rows = [row(0, "a", "bridge_note", "One two three.", ["u"]), row(1, "b", "bridge_note", "one two three", ["u"]), row(2, "c", "odd", "x", []), row(3, "d", "bridge_note", "Two. Sentences", ["u", "u"]), row(4, "e", "bridge_note", " ", ["w"]), row(5, "f", "verification_note", "known", ["v"], ["Known!"])]
+    got = {r.note_id: r.reasons for r in teacher.legality(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        "a": [], "b": ["duplicate_in_harvest"], "c": ["invalid_source_count", "invalid_type"], "d": ["duplicated_source_ids", "not_single_sentence"],
+        "e": ["empty_text", "invisible_source_ids", "not_single_sentence"], "f": ["duplicate_with_state"],
+    }
+    notes = [(q, n, kind, p, 1, face, close, "repair_after_false_stop" if q == 4 else "normal", sub) for q, sub in enumerate(["late_verification", "early_bridge", "trigger_only_candidate", None, None]) for n, kind, p, face, close in [("a", "verification_note", 1, False, 9), ("b", "bridge_note", 2, True, 1), ("c", "bridge_note", 3, True, 5)]]
+    kept = teacher.retention(spark.createDataFrame(notes, "qid int, note_id string, type string, priority int, sources int, answer_facing boolean, closure int, mode string, subtype string")).where("kept").collect()
+    assert sorted((r.qid, r.note_id) for r in kept) == [(0, "b"), (0, "c"), (1, "b"), (4, "b"), (4, "c")]
 
 
 def test_scorers(spark):
