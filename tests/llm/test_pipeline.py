@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -59,7 +60,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
         elif name == "pii":
             text = {r["doc_id"]: r["text"] for r in old}
             assert ids == sorted(text, key=str) and all(r["n_chars"] == len(r["text"]) for r in new)
-            mentions = [r.found for r in before.select(pii.found("text").alias("found")).collect()]
+            mentions = [r.found for r in before.select(pii.found(F.col("text")).alias("found")).collect()]
             names = [m for some in mentions for m in some if len(m) > 6]
             assert len(names) > 10 and not any(m in r["text"] for r in new for m in names)
             untouched = {r["doc_id"] for r, some in zip(before.collect(), mentions) if not some}
