@@ -220,8 +220,9 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     titled = titled.select(F.explode(F.transform("_found", lambda m, i: F.struct(m.alias("mention"), _title_of(F.try_element_at("_gaps", i + 1)).alias("title")))).alias("e"))
     mention = titled.groupBy("e.mention", "e.title").agg(F.count(F.lit(1)).alias("n"))
     kinds = mention.withColumn("kind", kind_of(F.col("mention")))
-    behind = kinds.where("kind = 'name' and instr(mention, ' ') > 0").select(_family_of(F.col("mention")).alias("mention"), F.lit("n").alias("title"), "kind")
-    kinds = kinds.select("mention", "title", "kind").unionByName(behind).withColumn("canonical", canonical(F.col("kind"), F.col("mention")))
+    own, behind = F.struct("mention", "title"), F.struct(_family_of(F.col("mention")).alias("mention"), F.lit("n").alias("title"))
+    both = F.explode(F.when((F.col("kind") == "name") & (F.instr("mention", " ") > 0), F.array(own, behind)).otherwise(F.array(own)))
+    kinds = kinds.select("kind", both.alias("e")).select("kind", "e.*").withColumn("canonical", canonical(F.col("kind"), F.col("mention")))
     said = lambda g: F.bool_or(F.col("title") == g)
     own = F.when(said("m") & ~said("f"), F.lit("m")).when(said("f") & ~said("m"), F.lit("f")).otherwise(F.lit("n"))
     return kinds.groupBy("kind", "canonical").agg(F.min("mention").alias("mention"), own.alias("title"), (F.min("title") != F.max("title")).alias("mixed"))
