@@ -63,8 +63,8 @@ def token_count(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """0 for an empty text, else the pieces between sentence ends, 1 at least."""
-    pieces = F.filter(F.split(text, "[.!?]+"), lambda x: F.trim(x) != "")
-    return F.when(F.trim(text) == "", 0).otherwise(F.greatest(F.lit(1), F.size(pieces)))
+    pieces = F.filter(F.split(text, "[.!?]+"), lambda x: x.rlike(r"\S"))
+    return F.when(~text.rlike(r"\S"), 0).otherwise(F.greatest(F.lit(1), F.size(pieces)))
 
 
 def sentences(text: Column) -> Column:
@@ -175,6 +175,43 @@ def answer_correct(gold: Column, probe: Column) -> Column:
     return (normalize(gold) == normalize(probe)) | ((F.size(numbers) > 0) & (numbers == numeric_tokens(probe)))
 
 
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
+def answer_compatible(gold: Column, probe: Column) -> Column:
+    """The gold answer stands in the probe's: as whole words, or anywhere where either has numbers; equal lists of numbers do as well. False for a null or empty side."""
+    a, b = normalize(gold), normalize(probe)
+    found = F.when(number_like(gold) | number_like(probe), F.contains(b, a)).otherwise(F.contains(_padded(b), _padded(a)))
+    return F.coalesce((a != "") & (b != "") & (answer_correct(gold, probe) | found), F.lit(False))
+
+
+def answer_conflicts(gold: Column, probe: Column) -> Column:
+    """Both answers are there and exclude each other: by their numbers if either has any, else by not being compatible."""
+    a, b, m, n = normalize(gold), normalize(probe), numeric_tokens(gold), numeric_tokens(probe)
+    apart = F.when((F.size(m) > 0) | (F.size(n) > 0), m != n).otherwise(~answer_compatible(gold, probe))
+    return F.coalesce((a != "") & (b != "") & (a != b) & apart, F.lit(False))
+
+
+#: A leading word that a note replaces by its document's name.
+PRONOUNS = "she he they it".split()
+
+
+def single_sentence(text: Column) -> Column:
+    """The first sentence, closed by a full stop if it has no end of its own; '' for null or blank."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    first = F.split(bare, r"(?<=[.!?])\s+", 2)[0]
+    return F.when(first == "", "").when(first.rlike(r"[.!?]$"), first).otherwise(F.concat(first, F.lit(".")))
+
+
+def note_text(doc: Column, text: Column) -> Column:
+    """A raw sentence as a note: its first sentence, which names the document in place of a leading pronoun."""
+    sentence, name = single_sentence(text), F.trim(F.coalesce(doc, F.lit("")))
+    led = F.regexp_extract(sentence, rf"(?i)^({'|'.join(PRONOUNS)})\b", 1)
+    renamed = F.concat(name, F.substr(sentence, F.length(led) + 1))
+    return F.when((led == "") | (name == ""), sentence).otherwise(single_sentence(renamed))
+
+
 def minmax(x: Column, low: Column, high: Column) -> Column:
     """Scaled to 0..1; all zero where the range is below 1e-12."""
     return F.when(high - low < 1e-12, F.lit(0.0)).otherwise((x - low) / (high - low))

@@ -48,6 +48,14 @@ def coverage_target(candidates: Column, covered: Column) -> Column:
     return F.when(most > 0, F.array_min(F.transform(F.filter(new, lambda x: x["n"] == most), lambda x: x["unit"])))
 
 
+def coverage_positive(pool: Column, targets: Column, covered: Column) -> Column:
+    """The first unit of the pool (unit, parent, eligible) whose parent is a target not covered yet, else the first eligible one, else null."""
+    open_ = F.array_except(targets, covered)
+    usable = F.filter(pool, lambda c: c["eligible"])
+    aimed = F.filter(usable, lambda c: F.array_contains(open_, c["parent"]))
+    return F.try_element_at(F.concat(aimed, usable), F.lit(1))["unit"]
+
+
 def coverage_students(states: DataFrame) -> DataFrame:
     """All states (qid, t, candidates, covered) with the unit that covers most as their target, as far as there is one."""
     return states.select("qid", "t", coverage_target(F.col("candidates"), F.col("covered")).alias("positive")).where("positive is not null")

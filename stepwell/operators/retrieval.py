@@ -44,6 +44,22 @@ def top_k(scores: DataFrame, k: int, by: str = "qid", unit: str = "doc", score:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_unused_atoms(shortlist: DataFrame, atoms: DataFrame, questions: DataFrame, used: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, chunk, unit, score, rank): of each shortlisted chunk its best atom not yet used, then the k best of a question.
+
+    ``shortlist``: qid, chunk. ``atoms``: chunk, unit, text. ``used``: qid, unit. An atom is scored by BM25 among
+    the atoms of its chunk, used ones too, so that a score doesn't change while a chunk is read; one without a
+    question token has 0. Ties go to the lesser unit.
+    """
+    asked = shortlist.join(questions, "qid").select("qid", "chunk", "text")
+    held = atoms.join(shortlist.select("chunk").distinct(), "chunk", "left_semi")
+    scored = bm25(held.select(F.col("unit").alias("doc"), "chunk", "text"), asked, "chunk").withColumnRenamed("doc", "unit")
+    open_ = shortlist.select("qid", "chunk").join(held.select("chunk", "unit"), "chunk").join(used, ["qid", "unit"], "left_anti")
+    score = F.coalesce("score", F.lit(0.0))
+    best = open_.join(scored, ["qid", "unit"], "left").groupBy("qid", "chunk").agg(F.min(F.struct((-score).alias("s"), F.col("unit"))).alias("b"))
+    return top_k(best.select("qid", "chunk", F.col("b.unit").alias("unit"), (-F.col("b.s")).alias("score")), k, unit="unit")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -24,6 +24,21 @@ def cheap_stop(scores: Column, need_note: Column, failed: Column) -> Column:
     return raw_complete(scores) & ~need_note & ~failed
 
 
+def near_complete(scores: Column) -> Column:
+    """All required role scores come close; false without any."""
+    return (F.size(scores) > 0) & raw_complete(scores, NEAR_COMPLETE)
+
+
+def no_note_needed(recent_check: Column, redundant: Column, recent_bridge: Column) -> Column:
+    return recent_check | (redundant & recent_bridge)
+
+
+def legacy_stop(scores: Column, no_note: Column, progress: Column) -> Column:
+    """The gate that controls by default: complete, and no note is needed or the last step made no progress."""
+    stalled = F.coalesce(F.try_element_at(progress, F.lit(-1)) == 0, F.lit(False))
+    return raw_complete(scores) & (no_note | (stalled & near_complete(scores)))
+
+
 def need_note(mean_score: Column, bridgeable: Column, recent_check: Column, failure: Column) -> Column:
     return (mean_score >= SEMANTIC) & bridgeable & (~recent_check | failure)
 
