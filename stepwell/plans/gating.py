@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import datasets as D
+from ..operators import frontend
 from ..operators import gates as G
 from ..operators import retrieval as R
 from ..operators import teacher
@@ -162,3 +163,15 @@ def best_unused_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = top.join(atoms.where((F.col("chunk") + F.col("sent_id")) % 5 == 0), "chunk").select("qid", "unit")
     out = R.best_unused_atoms(top, atoms, asked, used)
     return out.select("qid", F.col("chunk").alias("doc"), "unit", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def rebuilt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each question from the sentences of its eight chunks; the second channel is token overlap. Tested against a plain version."""
+    asked = _questions(spark, sf_dir)
+    top = R.top_k(R.bm25(_docs(spark, sf_dir), asked), 8).select("qid", F.col("doc").alias("doc_id"))
+    chosen = dealt(table(spark, sf_dir, "documents")).join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    pool = U.units(chosen).join(top.withColumnRenamed("doc_id", "doc"), "doc").select("qid", F.col("unit_id").alias("unit"), "doc", "sent_id", "text")
+    dense = pool.join(asked.withColumnRenamed("text", "question"), "qid").select("qid", "unit", F.round(T.jaccard(T.tokens(F.col("question")), T.tokens(F.col("text")), 0.0), 6).alias("score"))
+    positives = pool.groupBy("qid").agg(F.max("unit").alias("unit"))
+    return frontend.rebuild(pool, dense, asked, positives)
