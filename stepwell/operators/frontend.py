@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import retrieval as R
-from .rewrite import compose, hard_negatives
+from .rewrite import placed
 from .selection import okapi
 
+#: The ranked channels, in the order of their turns.
+CHANNELS = ("bm25", "dense", "rrf")
+
 
 def rebuild(
     pool: DataFrame, dense: DataFrame, questions: DataFrame, positives: DataFrame, front_k: int = 30, top_k: int = 10, window: int = 1,
@@ -19,26 +22,31 @@ def rebuild(
     ``pool``: qid, unit, doc, sent_id, text. ``dense``: qid, unit, score. ``questions``: qid, text.
     ``positives``: qid, unit, in the pool. Columns: qid, candidates, bm25_rank, dense_rank and
     rrf_rank of the positive, natural (whether MMR took it by itself), forced, hard (units, in
-    order). Equal scores rank by unit.
+    order). Equal scores rank by unit. Ranks, expansion and layers are windows of one table of the
+    questions' pools, so that nothing is scored twice; a pool is what retrieval left of a question.
     """
-    ranked = lambda f: R.top_k(f, 1 << 30, unit="unit").select("qid", "unit", "score", F.col("rank").alias("pos"))
-    lexical = okapi(pool.select("qid", F.col("unit").alias("doc"), "text"), questions).withColumnRenamed("doc", "unit")
-    channels = {"bm25": ranked(lexical), "dense": ranked(dense.select("qid", "unit", "score"))}
-    channels["rrf"] = ranked(R.rrf([c.withColumnRenamed("pos", "rank") for c in channels.values()]))
-    seeds = R.ordered_union([channels[c].where(F.col("pos") <= front_k).select("qid", "unit", "pos") for c in ("bm25", "dense")])
-    at = pool.select("qid", "unit", F.concat_ws("\x1f", F.col("qid").cast("string"), F.col("doc").cast("string")).alias("doc"), "sent_id")
-    near = R.neighbours(seeds.select("qid", "unit").join(at, ["qid", "unit"]), at.withColumnRenamed("unit", "unit_id").drop("qid"), window)
-    expanded = near.select("qid", F.col("unit_id").alias("unit"))
-    front = channels["rrf"].select("qid", "unit", F.col("score").alias("relevance"))
-    chosen = R.mmr(pool.join(expanded, ["qid", "unit"], "left_semi").join(front, ["qid", "unit"]).select("qid", "unit", "doc", "text", "relevance"), top_k, lambda_, same_doc)
-    chosen = chosen.where(F.col("pos") <= top_k)
-    negatives = hard_negatives(expanded, {n: c.select("qid", "unit", "pos") for n, c in channels.items()}, positives, source, hard)
-    final = compose(negatives, chosen, channels["rrf"].select("qid", "unit", "pos"), positives, top_k, force)
-    listed = lambda f, name: f.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "unit"))), lambda x: x["unit"]).alias(name))
-    out = positives.select("qid", "unit").join(listed(final, "candidates"), "qid")
-    for name, c in channels.items():
-        out = out.join(c.select("qid", "unit", F.col("pos").alias(f"{name}_rank")), ["qid", "unit"])
-    natural = chosen.select("qid", "unit", F.lit(True).alias("natural"))
-    out = out.join(natural, ["qid", "unit"], "left").withColumn("natural", F.coalesce("natural", F.lit(False)))
-    out = out.join(listed(negatives, "hard"), "qid", "left").withColumn("hard", F.coalesce("hard", F.array().cast(final.select(F.array("unit").alias("a")).schema["a"].dataType)))
-    return out.select("qid", "candidates", "bm25_rank", "dense_rank", "rrf_rank", "natural", (~F.col("natural") & F.lit(force)).alias("forced"), "hard")
+    by, doc = Window.partitionBy("qid"), Window.partitionBy("qid", "doc")
+    place = lambda *order: F.row_number().over(by.orderBy(*order, "unit"))
+    lexical = okapi(pool.select("qid", F.col("unit").alias("doc"), "text"), questions).select("qid", F.col("doc").alias("unit"), F.col("score").alias("_lexical"))
+    rows = pool.join(lexical, ["qid", "unit"]).join(dense.select("qid", "unit", F.col("score").alias("_dense")), ["qid", "unit"])
+    rows = rows.join(positives.select("qid", "unit", F.lit(True).alias("_own")), ["qid", "unit"], "left").withColumn("positive", F.coalesce("_own", F.lit(False)))
+    rows = rows.withColumn("bm25", place(F.desc("_lexical"))).withColumn("dense", place(F.desc("_dense")))
+    rows = rows.withColumn("relevance", F.round(1 / (R.RRF_K + F.col("bm25")) + 1 / (R.RRF_K + F.col("dense")), 6)).withColumn("rrf", place(F.desc("relevance")))
+    seed = (F.col("bm25") <= front_k) | (F.col("dense") <= front_k)
+    rows = rows.withColumn("near", F.max(seed).over(doc.orderBy("sent_id").rangeBetween(-window, window)))
+    turn = lambda c, i: F.struct(F.col(c).alias("p"), F.lit(i).alias("l"))  # noqa: E731  whose turn a unit has in the round-robin
+    order = F.least(*(turn(c, i) for i, c in enumerate(CHANNELS))) if source == "mixed" else turn(source, 0)
+    open_ = F.col("near") & ~F.col("positive")
+    rows = rows.withColumn("_hard", F.when(open_, place(F.desc(open_), order))).withColumn("hard", F.when(F.col("_hard") <= hard, F.col("_hard")))
+    chosen = R.mmr(rows.where("near").select("qid", "unit", "doc", "text", "relevance"), top_k, lambda_, same_doc).where(F.col("pos") <= top_k)
+    rows = rows.drop("text").join(chosen.select("qid", "unit", F.col("pos").alias("mmr")), ["qid", "unit"], "left")
+    layer = lambda n, p: F.when(p.isNotNull(), F.struct(F.lit(n).alias("l"), p.cast("int").alias("p")))
+    forced = [layer(2, F.when(F.col("positive"), F.lit(0)))] if force else []
+    rows = rows.withColumn("at", F.least(layer(0, F.col("hard")), layer(1, F.col("mmr")), layer(3, F.col("rrf")), *forced))
+    own = lambda c: F.max(F.when(F.col("positive"), c)).over(by)
+    rows = rows.select("qid", "unit", "at", "positive", "hard", *(own(F.col(c)).alias(f"{c}_rank") for c in CHANNELS), own(F.col("mmr").isNotNull()).alias("natural"))
+    rows = rows.withColumn("_hard", F.collect_list(F.when(F.col("hard").isNotNull(), F.struct("hard", "unit"))).over(by)).where(F.col("bm25_rank").isNotNull())
+    names = lambda c: F.transform(F.array_sort(c), lambda x: x["unit"])
+    first = lambda c: F.first(c).alias(c)
+    out = placed(rows, top_k, force).groupBy("qid").agg(names(F.collect_list(F.struct("pos", "unit"))).alias("candidates"), *map(first, ("bm25_rank", "dense_rank", "rrf_rank", "natural", "_hard")))
+    return out.select("qid", "candidates", "bm25_rank", "dense_rank", "rrf_rank", "natural", (~F.col("natural") & F.lit(force)).alias("forced"), names(F.col("_hard")).alias("hard"))

@@ -28,14 +28,19 @@ def compose(hard: DataFrame, mmr: DataFrame, front: DataFrame, positives: DataFr
     if require:
         listed = listed.unionByName(positives.select("qid", "unit", F.struct(F.lit(2).alias("l"), F.lit(0).alias("p")).alias("at")))
     first = listed.groupBy("qid", "unit").agg(F.min("at").alias("at"))
-    pos = first.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("at", "unit")))
+    marked = first.join(positives.select("qid", "unit", F.lit(True).alias("positive")), ["qid", "unit"], "left")
+    return placed(marked, target, require).select("qid", "unit", "pos")
+
+
+def placed(listed: DataFrame, target: int, require: bool) -> DataFrame:
+    """The first ``target`` rows of (qid, unit, at, positive) by ``at`` with pos; a required positive that comes later takes the last place."""
+    pos = listed.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("at", "unit")))
     if not require:
-        return pos.where(F.col("pos") <= target).select("qid", "unit", "pos")
-    marked = pos.join(positives.select("qid", "unit", F.lit(True).alias("positive")), ["qid", "unit"], "left")
-    place = F.when(F.col("positive"), F.least("pos", F.lit(target))).otherwise(F.col("pos"))
-    late = F.max(F.when(F.col("positive"), F.col("pos"))).over(Window.partitionBy("qid")) > target
-    keep = F.col("positive").isNotNull() | (F.col("pos") < F.when(F.coalesce(late, F.lit(False)), target).otherwise(target + 1))
-    return marked.withColumn("_keep", keep).withColumn("_place", place).where("_keep").select("qid", "unit", F.col("_place").alias("pos"))
+        return pos.where(F.col("pos") <= target)
+    own = F.coalesce("positive", F.lit(False))
+    late = F.coalesce(F.max(F.when(own, F.col("pos"))).over(Window.partitionBy("qid")) > target, F.lit(False))
+    kept = pos.withColumn("_late", late).where(own | (F.col("pos") < F.when(F.col("_late"), target).otherwise(target + 1)))
+    return kept.withColumn("pos", F.when(own, F.least("pos", F.lit(target))).otherwise(F.col("pos"))).drop("_late")
 
 
 def candidate_pool(units: DataFrame, positives: DataFrame, most: int, seed: int) -> DataFrame:

@@ -133,7 +133,8 @@ def unresolved_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clue_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clues of benchmark items read against their first hundred characters; tested on known questions."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", G.question_clues(F.col("text")).alias("clues"), F.left("text", F.lit(100)).alias("evidence"))
+    """Clues of benchmark items read against the whole document of their number as evidence, none where there is no such document; tested on known questions."""
+    read = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("evidence"))
+    rows = table(spark, sf_dir, "benchmark").join(read, "item_id", "left").select("item_id", G.question_clues(F.col("text")).alias("clues"), F.coalesce("evidence", F.lit("")).alias("evidence"))
     state = rows.select("item_id", G.clue_state(F.col("clues"), F.col("evidence")).alias("state"))
     return state.select("item_id", F.size("state").alias("clues"), F.size(F.filter("state", lambda c: c["covered"])).alias("covered"), G.render_clues(F.col("state")).alias("rendered"))

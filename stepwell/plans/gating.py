@@ -171,7 +171,7 @@ def rebuilt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _questions(spark, sf_dir)
     top = R.top_k(R.bm25(_docs(spark, sf_dir), asked), 8).select("qid", F.col("doc").alias("doc_id"))
     chosen = dealt(table(spark, sf_dir, "documents")).join(top.select("doc_id").distinct(), "doc_id", "left_semi")
-    pool = U.units(chosen).join(top.withColumnRenamed("doc_id", "doc"), "doc").select("qid", F.col("unit_id").alias("unit"), "doc", "sent_id", "text")
+    pool = U.units(chosen).join(top.withColumnRenamed("doc_id", "doc"), "doc").select("qid", F.col("unit_id").alias("unit"), "doc", "sent_id", "text").persist()  # eight chunks a question, read by every channel
     dense = pool.join(asked.withColumnRenamed("text", "question"), "qid").select("qid", "unit", F.round(T.jaccard(T.tokens(F.col("question")), T.tokens(F.col("text")), 0.0), 6).alias("score"))
     positives = pool.groupBy("qid").agg(F.max("unit").alias("unit"))
     return frontend.rebuild(pool, dense, asked, positives)

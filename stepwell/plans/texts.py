@@ -46,9 +46,9 @@ _AUX = "|".join(T.AUXILIARIES)
 
 
 @query(
-    f"""WITH q AS (SELECT unnest([{", ".join("'" + q + "'" for q in _QUESTIONS)}]) AS question), l AS (SELECT question, trim(lower(question)) AS q, rtrim(lower(trim(question)), '?') AS g,
+    f"""WITH q AS (SELECT item_id, ([{", ".join("'" + q + "'" for q in _QUESTIONS)}])[item_id % {len(_QUESTIONS)} + 1] || ' ' || text AS question FROM benchmark), l AS (SELECT item_id, question, trim(lower(question)) AS q, rtrim(lower(trim(question)), '?') AS g,
  array_to_string(regexp_extract_all(lower(question), '[a-z0-9]+(?:[-''][a-z0-9]+)*'), ' ') AS c FROM q)
-SELECT question, regexp_matches(q, '^({_AUX}) ') AS yes_no,
+SELECT item_id, regexp_matches(q, '^({_AUX}) ') AS yes_no,
  CASE WHEN regexp_matches(q, '^({_AUX}) ') THEN 'yes_no' WHEN regexp_matches(q, '\\bhow\\s+(many\\s+)?(hours?|days?|weeks?|months?|years?)\\b') THEN 'duration'
  WHEN regexp_matches(q, '\\bwhich\\s+branch\\s+of\\s+mathematics\\b') THEN 'math_branch' """
     + " ".join(f"WHEN regexp_matches(q, '\\b(what|which)\\s+{k}\\b') THEN '{k}'" for k in ("river", "university", "county", "city", "state"))
@@ -60,9 +60,10 @@ SELECT question, regexp_matches(q, '^({_AUX}) ') AS yes_no,
  regexp_matches(lower(question), '\\d|{"|".join(T.MONTHS)}') AS number_like, array_to_string(regexp_extract_all(question, '\\d+(?:[./:-]\\d+)*'), ' ') AS numbers FROM l"""
 )
 def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("question")
-    rows = spark.createDataFrame([(x,) for x in _QUESTIONS], "question string")
-    return rows.select("question", T.is_yes_no(q).alias("yes_no"), T.focus_kind(q).alias("focus"), T.answer_type(q).alias("answer_type"), T.goal(q).alias("goal"), T.number_like(q).alias("number_like"), F.array_join(T.numeric_tokens(q), " ").alias("numbers"))
+    """Every item, led by one of the questions by turns."""
+    q, led = F.col("question"), F.element_at(F.array(*map(F.lit, _QUESTIONS)), (F.col("item_id") % len(_QUESTIONS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(led, F.lit(" "), F.col("text")).alias("question"))
+    return rows.select("item_id", T.is_yes_no(q).alias("yes_no"), T.focus_kind(q).alias("focus"), T.answer_type(q).alias("answer_type"), T.goal(q).alias("goal"), T.number_like(q).alias("number_like"), F.array_join(T.numeric_tokens(q), " ").alias("numbers"))
 
 
 @query("""SELECT doc_id, sha256('7::' || doc_id) AS order_key, rtrim(left(trim(text), 80)) AS short, CASE WHEN length(text) <= 80 THEN text ELSE rtrim(left(text, 77)) || '...' END AS dotted FROM documents""")
