@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import frontend
 from ..operators import gates as G
+from ..operators import online
 from ..operators import retrieval as R
 from ..operators import teacher
 from ..operators import trajectories as J
@@ -98,6 +99,15 @@ def unit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("qid", "t", T.is_note(unit).alias("note"), T.unit_chunk(unit).alias("chunk"))
 
 
+@query(f"""WITH {STEPS} SELECT qid, coalesce(string_agg(unit || '@' || CASE WHEN doc % 2 = 0 THEN t ELSE 0 END, ',' ORDER BY t), '') AS refs FROM (SELECT * FROM steps WHERE role <> 'bridge' UNION ALL SELECT qid, 0, NULL, NULL, NULL, NULL, NULL, NULL FROM steps WHERE role = 'bridge') GROUP BY qid""")
+def minimal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References without a unit are dropped, those without a step get 0."""
+    ref = F.struct(F.when(F.col("role") != "bridge", F.col("unit")).alias("unit_id"), F.when(F.col("doc") % 2 == 0, F.col("t")).alias("added_step"))
+    rows = steps(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("t", ref.alias("r")))).alias("o"))
+    refs = online.plain_refs(F.transform("o", lambda x: x["r"]))
+    return rows.select("qid", F.array_join(F.transform(refs, lambda r: F.concat_ws("@", r["unit_id"], r["added_step"].cast("string"))), ",").alias("refs"))
+
+
 @query(f"""WITH {STEPS}, s AS (SELECT qid, count(*) FILTER (role = 'support') AS facts, count(*) FILTER (role = 'support' AND discount < 0.09) AS resolved, count(*) FILTER (role = 'distinguish') AS others FROM steps GROUP BY qid)
 SELECT qid, CASE WHEN qid % 11 = 0 THEN 'missing_question' WHEN qid % 13 = 0 THEN 'missing_answer' WHEN facts = 0 THEN 'no_facts' WHEN resolved < facts THEN 'unresolved_fact' WHEN others = 0 THEN 'no_distractor' ELSE '' END AS reason FROM s""")
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
