@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codec, fingerprint, langid, mpegts, neardup, packing, pii, quality, token_counts
+from . import asof, chat, codec, fingerprint, langid, mpegts, neardup, packing, pii, quality, token_counts
 from .frames import documents, shared_dir
 
 
@@ -60,9 +60,42 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
 
 
+def op13_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.clicks_to_orders(spark.read.parquet(f"{sf_dir}/clicks.parquet"), spark.read.parquet(f"{sf_dir}/sales.parquet"))
+
+
+#: crc32 of an id's digits by its definition, then the collapsed orders met by DuckDB's own as-of join.
+OP13_SQL = """
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+           lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+numbered AS (
+  SELECT click_id AS id, 1 AS side, max(client_id) AS client, max(epoch_us(ts)) AS us, NULL::INT AS priority, NULL::DOUBLE AS total FROM clicks GROUP BY click_id
+  UNION ALL SELECT sale_id, 0, client_id, epoch_us(sold_at), priority, total FROM sales),
+hashed AS (
+  SELECT n.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM numbered n, tab),
+timed AS (SELECT * REPLACE (CASE WHEN h % 2 = 1 THEN us - (us % 3600000000) ELSE us END AS us) FROM hashed),
+orders AS (
+  SELECT client, us, id AS sale, priority, total FROM timed WHERE side = 0
+  UNION ALL SELECT client, us, -1 - id, 6 - priority, total FROM timed WHERE side = 0 AND h % 3 <> 0),
+ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY client, us) AS tied,
+         row_number() OVER (PARTITION BY client, us ORDER BY priority NULLS LAST, sale DESC NULLS LAST, floor(100 * total + 0.5) DESC NULLS LAST) AS r
+  FROM orders WHERE client IS NOT NULL AND us IS NOT NULL),
+winners AS (SELECT * FROM ranked WHERE r = 1),
+met AS (
+  SELECT c.id, c.client, c.us, w.us AS o_us, w.sale, w.total, w.tied, coalesce(c.us - w.us <= 240 * 3600000000, false) AS fits
+  FROM (SELECT * FROM timed WHERE side = 1) c ASOF LEFT JOIN winners w ON c.client = w.client AND c.us >= w.us)
+SELECT id AS click_id, client AS client_id, us AS ts_us, CASE WHEN fits THEN sale END AS sale_id, CASE WHEN fits THEN us - o_us END AS lag_us,
+       CASE WHEN fits THEN floor(100 * total + 0.5)::BIGINT END AS total_cents, CASE WHEN fits THEN tied ELSE 0 END AS n_tied
+FROM met"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_asof": OP13_SQL}
