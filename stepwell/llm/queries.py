@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, chat, codec, fingerprint, langid, mpegts, neardup, packing, pii, quality, token_counts
+from . import asof, chat, codec, fingerprint, langid, mpegts, neardup, packing, pii, quality, token_counts, wand
 from .frames import documents, shared_dir
 
 
@@ -60,6 +60,26 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
 
 
+def op11_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Every document scored for every item.
+OP11_SQL = f"""
+WITH found AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY term, n_docs),
+impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS s FROM counts JOIN lengths USING (doc_id) JOIN weights USING (term), whole),
+scores AS (SELECT item_id, doc_id, sum(times * s)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
 def op13_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.clicks_to_orders(spark.read.parquet(f"{sf_dir}/clicks.parquet"), spark.read.parquet(f"{sf_dir}/sales.parquet"))
 
@@ -98,4 +118,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_asof": OP13_SQL}
+    return {"op11_wand": OP11_SQL, "op13_asof": OP13_SQL}
