@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, chat, codec, fingerprint, langid, mpegts, neardup, packing, pii, quality, token_counts, wand
+from . import asof, chat, codec, fingerprint, langid, mpegts, neardup, packing, pii, quality, token_counts, urltree, wand
 from .frames import documents, shared_dir
 
 
@@ -80,6 +80,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
 
 
+#: (verdict, host, path) of the rules (fixed values).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op13_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.clicks_to_orders(spark.read.parquet(f"{sf_dir}/clicks.parquet"), spark.read.parquet(f"{sf_dir}/sales.parquet"))
 
