@@ -229,9 +229,11 @@ def slot_summary(evidence: Column, note: Column, goal: Column) -> Column:
     return T.shorten(parts, 160)
 
 
-def deficit_stop(deficits: Column, t: Column, threshold: float = 0.12, least: int = 1) -> Column:
-    """Whether the mean deficit has fallen to the threshold after the least number of steps."""
-    return (t >= least) & (F.aggregate(deficits, F.lit(0.0), lambda s, x: s + x) / F.size(deficits) <= threshold)
+def deficit_stop(deficits: Column, t: Column, threshold: float = 0.12, least: int = 1, mode: str | int = "mean") -> Column:
+    """Whether the deficit has fallen to the threshold after the least number of steps: the mean of all heads, the largest, or the one at a place."""
+    mean = F.aggregate(deficits, F.lit(0.0), lambda s, x: s + x) / F.size(deficits)
+    value = {"mean": mean, "max": F.array_max(deficits)}[mode] if isinstance(mode, str) else F.get(deficits, F.lit(mode))
+    return (t >= least) & (value <= threshold)
 
 
 def lexical(text: Column) -> Column:

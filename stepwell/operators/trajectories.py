@@ -172,8 +172,9 @@ def cyclic_next(rows: DataFrame, id_: str, part: str, width: int = RANGE_IDS) ->
 
 
 def notebook(entries: Column, most: int = 8, chars: int = 260) -> Column:
-    """Rendered state: newest first, ``[i] title: text``. ``entries``: array of (added_step, count, title, text)."""
-    newest = F.slice(F.reverse(F.array_sort(entries)), 1, most)
+    """Rendered state: newest first, ``[i] title: text``, those of one step and count in their order. ``entries``: array of (added_step, count, title, text)."""
+    keyed = F.transform(entries, lambda e, i: F.struct(e["added_step"], e["count"], (-i).alias("i"), e["title"].alias("title"), e["text"].alias("text")))
+    newest = F.slice(F.reverse(F.array_sort(keyed)), 1, most)
     cut = lambda x: F.when(F.length(x) <= chars, x).otherwise(F.concat(F.rtrim(F.left(x, F.lit(chars - 3))), F.lit("...")))
     return F.array_join(F.transform(newest, lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), e["title"], F.lit(": "), cut(e["text"]))), "\n")
 
