@@ -93,13 +93,17 @@ def render_clues(state: Column) -> Column:
 
 def answer_ready(texts: Column, anchors: Column, kind: Column) -> Column:
     """Whether one of the first five texts has both a query anchor and the answer type."""
-    return F.exists(F.slice(texts, 1, 5), lambda t: F.arrays_overlap(T.tokens(t), anchors) & answer_signal(t, kind))
+    return F.exists(F.slice(texts, 1, 5), lambda t: F.arrays_overlap(T.anchors(t), anchors) & answer_signal(t, kind))
 
 
-def bridge_gap(texts: Column, anchors: Column, kind: Column) -> Column:
-    """Whether one text has only a query anchor, another only the answer type, and they share a token."""
-    touch, typed = (lambda t: F.arrays_overlap(T.tokens(t), anchors)), (lambda t: answer_signal(t, kind))
-    return F.exists(texts, lambda a: touch(a) & ~typed(a) & F.exists(texts, lambda b: typed(b) & ~touch(b) & F.arrays_overlap(T.tokens(a), T.tokens(b))))
+def bridge_gap(texts: Column, anchors: Column, kind: Column, state_anchors: Column | None = None) -> Column:
+    """Whether one of the first five texts has only a query anchor, another only the answer type, and two of them share an anchor, or one does with the state's."""
+    told = F.transform(F.slice(texts, 1, 5), lambda t: F.struct(T.anchors(t).alias("a"), answer_signal(t, kind).alias("typed")))
+    touch = lambda x: F.arrays_overlap(x["a"], anchors)
+    of_state = (lambda x: F.arrays_overlap(x["a"], state_anchors)) if state_anchors is not None else (lambda x: F.lit(False))
+    shared = lambda xs: F.exists(F.transform(xs, lambda x, i: of_state(x) | F.exists(F.slice(xs, i + 2, F.size(xs)), lambda y: F.arrays_overlap(x["a"], y["a"]))), lambda s: s)
+    whole = lambda xs: (F.size(xs) >= 2) & F.exists(xs, lambda x: touch(x) & ~x["typed"]) & F.exists(xs, lambda x: x["typed"] & ~touch(x)) & shared(xs)
+    return F.transform(F.array(told), whole)[0]
 
 
 def recent_note(types: Column, kind: str, window: int = 2) -> Column:
