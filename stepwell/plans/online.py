@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import adapters, datasets, gates, online, selection, teacher
+from ..operators import adapters, datasets, gates, online, selection, support, teacher
 from .registry import STEPS, query, steps, table
 from .texts import TOK
 
@@ -62,13 +62,16 @@ def teacher_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", online.teacher_render(F.col("raw"), F.when(F.size("raw") >= 2, note).otherwise(F.slice(note, 1, 0))).alias("context"))
 
 
-@query(f"""WITH {STEPS}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY t DESC) AS r FROM steps), s AS (SELECT qid, count(*) AS n, avg(discount) * 10 AS ratio FROM steps GROUP BY qid),
-p AS (SELECT qid, count(*) FILTER (discount > 0.07) AS f, max_by(role, t) AS answer FROM l WHERE r <= 2 GROUP BY qid) SELECT qid, f AS false_stops, answer, (n % 2 = 0 AND ratio >= 0.6) AS stagnation, (f > 0 AND n % 2 = 0 AND ratio >= 0.6) AS override FROM p JOIN s USING (qid)""")
+@query(f"""WITH {STEPS}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY t DESC) AS r, CASE WHEN quantity > 40 THEN NULL WHEN quantity > 20 THEN role ELSE 'yes' END AS answer FROM steps),
+s AS (SELECT qid, count(*) AS n, avg(discount) * 10 AS ratio FROM steps GROUP BY qid), p AS (SELECT qid, count(*) FILTER (discount > 0.07) AS f, max(answer) FILTER (r = 1) AS answer, bool_or(quantity > 25) FILTER (r = 1) AS correct FROM l WHERE r <= 2 GROUP BY qid)
+SELECT qid, f AS false_stops, answer, correct, n % 2 AS delta, (n % 2 = 0 AND ratio >= 0.6) AS stagnation, coalesce(qid % 2 = 0 AND answer NOT IN ('yes', 'no'), false) AS mismatch FROM p JOIN s USING (qid)""")
 def failure_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = F.struct("t", (F.col("discount") > 0.07).alias("false_stop"), F.col("role").alias("answer"), (F.col("quantity") > 25).alias("correct"))
+    """Every second question is one of yes or no, which the last answer may miss."""
+    answer = F.when(F.col("quantity") > 40, F.lit(None).cast("string")).when(F.col("quantity") > 20, F.col("role")).otherwise("yes")
+    probe = F.struct("t", answer.alias("answer"), (F.col("quantity") > 25).alias("correct"), F.lit(True).alias("sufficient"), (F.col("discount") <= 0.07).alias("stop"))
     rows = steps(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_list(probe)).alias("probes"), (F.count(F.lit(1)) % 2).alias("delta"), (F.avg("discount") * 10).alias("ratio"))
-    s = online.failure_signals(F.col("probes"), F.col("delta"), F.col("ratio"), F.lit(False))
-    return rows.select("qid", s["false_stop_count_recent"].cast("long").alias("false_stops"), s["last_probe_pred_answer"].alias("answer"), s["stagnation"].alias("stagnation"), s["repair_override"].alias("override"))
+    s = support.failure_signals(F.when(F.col("qid") % 2 == 0, "Is it one?").otherwise("What is it?"), F.col("probes"), F.col("delta"), F.col("ratio"))
+    return rows.select("qid", s.alias("s")).select("qid", F.col("s.false_stop_count_recent").cast("long").alias("false_stops"), F.col("s.last_probe_pred_answer").alias("answer"), F.col("s.last_probe_answer_correct").alias("correct"), F.col("s.last_delta_covered_targets").cast("long").alias("delta"), "s.stagnation", F.col("s.answer_focus_mismatch").alias("mismatch"))
 
 
 @query(f"""WITH {STEPS}, a AS (SELECT qid, t, role, discount, CASE WHEN quantity > 40 THEN '' WHEN quantity > 20 THEN 'bridge' ELSE role END AS answer FROM steps)

@@ -102,3 +102,51 @@ def test_trajectories(spark, questions):
         assert all(a[2] == b[2] or abs(a[2] - b[2]) < 2e-9 for a, b in zip(mine, want))
         ends[want[-1][-1] or "terminal"] += 1
     assert set(ends) == {"terminal", "stalled", "empty_candidate_pool", "repeated_false_stop_no_progress", "max_steps"}, ends
+
+
+def test_notes_of_whole_documents(spark):
+    import re
+
+    from stepwell.plans import rollouts
+
+    got = {r["doc_id"]: (r["type"], r["text"], r["sources"]) for r in rollouts.rule_made_notes(spark, "/root/testdata/sf0.001").collect()}
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        text, name = r["text"] or "", f"Document {r['doc_id']}"
+        phrases = plain.once(re.findall(r"[A-Z][A-Za-z0-9'&().-]+(?:\s+[A-Z][A-Za-z0-9'&().-]+)*", text, re.ASCII))
+        units = [{"unit": f"{name}::{i}", "doc": name, "text": s} for i, s in enumerate(p for p in (x.strip(" ") for x in re.split(r"(?<=[.!?])\s+", text, flags=re.ASCII)) if p)]
+        asked = ["Which city has ", "Who wrote of ", "What year saw ", "What is "][r["doc_id"] % 4] + (phrases[1] if len(phrases) > 1 else "it") + "?"
+        note = plain.rule_note(asked, max(phrases, key=len, default=""), units, r["doc_id"] % 5 == 0)
+        if note:
+            want[r["doc_id"]] = (note["type"], note["text"], ",".join(note["sources"]))
+    assert got == want
+
+
+def test_repair_focus_and_continuity(spark):
+    q = FALSE_STOPS
+    kept = F.array(F.struct(F.lit("n1").alias("unit"), F.lit("bridge_note").alias("type"), F.lit("x").alias("text"), F.array(F.lit(q["pool"][3]["unit"])).alias("sources"), F.lit(1).alias("priority")))
+    as_candidate = lambda u: F.struct(u["unit"].alias("unit"), F.lit(False).alias("is_note"), F.lit(None).cast("string").alias("type"), u["doc"].alias("doc"), u["text"].alias("text"), F.array().cast("array<string>").alias("sources"), F.lit(0).alias("closure"))
+    focus = notes.repair_focus(as_candidate(F.col("pool")[2]), kept, F.col("pool"), F.col("question"), F.lit("x"))
+    rows = frame(spark, [q]).withColumn("focus", focus)
+    r = rows.select("focus", F.transform("pool", lambda u: notes.continuity(as_candidate(u), F.col("focus"), F.col("question"))).alias("c")).first()
+    unit = lambda i: q["pool"][i]["unit"]
+    assert r["focus"]["sources"] == [unit(3), unit(2)] and r["focus"]["carried"] == [unit(3), unit(2), "n1"]
+    own = {i: (c["bonus"], c["reasons"], c["linked"]) for i, c in enumerate(r["c"])}
+    assert own[2] == (0.88, ["repair_carryover_candidate", "shares_source_with_repair_focus", "shares_repair_focus_anchor"], True)
+    assert own[3] == (1.03, ["repair_carryover_candidate", "shares_source_with_repair_focus", "shares_repair_focus_anchor", "supports_answer_type_closure"], True)
+    assert own[5] == (0.0, [], False)
+
+
+@pytest.mark.parametrize("flag", [False, True])
+def test_legal_valued_and_retained_notes(spark, flag):
+    made = [("verification_note", "Old Mill stands by the river.", ["a"], 2), ("bridge_note", "Old Mill stands by the river!", ["a", "b"], 1), ("bridge_note", "Two. Sentences.", ["a"], 1), ("other", "No type.", ["a"], 1), ("bridge_note", "Seen before.", ["b"], 1), ("bridge_note", "Unseen source.", ["z"], 1), ("bridge_note", "A new way to Lena Stone.", ["b"], 3)]
+    rows = spark.createDataFrame([("q", made)], "qid string, made array<struct<type:string,text:string,sources:array<string>,priority:int>>")
+    visible = F.array(F.lit("a"), F.lit("b"))
+    rows = rows.withColumn("h", notes.harvested(F.col("qid"), F.col("made"), visible, F.lit(5)))
+    rows = rows.withColumn("j", notes.judged(F.col("h"), visible, F.array(F.lit("Seen before"))))
+    rows = rows.withColumn("v", notes.valued(F.filter("j", lambda n: F.size(n["faults"]) == 0), F.lit("Which river runs by Old Mill?"), F.lit("river"), F.lit("generic")))
+    r = rows.withColumn("k", notes.retained(F.col("v"), F.lit(flag), F.lit("early_bridge"))).first()
+    assert [(n["unit"], n["priority"]) for n in r["h"]] == [("q::derived::6", 1), ("q::derived::7", 1), ("q::derived::8", 1), ("q::derived::5", 2)]
+    assert [n["faults"] for n in r["j"]] == [[], ["not_single_sentence"], ["duplicate_with_state"], ["duplicate_in_harvest"]]
+    assert [(n["closure"], n["answer_facing"]) for n in r["v"]] == [(9, True)]
+    assert [n["unit"] for n in r["k"]] == ["q::derived::6"]
