@@ -294,3 +294,8 @@ def unit_chunk(unit_id: Column) -> Column:
 
 def is_note(unit_id: Column) -> Column:
     return F.contains(unit_id, F.lit("::derived::"))
+
+
+def is_raw(unit_id: Column) -> Column:
+    """An id of three parts or more whose last is a number, and no note's."""
+    return ~is_note(unit_id) & (F.size(F.split(unit_id, "::")) >= 3) & F.substring_index(unit_id, "::", -1).rlike(r"^\d+$")

@@ -41,24 +41,36 @@ def clue_states(rows: DataFrame) -> DataFrame:
     return rows.select("qid", "t", gates.render_clues(state).alias("notebook"))
 
 
-def coverage_target(candidates: Column, covered: Column) -> Column:
-    """The candidate (unit, targets) with most targets not covered yet, the first by unit among equals; null where none has any."""
-    new = F.transform(candidates, lambda c: F.struct(F.size(F.array_except(c["targets"], covered)).alias("n"), c["unit"].alias("unit")))
-    most = F.array_max(F.transform(new, lambda x: x["n"]))
-    return F.when(most > 0, F.array_min(F.transform(F.filter(new, lambda x: x["n"] == most), lambda x: x["unit"])))
-
-
 def coverage_positive(pool: Column, targets: Column, covered: Column) -> Column:
-    """The first unit of the pool (unit, parent, eligible) whose parent is a target not covered yet, else the first eligible one, else null."""
+    """The first unit of the pool (unit, parent, eligible) whose parent is a target not covered yet, else the first eligible one; where none is eligible the whole pool is. Null for an empty pool."""
     open_ = F.array_except(targets, covered)
     usable = F.filter(pool, lambda c: c["eligible"])
-    aimed = F.filter(usable, lambda c: F.array_contains(open_, c["parent"]))
-    return F.try_element_at(F.concat(aimed, usable), F.lit(1))["unit"]
+    some = F.when(F.size(usable) > 0, usable).otherwise(pool)
+    aimed = F.filter(some, lambda c: F.coalesce(F.array_contains(open_, c["parent"]), F.lit(False)))
+    return F.try_element_at(F.concat(aimed, some), F.lit(1))["unit"]
 
 
 def coverage_students(states: DataFrame) -> DataFrame:
-    """All states (qid, t, candidates, covered) with the unit that covers most as their target, as far as there is one."""
-    return states.select("qid", "t", coverage_target(F.col("candidates"), F.col("covered")).alias("positive")).where("positive is not null")
+    """Every state with the positive that coverage wants in place of its own.
+
+    ``states``: qid, t, pool (array of unit and parent, in order), history (units read so far),
+    targets and covered (parents), positive. Columns: qid, t, positive, aimed (it is of a target
+    not covered yet), negatives (the rest of the pool), acquired (of these the units read),
+    previous (the positive of the state before), switch (from the second step on), source (the
+    old positive), changed, and same_parent (null where it isn't changed).
+    """
+    own = F.transform("pool", lambda c: F.struct(c["unit"].alias("unit"), c["parent"].alias("parent"), (~F.array_contains("history", c["unit"])).alias("eligible")))
+    chosen = states.withColumn("source", F.col("positive")).withColumn("positive", coverage_positive(own, F.col("targets"), F.col("covered")))
+    parent = lambda unit: F.get(F.filter("pool", lambda c: c["unit"] == unit), F.lit(0))["parent"]
+    negatives = F.transform(F.filter("pool", lambda c: c["unit"] != F.col("positive")), lambda c: c["unit"])
+    before = chosen.select("qid", (F.col("t") + 1).alias("t"), F.col("positive").alias("previous"))
+    out = chosen.join(before, ["qid", "t"], "left").withColumn("_parent", parent(F.col("positive"))).withColumn("negatives", negatives)
+    changed = F.col("positive") != F.col("source")
+    aimed = F.coalesce(F.array_contains(F.array_except("targets", "covered"), F.col("_parent")), F.lit(False))
+    return out.select(
+        "qid", "t", "positive", aimed.alias("aimed"), "negatives", F.array_intersect("history", "negatives").alias("acquired"), "previous", (F.col("t") >= 1).alias("switch"), "source", changed.alias("changed"),
+        F.when(changed, F.col("_parent").eqNullSafe(parent(F.col("source")))).alias("same_parent"),
+    )
 
 
 def hard_rows(errors: DataFrame, most: int) -> DataFrame:

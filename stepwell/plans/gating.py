@@ -92,11 +92,12 @@ def support_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.join(lost, "qid", "left").select("qid", "units", "supporting", F.coalesce("u", F.lit(0).cast("long")).alias("unresolved"))
 
 
-@query(f"""WITH {STEPS} SELECT qid, t, role = 'bridge' AS note, CASE WHEN role = 'bridge' THEN qid || '::derived' ELSE qid || '::' || doc END AS chunk FROM steps""")
+@query(f"""WITH {STEPS} SELECT qid, t, role = 'bridge' AS note, role <> 'bridge' AND quantity <= 40 AS raw, CASE WHEN role <> 'bridge' AND quantity > 45 THEN NULL WHEN role <> 'bridge' AND quantity > 40 THEN qid::VARCHAR WHEN role = 'bridge' THEN qid || '::derived' ELSE qid || '::' || doc END AS chunk FROM steps""")
 def unit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
-    unit = F.concat_ws("::", s("qid"), F.when(F.col("role") == "bridge", "derived").otherwise(s("doc")), s("t"))
-    return steps(spark, sf_dir).select("qid", "t", T.is_note(unit).alias("note"), T.unit_chunk(unit).alias("chunk"))
+    whole = F.concat_ws("::", s("qid"), F.when(F.col("role") == "bridge", "derived").otherwise(s("doc")), s("t"))
+    unit = F.when((F.col("role") == "bridge") | (F.col("quantity") <= 40), whole).when(F.col("quantity") > 45, F.concat_ws("::", s("qid"), s("doc"), F.concat(s("t"), F.lit("a")))).otherwise(F.concat_ws("::", s("qid"), s("t")))
+    return steps(spark, sf_dir).select("qid", "t", T.is_note(unit).alias("note"), T.is_raw(unit).alias("raw"), T.unit_chunk(unit).alias("chunk"))
 
 
 @query(f"""WITH {STEPS} SELECT qid, coalesce(string_agg(unit || '@' || CASE WHEN doc % 2 = 0 THEN t ELSE 0 END, ',' ORDER BY t), '') AS refs FROM (SELECT * FROM steps WHERE role <> 'bridge' UNION ALL SELECT qid, 0, NULL, NULL, NULL, NULL, NULL, NULL FROM steps WHERE role = 'bridge') GROUP BY qid""")
@@ -142,7 +143,7 @@ def probe_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("qid", "t", *(c.alias(n) for n, c in probe.items()), F.round(value, 6).alias("utility"))
 
 
-@query(f"""WITH {STEPS}, p AS (SELECT qid, min(t) FILTER (quantity > 10 AND role = 'support' AND discount <= 0.05) AS aimed, min(t) FILTER (quantity > 10) AS usable FROM steps GROUP BY qid) SELECT qid, coalesce(aimed, usable) AS positive FROM p""")
+@query(f"""WITH {STEPS}, p AS (SELECT qid, min(t) FILTER (quantity > 10 AND role = 'support' AND discount <= 0.05) AS aimed, min(t) FILTER (quantity > 10) AS usable, coalesce(min(t) FILTER (role = 'support' AND discount <= 0.05), min(t)) AS whole FROM steps GROUP BY qid) SELECT qid, coalesce(aimed, usable, whole) AS positive FROM p""")
 def coverage_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents are (role, whether the discount is high); supports are targets, those with a high discount are covered."""
     high = F.when(F.col("discount") > 0.05, "high").otherwise("low")

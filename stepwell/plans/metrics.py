@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..operators import statistics as S
+from ..streaming import state
 from .registry import STEPS, query, steps, table
 
 
@@ -130,9 +131,25 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("value"))
 
 
-@query("""WITH s AS (SELECT user_id AS qid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS n, event_type AS unit, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1)::INTEGER AS new FROM events)
-SELECT qid, n - 1 AS t, n AS selected, sum(new) OVER (PARTITION BY qid ORDER BY n)::BIGINT AS distinct_units, unit AS last_unit FROM s""")
+@query("""WITH s AS (SELECT user_id AS qid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, props) - 1 AS t, event_type AS unit, props AS doc FROM events),
+m AS (SELECT *, row_number() OVER (PARTITION BY qid, unit ORDER BY t) AS times, min(t) OVER (PARTITION BY qid, unit) AS added_step, row_number() OVER (PARTITION BY qid, doc ORDER BY t) AS d FROM s)
+SELECT qid, t, unit, added_step, times, count(*) FILTER (times = 1) OVER w AS distinct_units, count(*) FILTER (d = 1) OVER w AS distinct_docs FROM m WINDOW w AS (PARTITION BY qid ORDER BY t)""")
 def replayed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming.state import replay
+    """What every event makes of its user's ledger of event types and properties."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), F.col("ts").alias("at"), F.col("event_type").alias("unit"), F.col("props").alias("doc"))
+    return state.replay(rows)
 
-    return replay(table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), F.col("ts").alias("t"), F.col("event_type").alias("unit")))
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS closes, count(*) AS n, round(sum(value), 6) AS value FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users, which end half an hour after their last event."""
+    rows, at = state.sessions(table(spark, sf_dir, "events")), "yyyy-MM-dd HH:mm:ss"
+    return rows.select("user_id", F.date_format("window.start", at).alias("first"), F.date_format("window.end", at).alias("closes"), "n", "value")
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 20 MINUTES, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 20 MINUTES AS start, event_type, value FROM events, range(0, 3) r(k))
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM w GROUP BY ALL""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that start every twenty minutes."""
+    return state.sliding(table(spark, sf_dir, "events")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "value")

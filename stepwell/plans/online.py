@@ -82,12 +82,17 @@ def filled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("qid", "t", online.filled_answer(answer, F.col("role"), read, F.col("discount") < 0.08).alias("answer"))
 
 
-@query(f"""WITH {STEPS}, s AS (SELECT qid, string_agg(unit::VARCHAR, ',' ORDER BY t) AS units FROM steps WHERE t < 3 GROUP BY qid), c AS (SELECT DISTINCT qid, doc % 5 AS chunk FROM steps WHERE t < 3 INTERSECT SELECT qid, doc % 7 FROM steps),
-d AS (SELECT qid, string_agg(chunk::VARCHAR, ',' ORDER BY chunk) AS covered FROM c GROUP BY qid) SELECT qid, units, coalesce(covered, '') AS covered FROM s LEFT JOIN d USING (qid)""")
+@query(f"""WITH {STEPS}, p AS (SELECT qid, t, unit, doc % 3 AS chunk, role, min(t) OVER (PARTITION BY qid, doc % 3) = t AS first FROM steps),
+g AS (SELECT qid, chunk, min_by(role, t) AS role FROM p GROUP BY ALL), k AS (SELECT p.qid, p.t, p.chunk, g.role FROM p JOIN g USING (qid, chunk) WHERE first AND chunk <> 2)
+SELECT qid, string_agg(unit::VARCHAR, ',' ORDER BY t) AS units, coalesce(any_value(covered), '') AS covered, coalesce(any_value(bridge), 0.0) AS k_bridge, coalesce(any_value(support), 0.0) AS k_support, max(t) AS last_step, string_agg('doc ' || unit || ' [' || t || '] text ' || t, chr(10) ORDER BY t) AS notebook
+FROM p LEFT JOIN (SELECT qid, string_agg(chunk::VARCHAR, ',' ORDER BY t) AS covered, count(*) FILTER (role = 'bridge')::DOUBLE AS bridge, count(*) FILTER (role = 'support')::DOUBLE AS support FROM k GROUP BY qid) USING (qid) GROUP BY qid""")
 def seed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = steps(spark, sf_dir)
-    out = online.seed_state(rows.where("t < 3").select("qid", "unit", (F.col("doc") % 5).alias("chunk"), F.col("t").alias("rank")), rows.select("qid", (F.col("doc") % 7).alias("chunk")))
-    return out.select("qid", joined(F.col("units")).alias("units"), F.coalesce(joined(F.map_keys("covered")), F.lit("")).alias("covered"))
+    """All lines of an order are its seeds; targets are two of three chunks, of the role of their first line."""
+    rows = steps(spark, sf_dir).withColumn("chunk", F.col("doc") % 3)
+    seeds = rows.select("qid", F.col("t").alias("rank"), F.col("unit").cast("string").alias("unit"), "chunk", F.concat(F.lit("doc "), F.col("unit").cast("string")).alias("doc"), F.col("t").alias("sent"), F.concat(F.lit("text "), F.col("t").cast("string")).alias("text"))
+    targets = rows.where("chunk <> 2").groupBy("qid", "chunk").agg(F.min_by("role", "t").alias("role"))
+    s = online.seed_state(seeds, targets)
+    return s.select("qid", joined(F.transform("H_t", lambda h: h["unit_id"])).alias("units"), joined(F.col("A_t.covered_target_ids")).alias("covered"), F.col("A_t.k_br").alias("k_bridge"), F.col("A_t.k_sup").alias("k_support"), F.col("S_t.last_updated_step").cast("long").alias("last_step"), F.col("K_t").alias("notebook"))
 
 
 @query(f"""WITH d AS (SELECT doc_id // 20 AS qid, doc_id AS doc, coalesce(text, '') AS text FROM documents), q AS (SELECT qid, left(min_by(text, doc), 80) AS text FROM d GROUP BY qid), w AS (SELECT qid, doc, {TOK.format('text')} AS w FROM d), z AS (SELECT qid, doc, len(w) AS dl, w FROM w),
@@ -223,11 +228,18 @@ def rollout_aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.rollout_aligned(teacher_rows, own, gold).select("qid", "t", "positive", "source")
 
 
-@query(f"""WITH {STEPS}, c AS (SELECT qid, t AS unit, (CASE WHEN doc % 3 = 1 THEN 0 ELSE 1 END + CASE WHEN unit % 5 + 10 = 11 THEN 0 ELSE 1 END) AS n FROM steps) SELECT qid, arg_min(unit, unit - n * 1000) AS positive FROM c WHERE n > 0 GROUP BY qid""")
+@query(f"""WITH {STEPS}, r AS (SELECT qid, t, unit % 4 AS parent, max(t) OVER (PARTITION BY qid) AS last FROM steps), s AS (SELECT qid, t, last, t >= last AS all_read FROM r), c AS (SELECT s.qid, s.t, r.t AS unit, r.parent, s.all_read OR r.t > s.t AS eligible,
+ r.parent IN (0, 1) AND NOT EXISTS (SELECT 1 FROM r h WHERE h.qid = s.qid AND h.t <= s.t AND h.parent = r.parent) AS open FROM s JOIN r USING (qid)), p AS (SELECT qid, t, min(unit) FILTER (eligible AND open) AS aimed, min(unit) FILTER (eligible) AS first, max(unit) AS last FROM c GROUP BY ALL)
+SELECT qid, t, coalesce(aimed, first) AS positive, aimed IS NOT NULL AS aimed, last AS negatives, (t + 1 - (coalesce(aimed, first) <= t)::INT) AS acquired, lag(coalesce(aimed, first)) OVER (PARTITION BY qid ORDER BY t) AS previous, coalesce(aimed, first) <> t AS changed FROM p""")
 def coverage_students(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidate = F.struct(F.col("t").alias("unit"), F.array(F.col("doc") % 3, F.col("unit") % 5 + 10).alias("targets"))
-    states = steps(spark, sf_dir).groupBy("qid").agg(F.collect_list(candidate).alias("candidates")).select("qid", F.lit(0).alias("t"), "candidates", F.array(F.lit(1).cast("long"), F.lit(11).cast("long")).alias("covered"))
-    return datasets.coverage_students(states).select("qid", "positive")
+    """States after each step, so that in the last one all of the pool is read; parents are part numbers modulo four, targets the first two."""
+    own = steps(spark, sf_dir).withColumn("parent", F.col("unit") % 4)
+    pools = own.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("unit"), "parent"))).alias("pool"))
+    read = F.slice("pool", F.lit(1), (F.col("t") + 1).cast("int"))
+    targets = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    states = own.select("qid", "t").join(pools, "qid").withColumn("read", read).select("qid", "t", "pool", F.transform("read", lambda x: x["unit"]).alias("history"), targets.alias("targets"), F.array_distinct(F.transform("read", lambda x: x["parent"])).alias("covered"), F.col("t").alias("positive"))
+    size = lambda c: F.size(c).cast("long")
+    return datasets.coverage_students(states).select("qid", "t", "positive", "aimed", size("negatives").alias("negatives"), size("acquired").alias("acquired"), "previous", "changed")
 
 
 @query(f"""WITH {STEPS}, r AS (SELECT qid, list(t ORDER BY score DESC, t) AS ranked, count(*) AS n FROM steps GROUP BY qid), e AS (SELECT qid, ranked, list_position(ranked, 0) AS rank, ranked[1] AS predicted FROM r), k AS (SELECT qid, ranked[1:3] AS c, rank FROM e WHERE rank <= 3)

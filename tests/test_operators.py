@@ -127,17 +127,6 @@ def test_cache_keeps_successes_only_and_asks_once(spark, tmp_path):
     assert cache.resume(rows, path, lambda ps: [p.upper() for p in ps]).count() == 3
     assert spark.read.parquet(path).count() == 2
 
-
-def test_stream_state_equals_replay(spark, tmp_path):
-    steps = registry.table(spark, SF, "events").selectExpr("user_id as qid", "event_id as t", "event_type as unit").where("user_id < 20")
-    steps.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(steps.schema).parquet(str(tmp_path / "in"))
-    q = state.stream_state(stream).writeStream.format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table("states").select("qid", "t", "selected", "distinct_units", "last_unit").collect())
-    assert got == sorted(tuple(r) for r in state.replay(steps).collect())
-
-
 def test_mmr_selection_asks_all_items(spark):
     from stepwell.plans import retrieval
 
