@@ -125,7 +125,39 @@ def test_cache_keeps_successes_only_and_asks_once(spark, tmp_path):
     path = str(tmp_path / "cache")
     assert cache.resume(rows, path).count() == 0
     assert cache.resume(rows, path, lambda ps: [p.upper() for p in ps]).count() == 3
-    assert spark.read.parquet(path).count() == 2
+    assert cache.Cache(spark, path).read().count() == 2
+
+def test_cache_commits_each_key_once(spark, tmp_path):
+    rows = lambda *ps: spark.createDataFrame([(p,) for p in ps], "prompt string").withColumn("key", cache.request_key("prompt"))
+    path = str(tmp_path / "cache")
+    store = cache.Cache(spark, path)
+    answers = lambda: sorted(r["answer"] for r in store.read().collect())
+
+    rows("x").select("key", F.lit("half").alias("answer")).write.parquet(f"{path}/runs/broken.0")  # a run that never came to its commit
+    assert answers() == []
+    cache.resume(rows("a", "b"), path, lambda ps: [f"1{p}" for p in ps], "one")
+    cache.resume(rows("a", "b", "c"), path, lambda ps: [f"2{p}" for p in ps], "one")  # the run is there already
+    assert answers() == ["1a", "1b"]
+    # another run comes between the reading and the commit of this one
+    known = store.commits()
+    made = cache.complete(cache.misses(rows("b", "c", "d"), store.read(known)), lambda ps: [f"3{p}" for p in ps])
+    cache.resume(rows("c", "e"), path, lambda ps: [f"4{p}" for p in ps], "between")
+    store.add(made, "slow", known)
+    assert answers() == ["1a", "1b", "3d", "4c", "4e"]
+    store.add(made, "slow", known)
+    assert len(store.commits()) == 3 and len(answers()) == 5
+
+
+def test_cache_with_runs_in_parallel(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "cache")
+    rows = spark.range(40).selectExpr("cast(id as string) prompt").withColumn("key", cache.request_key("prompt"))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: cache.resume(rows.where(f"prompt % 4 <> {i}"), path, lambda ps: list(ps), f"r{i}").count(), range(4)))
+    kept = cache.Cache(spark, path).read()
+    assert kept.count() == kept.select("key").distinct().count() == 40
+
 
 def test_mmr_selection_asks_all_items(spark):
     from stepwell.plans import retrieval
