@@ -40,17 +40,28 @@ FAMILY = {
 SYLLABLES = {"latin": [c + v for c in "bcdfghjklmnprstvwxyz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгджзклмнпрстфхцчшщ" for v in "аеиоу"]}
 LISTED_ATTEMPTS, MOST_SYLLABLES = 3, 15
 _TITLE = "|".join(t for some in TITLES.values() for t in some)
+#: Words (fixed values) that are no family name where they follow a name with a capital.
+NO_NAMES = "A After Also And As At Because Before But By For From Had Has He Her His How I If In Is It Its Not Of On Or She So That The Their Then There They This To Was We Were What When Where Which Who Why With You".split()
+#: Words (fixed values) that name a secret in front of = or :, and the starts of tokens that need no such word.
+SECRET_WORDS = "token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key"
+TOKENS = r"gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_\w{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)?"
+TOKEN_START = "gh[pousr]_|github_pat_|sk-|xox[abprs]-|eyJ"
+_VALUE = r"[0-9A-Za-z_+/~-]++(?:[.=]++[0-9A-Za-z_+/~-]++)*+=*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds and their patterns, the first that fits at a place wins. None can start inside a run of its own characters, so a scan takes linear time.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=[=:\"'] ?)(?<=(?:token|password|passwd|secret|api_key|apikey) ?[=:] ?[\"']?)(?=[0-9A-Za-z_+/~.=-]{6})[0-9A-Za-z_+/~-]++(?:[.=]++[0-9A-Za-z_+/~-]++)*+=*+|(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9])(?:{TOKENS})"
+    rf"|(?<=[=:\"'] ?)(?<=(?:token|password|passwd|secret|api_key|apikey) ?[=:] ?[\"']?)(?=[0-9A-Za-z_+/~.=-]{{6}}){_VALUE}"
+    rf"|(?<=[=:\"'] ?)(?<=(?i:{SECRET_WORDS})[A-Za-z0-9_-]{{0,24}}[\"']? ?[=:] ?[\"']?)(?=[0-9A-Za-z_+/~.=-]{{6}})(?=[A-Za-z.=-]{{0,200}}[0-9_+/~]){_VALUE}"
+    r"|(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d|\.\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}])(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}])(?:{_TITLE})\.? )(?!(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: (?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]{{1,40}})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: So many attempts in a row that settle no entity mean that a kind has more entities than its format has values.
@@ -69,7 +80,7 @@ def _choice(words: list[str], number: Column) -> Column:
 def kind_of(mention: Column) -> Column:
     """The kind of a mention by its own text; what follows ``=`` is a secret, what has no digit a name."""
     fits = [(k, mention.rlike(rf"^(?:{p})$")) for k, p in KINDS.items() if k not in ("secret", "name")]
-    secret = mention.rlike(r"^AKIA[0-9A-Z]{16}$|^[0-9a-f]{32,}$")
+    secret = mention.rlike(rf"^AKIA[0-9A-Z]{{16}}$|^[0-9a-f]{{32,}}$|^(?:{TOKEN_START})")
     named = mention.rlike(r"^\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?$")
     out = F.when(secret, F.lit("secret"))
     for k, fit in fits:
@@ -169,6 +180,14 @@ def _surrogate(x: Column) -> Column:
     card = _valid_card(F.concat(F.substr(mention, F.lit(1), F.lit(1)), _per_letter(F.substr(mention, F.lit(2), F.length(mention)), digest)))
     iban = F.concat(F.substr(mention, F.lit(1), F.lit(2)), _per_letter(F.substr(mention, F.lit(3), F.length(mention)), digest))
     aws = F.concat(F.lit("AKIA"), _per_letter(F.substr(mention, F.lit(5), F.length(mention)), digest))
+
+    def behind(start: str, redraw: Callable[[Column], Column]) -> Column:
+        """What a pattern finds at the start is kept, the rest is redrawn."""
+        head = F.regexp_extract(mention, start, 0)
+        return F.concat(head, redraw(F.substr(mention, F.length(head) + 1, F.length(mention))))
+
+    token = behind(rf"^(?:{TOKEN_START})", lambda rest: _per_letter(rest, digest, forward=True))
+    phone = behind(r"^\+(?:\d{1,3}(?=[ .(-])|\d{2})", lambda rest: _per_letter(rest, digest, 10))
     script_of = lambda name: F.when(name.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
     def family(name: Column, drawn: Column, times: Column) -> Column:
@@ -183,25 +202,27 @@ def _surrogate(x: Column) -> Column:
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
-        .when(kind == "phone", _per_letter(mention, digest, 10))
+        .when(kind == "phone", phone)
         .when(kind == "iban", iban)
         .when((kind == "name") & (F.instr(mention, " ") > 0), full)
         .when(kind == "name", family(mention, F.substr(digest, F.lit(1), F.lit(64)), attempt))
         .when(mention.rlike("^AKIA[0-9A-Z]{16}$"), aws)
+        .when((kind == "secret") & mention.rlike(rf"^(?:{TOKEN_START})"), token)
         .when(kind == "secret", _per_letter(mention, digest, forward=True))
         .otherwise(_per_letter(mention, digest))
     )
 
 
 def _title_of(before: Column) -> Column:
-    """The gender that the title at the end of a text tells."""
-    ends = {g: F.regexp_like(before, F.lit(rf"(?:{'|'.join(t)})\.? $")) for g, t in TITLES.items() if g != "n"}
+    """The gender that the title at the end of a text tells, further titles behind it or not."""
+    further = rf"(?:(?:{'|'.join(TITLES['n'])})\.? )*"
+    ends = {g: F.regexp_like(before, F.lit(rf"(?:{'|'.join(t)})\.? {further}$")) for g, t in TITLES.items() if g != "n"}
     return F.when(ends["m"], F.lit("m")).when(ends["f"], F.lit("f")).otherwise(F.lit("n"))
 
 
 def hinted(text: Column) -> Column:
-    """False for most texts without an entity: a cheap test before the patterns."""
-    return reduce(lambda out, t: out | F.contains(text, F.lit(t + " ")) | F.contains(text, F.lit(t + ". ")), sorted(t for some in TITLES.values() for t in some), text.rlike("[0-9@=:]"))
+    """False for most texts without an entity, and never for one with: a cheap test before the patterns."""
+    return reduce(lambda out, t: out | F.contains(text, F.lit(t + " ")) | F.contains(text, F.lit(t + ". ")), sorted(t for some in TITLES.values() for t in some), text.rlike(rf"[0-9@=:]|AKIA|{TOKEN_START}|[a-f]{{32}}"))
 
 
 def found(text: Column) -> Column:
@@ -275,8 +296,26 @@ def collisions(known: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def _untitled(drawn: Column) -> Column:
+    """(name, surrogate) of the names that a text mentions behind a title, and of their family names, the longer ones first."""
+    named = F.filter(drawn, lambda x: x["kind"] == "name")
+    both = F.flatten(F.transform(named, lambda x: F.array(F.struct(x["mention"].alias("name"), x["surrogate"].alias("surrogate")), F.struct(_family_of(x["mention"]).alias("name"), _family_of(x["surrogate"]).alias("surrogate")))))
+    long = F.filter(F.array_distinct(both), lambda n: F.length(n["name"]) >= 3)
+    return F.transform(F.array_sort(F.transform(long, lambda n: F.struct((-F.length(n["name"])).alias("less"), n["name"].alias("name"), n["surrogate"].alias("surrogate")))), lambda n: F.struct(n["name"].alias("name"), n["surrogate"].alias("surrogate")))
+
+
+def _renamed(gap: Column, names: Column) -> Column:
+    """A text between mentions with the names in it replaced where they stand as whole words."""
+    word = lambda n: F.concat(F.lit(r"(?<![\p{L}'’-])\Q"), n["name"], F.lit(r"\E(?![\p{L}’-])"))
+    return F.aggregate(names, gap, lambda g, n: F.when(F.contains(g, n["name"]), F.regexp_replace(g, word(n), n["surrogate"])).otherwise(g))
+
+
 def replace(docs: DataFrame, key: str, moved: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with entities of ``text`` replaced, and n_entities (long). Null texts stay null."""
+    """``docs`` with entities of ``text`` replaced, and n_entities (long). Null texts stay null.
+
+    A name that a text has behind a title, and its family name, are replaced in the whole text;
+    n_entities counts the mentions with a title.
+    """
     names = [c for c in docs.columns if c != "n_entities"]
     with_mentions = docs.select(*names, found(F.col(text)).alias("_pii_found"))
     if moved.isEmpty():
@@ -300,8 +339,11 @@ def replace(docs: DataFrame, key: str, moved: DataFrame, text: str = "text") ->
             F.coalesce(own(m)["family"], F.lit(0)).alias("family"),
         ),
     )
-    parts = F.zip_with(surrogates(key, mentions), F.slice("_pii_gaps", 2, F.size("_pii_gaps")), lambda x, gap: F.concat(x["surrogate"], F.coalesce(gap, F.lit(""))))
-    new = F.when(F.size("_pii_found") > 0, F.concat(F.element_at("_pii_gaps", 1), F.array_join(parts, ""))).otherwise(F.col(text))
+    some = some.withColumn("_pii_drawn", F.when(F.size("_pii_found") > 0, surrogates(key, mentions)))
+    some = some.withColumn("_pii_names", _untitled(F.col("_pii_drawn")))
+    bare = lambda gap: F.when(F.size("_pii_names") > 0, _renamed(gap, F.col("_pii_names"))).otherwise(gap)
+    parts = F.zip_with("_pii_drawn", F.slice("_pii_gaps", 2, F.size("_pii_gaps")), lambda x, gap: F.concat(x["surrogate"], bare(F.coalesce(gap, F.lit("")))))
+    new = F.when(F.size("_pii_found") > 0, F.concat(bare(F.element_at("_pii_gaps", 1)), F.array_join(parts, ""))).otherwise(F.col(text))
     return some.select(*[new.alias(text) if c == text else F.col(c) for c in names], F.coalesce(F.size("_pii_found"), F.lit(0)).cast("long").alias("n_entities"))
 
 
