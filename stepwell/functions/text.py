@@ -244,10 +244,14 @@ def position_bucket(t: Column, terminal: Column) -> Column:
 
 def role_of(question: Column, answer: Column, text: Column, doc: Column) -> Column:
     """support when the answer is in the text, bridge when the title or two tokens of the question are, else distinguish."""
-    q = normalize(question)
+    return role_by(normalize(question), tokens(question), normalize(answer), normalize(text), tokens(text), normalize(doc))
+
+
+def role_by(question: Column, words: Column, answer: Column, text: Column, have: Column, doc: Column) -> Column:
+    """`role_of` normalised sides and their tokens, for a caller that compares each side often."""
     return (
-        F.when(contains_answer(answer, text), "support")
-        .when(((normalize(doc) != "") & F.contains(q, normalize(doc))) | (overlap(tokens(question), tokens(text)) >= 2), "bridge")
+        F.when((answer != "") & F.contains(text, answer), "support")
+        .when(((doc != "") & F.contains(question, doc)) | (overlap(words, have) >= 2), "bridge")
         .otherwise("distinguish")
     )
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +68,56 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(qid, unit, score): dot products of a bounded set of query vectors with all unit vectors.
+#: Bytes of query vectors, and of query texts, that travel to the units at once.
+BLOCK_BYTES = 32 << 20
 
-    ``queries`` (qid, q) is stated by the caller and small, so it travels to the units.
+
+def blocks(asked: DataFrame, key: str, row_bytes: int) -> list[DataFrame]:
+    """``asked`` in parts of about ``BLOCK_BYTES`` at most, by a hash of the key, so that each may be broadcast."""
+    n = max(1, math.ceil(asked.count() * row_bytes / BLOCK_BYTES))
+    return [asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def _best(scores: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of each row with their units, ties by unit: two arrays of k columns or fewer."""
+    k = min(k, scores.shape[1])
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if k else np.zeros(len(scores))
+    some = np.flatnonzero((scores >= least[:, None]).any(0))  # all that reach the k-th score of any row, so that ties meet
+    scores, units = scores[:, some], units[:, some]
+    order = np.lexsort((units, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(units, order, 1)
+
+
+def dense_top(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """(qid, unit, score, rank): the k units of largest dot product with each query vector, ties by unit; a query isn't its own unit.
+
+    ``queries`` (qid, q) and ``units`` (unit, v) have whole numbers as ids and vectors of one
+    length. Queries travel in blocks of bounded size; a task multiplies batches of unit vectors
+    with a block and keeps the best k of each query, so nothing but those is shuffled. Units
+    without a vector have no score.
     """
-    return units.join(F.broadcast(queries), F.col("qid") != F.col("unit")).select("qid", "unit", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    spark, dim = queries.sparkSession, queries.select(F.max(F.size("q"))).first()[0] or 0
+
+    def search(block: DataFrame) -> DataFrame:
+        table = block.select(F.col("qid").cast("long"), F.col("q").cast("array<double>")).where("q is not null").orderBy("qid").toArrow()  # BLOCK_BYTES
+        ids = table.column(0).to_numpy()
+        shared = spark.sparkContext.broadcast((ids, np.array(table.column(1).to_pylist(), float).reshape(len(ids), dim)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            scores, found = np.zeros((len(qids), 0)), np.zeros((len(qids), 0), np.int64)
+            for batch in batches:
+                unit = batch.column(0).to_numpy(zero_copy_only=False)
+                own = np.round(q @ batch.column(1).flatten().to_numpy().reshape(len(unit), dim).T, 6)
+                own[qids[:, None] == unit[None, :]] = -np.inf
+                scores, found = _best(np.hstack([scores, own]), np.hstack([found, np.broadcast_to(unit, own.shape)]), k)
+            keep = scores > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids[:, None], keep.shape)[keep]), pa.array(found[keep]), pa.array(scores[keep])], names=["qid", "unit", "score"])
+
+        return units.select(F.col("unit").cast("long"), F.col("v").cast("array<double>")).where("v is not null").mapInArrow(run, "qid long, unit long, score double")
+
+    parts = [search(b) for b in blocks(queries, "qid", 8 * dim + 8)]
+    return top_k(reduce(DataFrame.unionByName, parts), k, unit="unit")
 
 
 def minmax_over(score: str, by: str) -> Column:

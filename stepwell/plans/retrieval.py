@@ -69,16 +69,16 @@ def best_atom_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DENSE = "scores AS (SELECT q.vec_id AS qid, u.vec_id AS unit, u.label AS label, q.label AS want, round(list_dot_product(q.embedding::DOUBLE[], u.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings u WHERE q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id)"
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose number is divisible by 100 against all vectors."""
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k nearest of every vector whose number is divisible by 100, among all vectors."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return R.dense(asked, rows.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v")))
+    return R.dense_top(asked, rows.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v")), k)
 
 
 @query(f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS rank FROM scores) SELECT qid, unit, score, rank FROM r WHERE rank <= 5")
 def dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_dense(spark, sf_dir), 5, unit="unit").select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
+    return _dense(spark, sf_dir, 5).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS rank FROM scores)
@@ -87,9 +87,8 @@ FROM r WHERE label = want GROUP BY qid""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit"), "label")
     want = labels.where("unit % 100 = 0").select(F.col("unit").alias("qid"), "label")
-    gold = labels.join(F.broadcast(want), "label").where("qid <> unit").select("qid", "unit")
-    ranked = _dense(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit")))
-    return R.retrieval_metrics(ranked, gold, [5, 20])
+    gold = labels.join(want, "label").where("qid <> unit").select("qid", "unit")
+    return R.retrieval_metrics(_dense(spark, sf_dir, 20), gold, [5, 20])
 
 
 @query(f"""WITH {STEPS}, a AS (SELECT qid, t AS unit, row_number() OVER (PARTITION BY qid ORDER BY score DESC, t) AS ra, row_number() OVER (PARTITION BY qid ORDER BY quantity DESC, t) AS rb FROM steps)

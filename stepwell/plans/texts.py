@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import units as U
 from ..operators.trajectories import cyclic_next
-from .registry import query, table
+from ..operators.retrieval import blocks
+from .registry import dealt, query, table
 
 TOK = "regexp_extract_all(lower({}), '([a-z0-9]+)', 1)"
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\s+', ' ', 'g'), '[\"''“”‘’`.,;:!?()\[\]{{}}]', '', 'g'), '\s+', ' ', 'g'))"
@@ -111,8 +114,9 @@ def split_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT doc_id, item_id, {NORM.format('text')} AS nt, {NORM.format("question")} AS na, len(list_intersect(list_distinct({TOK.format('question')}), {TOK.format('text')})) AS overlap FROM d, q)
 SELECT item_id, CASE WHEN na <> '' AND contains(nt, na) THEN 'support' WHEN overlap >= 2 THEN 'bridge' ELSE 'distinguish' END AS role, count(*) AS n FROM x GROUP BY ALL""")
 def rule_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search: every item whose number is divisible by 100 against all documents, in blocks; the questions travel."""
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("question"))
-    rows = table(spark, sf_dir, "documents").select("text").join(F.broadcast(asked))
-    role = T.role_of(F.col("question"), F.col("question"), F.col("text"), F.lit(""))
-    return rows.select("item_id", role.alias("role")).groupBy("item_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    """A search: every item whose number is divisible by 100 against all documents; each side is normalised once, and the questions travel in blocks of bounded size."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", T.normalize(F.col("text")).alias("q"), F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    docs = dealt(table(spark, sf_dir, "documents").select("text")).select(T.normalize(F.col("text")).alias("norm"), F.array_distinct(T.tokens(F.col("text"))).alias("have"))
+    role = T.role_by(F.col("q"), F.col("words"), F.col("q"), F.col("norm"), F.col("have"), F.lit(""))
+    parts = [docs.crossJoin(F.broadcast(b)).select("item_id", role.alias("role")) for b in blocks(asked, "item_id", 4096)]
+    return reduce(DataFrame.unionByName, parts).groupBy("item_id", "role").agg(F.count(F.lit(1)).alias("n"))
