@@ -230,8 +230,3 @@ def trajectory_marks(steps: DataFrame, width: int = 20) -> DataFrame:
     """(qid, plot): the deficits of (qid, t, deficit) as one line of bars for each step."""
     bar = F.concat(F.lpad(F.col("t").cast("string"), 3, " "), F.lit(" "), F.repeat(F.lit("#"), F.greatest(F.lit(0), F.round(F.col("deficit") * width).cast("int"))))
     return steps.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", bar.alias("b")))), lambda x: x["b"]), "\n").alias("plot"))
-
-
-def mention_rate(texts: Column, answer: Column) -> Column:
-    """Share of texts in which the answer is visible."""
-    return F.when(F.size(texts) > 0, F.size(F.filter(texts, lambda x: T.contains_answer(answer, x))) / F.size(texts)).otherwise(0.0)

@@ -64,10 +64,6 @@ def best_unused_atoms(shortlist: DataFrame, atoms: DataFrame, questions: DataFra
     return top_k(best.select("qid", "chunk", F.col("b.unit").alias("unit"), (-F.col("b.s")).alias("score")), k, unit="unit")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 #: Bytes of query vectors, and of query texts, that travel to the units at once.
 BLOCK_BYTES = 32 << 20
 

@@ -70,11 +70,6 @@ def first_unresolved(gold: Column, taken: Column) -> Column:
     return F.try_element_at(F.filter(gold, lambda g: ~F.array_contains(taken, g)), F.lit(1))
 
 
-def coverage_positive(pool: Column, covered: Column) -> Column:
-    """The first (unit, chunk) of the pool whose chunk isn't covered, else its first."""
-    return F.coalesce(F.try_element_at(F.filter(pool, lambda p: ~F.array_contains(covered, p["chunk"])), F.lit(1)), F.try_element_at(pool, F.lit(1)))
-
-
 def step_mismatches(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """(qid, t, reason) of steps that two runs don't share or whose targets differ."""
     x, y = a.select("qid", "t", F.col(column).alias("x")), b.select("qid", "t", F.col(column).alias("y"))
@@ -93,12 +88,6 @@ def state_breaks(states: DataFrame) -> DataFrame:
     return states.withColumn("_p", F.lag("after").over(step_window())).where("_p is not null and not (_p <=> before)").select("qid", "t")
 
 
-def falling_coverage(states: DataFrame) -> DataFrame:
-    """Steps where a clue that was covered is open again: ``covered`` is an array of 0 and 1."""
-    w = states.withColumn("_p", F.lag("covered").over(step_window()))
-    return w.where(F.col("_p").isNotNull() & ~F.forall(F.zip_with("_p", "covered", lambda x, y: y >= x), lambda ok: ok)).select("qid", "t")
-
-
 def rank_reversals(pairs: DataFrame) -> DataFrame:
     """(qid, t, reversed): whether the order of a pair's two scores turns between consecutive states."""
     sign = F.signum(F.col("a") - F.col("b"))

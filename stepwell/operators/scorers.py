@@ -20,11 +20,6 @@ def interaction(a: Column, b: Column) -> Column:
     return F.concat(a, b, F.zip_with(a, b, lambda x, y: x * y), F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 
 
-def pair_overlap(context: Column, candidate: Column) -> Column:
-    """Lexical stand-in for a pair scorer."""
-    return T.jaccard(T.tokens(context), T.tokens(candidate), 0.0)
-
-
 def policy(scores: DataFrame, mode: str, weight: float = 0.5, by: str = "qid") -> DataFrame:
     """policy_score by mode: rank, deficit (role x deficit), contribution (scaled contribution x deficit), blend (with front)."""
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -49,13 +49,6 @@ def redundant_pool(pool: Column, recent: Column) -> Column:
     return F.size(F.filter(F.slice(pool, 1, 3), lambda x: F.exists(last, lambda y: T.jaccard(x, y) >= REDUNDANT))) >= 2
 
 
-def bridgeable(anchors: Column, query: Column, signals: Column) -> Column:
-    """Some unit touches a query anchor, another shares an anchor with it, and one of the pair has the answer type."""
-    at = F.sequence(F.lit(0), F.size(anchors) - 1)
-    touch = lambda i: F.arrays_overlap(anchors[i], query)
-    return F.exists(at, lambda i: touch(i) & F.exists(at, lambda j: (i != j) & F.arrays_overlap(anchors[i], anchors[j]) & (signals[i] | signals[j])))
-
-
 def note_subtype(late_check: Column, t: Column, bridge: Column, triggered: Column) -> Column:
     return F.when(late_check, "late_verification").when((t <= 1) & bridge, "early_bridge").when(triggered, "trigger_only_candidate")
 

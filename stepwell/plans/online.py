@@ -166,7 +166,7 @@ def repeat_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     unit = F.struct((F.col("unit") % 50).alias("unit"), (F.col("doc") % 3).alias("parent"), (F.col("doc") % 4).alias("doc"), F.col("role").alias("text"))
     rows = steps(spark, sf_dir).select("qid", "t", unit.alias("u"), (F.col("discount") > 0.04).cast("int").alias("flag"), (F.col("discount") * 10).alias("ratio"))
-    before = J.step_window().rowsBetween(-1000, -1)
+    before = J.step_window().rowsBetween(-2, -1)
     seen = rows.withColumn("recent", F.collect_list("u").over(before)).withColumn("flags", F.collect_list("flag").over(before))
     return seen.select("qid", "t", F.round(gates.repeat_penalty(F.col("u"), F.col("recent"), F.col("flags"), F.col("ratio")), 6).alias("penalty"))
 

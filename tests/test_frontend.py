@@ -91,10 +91,8 @@ def test_request_keys_ignore_the_order_of_fields(spark):
 
 def test_gates_over_the_pool(spark):
     texts = lambda *x: F.array(*map(F.lit, x))
-    anchors, kind = texts("fox"), F.lit("year")
-    assert tuple(one(spark, gates.answer_ready(texts("a fox in 1999"), anchors, kind), gates.answer_ready(texts("a fox", "in 1999"), anchors, kind), gates.answer_ready(texts("a", "b", "c", "d", "e", "fox 1999"), anchors, kind))) == (True, False, False)
-    assert tuple(one(spark, gates.bridge_gap(texts("fox den", "den of 1999"), anchors, kind), gates.bridge_gap(texts("fox den", "built 1999"), anchors, kind), gates.bridge_gap(texts("fox den 1999"), anchors, kind))) == (True, False, False)
-    flags = F.array(F.lit(False), F.lit(True))
-    paired = lambda b: F.array(texts("fox", "den"), texts(b))
-    assert tuple(one(spark, teacher.bridgeable(paired("den"), anchors, flags), teacher.bridgeable(paired("hill"), anchors, flags))) == (True, False)
+    anchors, kind = texts("foxx"), F.lit("year")
+    assert tuple(one(spark, gates.answer_ready(texts("a Foxx in 1999"), anchors, kind), gates.answer_ready(texts("a Foxx", "in 1999"), anchors, kind), gates.answer_ready(texts("a", "b", "c", "d", "e", "foxx 1999"), anchors, kind))) == (True, False, False)
+    assert tuple(one(spark, gates.bridge_gap(texts("foxx cave", "cave of 1999"), anchors, kind), gates.bridge_gap(texts("foxx cave", "built 1999"), anchors, kind), gates.bridge_gap(texts("foxx cave 1999"), anchors, kind))) == (True, False, False)
+    assert one(spark, gates.bridge_gap(texts("foxx cave", "built 1999"), anchors, kind, F.array(F.lit("built"))))[0]
     assert tuple(one(spark, teacher.near_complete(F.array().cast("array<double>")), teacher.legacy_stop(F.array(F.lit(0.8)), F.lit(False), F.array(F.lit(1), F.lit(0))), teacher.legacy_stop(F.array(F.lit(0.8)), F.lit(False), F.array().cast("array<int>")))) == (False, True, False)

@@ -33,7 +33,7 @@ def test_notes_and_names(spark):
 
 
 def test_gates(spark):
-    texts, anchors = F.array(F.lit("green hills of x"), F.lit("x has a river")), F.array(F.lit("green"))
+    texts, anchors = F.array(F.lit("green hills of xanadu"), F.lit("xanadu has a river")), F.array(F.lit("green"))
     assert tuple(one(spark, G.answer_ready(texts, anchors, F.lit("river")), G.bridge_gap(texts, anchors, F.lit("river")))) == (False, True)
     assert tuple(one(spark, G.deficit_stop(F.array(F.lit(0.1), F.lit(0.1)), F.lit(1)), G.deficit_stop(F.array(F.lit(0.1)), F.lit(0)))) == (True, False)
     assert one(spark, G.slot_summary(F.lit("e" * 100), F.lit(""), F.lit("goal")))[0] == "e" * 80 + " | need: goal"
