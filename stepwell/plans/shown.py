@@ -27,7 +27,7 @@ def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir).join(steps(spark, sf_dir).groupBy("qid").agg(F.max("t").alias("last")), "qid")
     return rows.select(
         "qid", "t", U.retrieval_text(F.col("p_brand"), F.col("p_name")).alias("retrieval"), U.candidate_text(F.col("p_brand"), F.col("t"), F.col("p_name")).alias("candidate"),
-        U.chunk_id(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  "))), F.col("doc")).alias("chunk"), T.position_bucket(F.col("t"), F.col("last")).alias("position"),
+        U.chunk_id(F.col("doc"), F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  ")))).alias("chunk"), T.position_bucket(F.col("t"), F.col("last")).alias("position"),
     )
 
 
