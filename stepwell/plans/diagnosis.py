@@ -34,11 +34,11 @@ def alignment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.alignment_at(rows, 3)
 
 
-@query(f"""WITH {STEPS}, x AS (SELECT doc_id AS unit, coalesce(text, '') AS text FROM documents), s AS (SELECT DISTINCT qid, unit FROM steps WHERE t < 3), p AS (SELECT qid, count(*) AS u, sum(length(text)) + count(*) - 1 AS c, sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'))) AS k FROM s JOIN x USING (unit) GROUP BY qid)
+@query(f"""WITH {STEPS}, x AS (SELECT doc_id AS unit, coalesce(text, '') AS text FROM documents), s AS (SELECT DISTINCT qid, unit FROM steps), p AS (SELECT qid, count(*) AS u, sum(length(text)) + count(*) - 1 AS c, sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'))) AS k FROM s JOIN x USING (unit) GROUP BY qid)
 SELECT round(avg(u), 6) AS mean_units, round(avg(c), 6) AS mean_chars, round(avg(k), 6) AS mean_tokens, count(*) AS contexts FROM p""")
 def context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.coalesce("text", F.lit("")).alias("text"))
-    return D.context_sizes(steps(spark, sf_dir).where("t < 3").select("qid", "unit").distinct(), units)
+    return D.context_sizes(steps(spark, sf_dir).select("qid", "unit").distinct(), units)
 
 
 _BOOKS = f"""{STEPS}, b AS (SELECT qid, t, unit, 'Evidence:' || chr(10) || string_agg('u' || unit, chr(10)) OVER w AS book, list('u' || unit) OVER w AS lines FROM steps WINDOW w AS (PARTITION BY qid ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
@@ -197,10 +197,9 @@ def recent_notes_and_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", "t", G.recent_note(F.col("r"), "support").alias("recent"), G.deficit_stop(F.col("d"), F.col("t"), 0.05 + 1e-12).alias("stops"))
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE rtrim(left(trim(text), 80)) || ' | need: more' END AS summary FROM documents WHERE trim(coalesce(text, '')) <> '' AND text = trim(text)""")
+@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE rtrim(left(trim(text), 80)) || ' | ' END || 'need: more' AS summary FROM documents""")
 def slot_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("trim(coalesce(text, '')) <> '' and text = trim(text)")
-    return docs.select("doc_id", G.slot_summary(F.col("text"), F.lit(""), F.lit("more")).alias("summary"))
+    return table(spark, sf_dir, "documents").select("doc_id", G.slot_summary(F.col("text"), F.lit(""), F.lit("more")).alias("summary"))
 
 
 @query(f"""WITH {STEPS}, e AS (SELECT qid, list(role) FILTER (discount > 0.07) AS r, bool_or(discount > 0.07 AND t < 2 AND role = 'bridge') AS early FROM steps GROUP BY qid)

@@ -95,14 +95,14 @@ def seed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("qid", joined(F.transform("H_t", lambda h: h["unit_id"])).alias("units"), joined(F.col("A_t.covered_target_ids")).alias("covered"), F.col("A_t.k_br").alias("k_bridge"), F.col("A_t.k_sup").alias("k_support"), F.col("S_t.last_updated_step").cast("long").alias("last_step"), F.col("K_t").alias("notebook"))
 
 
-@query(f"""WITH d AS (SELECT doc_id // 20 AS qid, doc_id AS doc, coalesce(text, '') AS text FROM documents), q AS (SELECT qid, left(min_by(text, doc), 80) AS text FROM d GROUP BY qid), w AS (SELECT qid, doc, {TOK.format('text')} AS w FROM d), z AS (SELECT qid, doc, len(w) AS dl, w FROM w),
+@query(f"""WITH d AS (SELECT doc_id // 20 AS qid, doc_id AS doc, coalesce(text, '') AS text FROM documents), q AS (SELECT qid, min_by(text, doc) AS text FROM d GROUP BY qid), w AS (SELECT qid, doc, {TOK.format('text')} AS w FROM d), z AS (SELECT qid, doc, len(w) AS dl, w FROM w),
 s AS (SELECT qid, count(*) AS n, avg(dl) AS avgdl FROM z GROUP BY qid), f AS (SELECT qid, doc, dl, term, count(*) AS tf FROM (SELECT qid, doc, dl, unnest(w) AS term FROM z) GROUP BY ALL), g AS (SELECT qid, term, count(*) AS df FROM f GROUP BY ALL),
 i AS (SELECT qid, term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM g JOIN s USING (qid)), m AS (SELECT qid, avg(idf) AS mean FROM i GROUP BY qid), k AS (SELECT qid, term, avgdl, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM i JOIN m USING (qid)),
 a AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({TOK.format('text')}) AS term FROM q) GROUP BY ALL)
 SELECT d.qid, d.doc, coalesce(round(p.score, 6), 0) AS score FROM d LEFT JOIN (SELECT qid, doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM f JOIN k USING (qid, term) JOIN a USING (qid, term) GROUP BY ALL) p ON p.qid = d.qid AND p.doc = d.doc""")
 def okapi_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("qid"), F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    asked = docs.groupBy("qid").agg(F.left(F.min_by("text", "doc"), F.lit(80)).alias("text"))
+    asked = docs.groupBy("qid").agg(F.min_by("text", "doc").alias("text"))
     return selection.okapi(docs, asked)
 
 
@@ -147,12 +147,12 @@ def compression_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _J = "len(list_intersect(list_distinct({0}), list_distinct({1}))) / greatest(1, len(list_distinct(list_concat({0}, {1}))))"
 
 
-@query(f"""WITH d AS (SELECT doc_id // 3 AS g, doc_id % 3 AS i, {TOK.format("coalesce(text, '')")} AS w, coalesce(source, '') AS p FROM documents), e AS (SELECT g, max(w) FILTER (i = 0) AS a, max(w) FILTER (i = 1) AS b, max(w) FILTER (i = 2) AS c, max(p) FILTER (i = 0) AS pa, max(p) FILTER (i = 1) AS pb, max(p) FILTER (i = 2) AS pc FROM d GROUP BY g HAVING count(DISTINCT i) = 3 AND count(*) = 3),
-j AS (SELECT *, CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE {_J.format('a', 'b')} END < 0.85 AS u2, CASE WHEN len(a) + len(c) = 0 THEN 1 ELSE {_J.format('a', 'c')} END < 0.85 AS s13, CASE WHEN len(b) + len(c) = 0 THEN 1 ELSE {_J.format('b', 'c')} END < 0.85 AS s23 FROM e), k AS (SELECT *, s13 AND (NOT u2 OR s23) AS u3 FROM j)
+@query(f"""WITH d AS (SELECT doc_id // 3 AS g, doc_id % 3 AS i, {TOK.format("coalesce(text, '')")} AS w, coalesce(source, '') AS p FROM documents), e AS (SELECT g, max(w) FILTER (i = 0) AS a, max(w) FILTER (i = 1) AS b, max(w) FILTER (i = 2) AS c, max(p) FILTER (i = 0) AS pa, max(p) FILTER (i = 1) AS pb, max(p) FILTER (i = 2) AS pc FROM d GROUP BY g),
+j AS (SELECT *, b IS NOT NULL AND CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE {_J.format('a', 'b')} END < 0.85 AS u2, c IS NOT NULL AND CASE WHEN len(a) + len(c) = 0 THEN 1 ELSE {_J.format('a', 'c')} END < 0.85 AS s13, b IS NOT NULL AND c IS NOT NULL AND CASE WHEN len(b) + len(c) = 0 THEN 1 ELSE {_J.format('b', 'c')} END < 0.85 AS s23 FROM e), k AS (SELECT *, s13 AND (NOT u2 OR s23) AS u3 FROM j)
 SELECT g, 1 + u2::INTEGER + u3::INTEGER >= 2 AND len(list_distinct(list_filter([pa, CASE WHEN u2 THEN pb ELSE '' END, CASE WHEN u3 THEN pc ELSE '' END], lambda x: x <> ''))) >= 2 AS composable FROM k""")
 def composable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("g"), F.struct((F.col("doc_id") % 3).alias("i"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("parent")).alias("u"))
-    rows = docs.groupBy("g").agg(F.array_sort(F.collect_list("u")).alias("us")).where("size(us) = 3 and size(array_distinct(transform(us, u -> u.i))) = 3")
+    rows = docs.groupBy("g").agg(F.array_sort(F.collect_list("u")).alias("us"))
     part = lambda f: F.transform("us", lambda u: u[f])
     return rows.select("g", selection.composable(part("text"), part("parent"), F.transform("us", lambda u: F.lit(True))).alias("composable"))
 

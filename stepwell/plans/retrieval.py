@@ -134,10 +134,10 @@ def neighbourhood_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT c_mktsegment AS stratum, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('11::' || c_custkey)) AS pos FROM customer)
-SELECT stratum, id, pos FROM o WHERE pos <= CASE stratum WHEN 'BUILDING' THEN 30 WHEN 'MACHINERY' THEN 20 ELSE 0 END""")
+SELECT stratum, id, pos FROM o WHERE pos <= CASE stratum WHEN 'BUILDING' THEN 17 WHEN 'MACHINERY' THEN 13 WHEN 'AUTOMOBILE' THEN 10 WHEN 'FURNITURE' THEN 7 ELSE 3 END""")
 def stratified_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: quotas by stratum in hash order."""
-    quotas = R.largest_remainder(50, {"BUILDING": 0.6, "MACHINERY": 0.4})
+    quotas = R.largest_remainder(50, {"AUTOMOBILE": 0.2, "BUILDING": 0.33, "FURNITURE": 0.135, "HOUSEHOLD": 0.065, "MACHINERY": 0.27})
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("stratum"), F.col("c_custkey").alias("id"))
     return R.quota_sample(rows, "stratum", "id", quotas, 11).select("stratum", "id", F.col("pos").cast("long").alias("pos"))
 
