@@ -18,10 +18,10 @@ from ..sources.json import lenient_bool
 from ..streaming import state
 from .registry import STEPS, dealt, query, steps, table
 from .retrieval import _D, _Q, TOK, _docs, _questions, bm25_sql
+from .retrieval import CUT as _CUT
 from .texts import NORM
 
 _NUM = "regexp_extract_all({}, '\\d+(?:[./:-]\\d+)*')"
-_CUT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 _MONTHS = "|".join(T.MONTHS)
 
 

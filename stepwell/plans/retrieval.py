@@ -40,13 +40,19 @@ def bm25_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(scores, 3).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {bm25_sql(_D, _Q)}, s2 AS (WITH {bm25_sql("SELECT doc_id AS doc, left(text, 200) AS text FROM documents", _Q)} SELECT * FROM scores),
+#: The sentences of a text, as `T.sentences` cuts them.
+CUT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_SUMMARY = f"SELECT doc_id AS doc, rtrim(left(trim(array_to_string(({CUT})[1:2], ' ')), 200)) AS text FROM documents"
+
+
+@query(f"""WITH {bm25_sql(_D, _Q)}, s2 AS (WITH {bm25_sql(_SUMMARY, _Q)} SELECT * FROM scores),
 m AS (SELECT qid, doc, round(0.5 * scores.score + 0.5 * coalesce(s2.score, 0), 6) AS score FROM scores LEFT JOIN s2 USING (qid, doc)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM m) SELECT qid, doc, score, rank FROM r WHERE rank <= 8""")
 def coarse_chunk_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _questions(spark, sf_dir)
     full = R.bm25(_docs(spark, sf_dir), asked)
-    summary = R.bm25(_docs(spark, sf_dir, "left(text, 200)"), asked).withColumnRenamed("score", "s")
+    summaries = U.chunks(dealt(table(spark, sf_dir, "documents"))).select(F.col("doc_id").alias("doc"), F.col("summary_text").alias("text"))
+    summary = R.bm25(summaries, asked).withColumnRenamed("score", "s")
     both = full.join(summary, ["qid", "doc"], "left").withColumn("score", F.round(0.5 * F.col("score") + 0.5 * F.coalesce("s", F.lit(0.0)), 6))
     return R.top_k(both, 8).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
