@@ -148,7 +148,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from its windows: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows.
 
     Hashes run over a conversation's windows in order and hold no text, however long it is. They
-    are digests of an ordered whole, so one task reads all windows of a conversation.
+    are digests of an ordered whole, so one task reads all windows of a conversation. The windows
+    hold no nulls but a conv_id, which is a conversation of its own; no windows give no rows.
     """
     kind = formatted.schema["conv_id"].dataType.simpleString()
     ordered = formatted.select("conv_id", "block", "number", "text", "repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "block", "number")

@@ -141,7 +141,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of
     the next text by descending key (all, if it has fewer; after the last text comes the first).
-    A table of one row has itself as next. Columns: key, n_chars, edited_sha256, fingerprint,
+    A table of one row has itself as next, an empty one gives no rows. Null texts count as empty,
+    keys are whole numbers, and columns of other names aren't read. Columns: key, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
     """
     kind = docs.schema[key].dataType.simpleString()

@@ -251,7 +251,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Data
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids array<int>, doc_ids in their order."""
+    """The packed sequences themselves: sequence_id, ids array<int>, doc_ids in their order.
+
+    Null and empty texts are the one id ``end``; repeated rows are packed as often as they occur;
+    an empty table gives no rows; columns other than doc_id and text aren't read.
+    """
     found = stored(pieces(docs, path, capacity, end, with_ids=True), "packing-pieces")
     one = place(found, capacity)
     kind = docs.schema["doc_id"].dataType.simpleString()

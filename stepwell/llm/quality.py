@@ -133,7 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Trees | None, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``THRESHOLD`` on), from whole texts alone.
 
-    Null texts count as empty; without a model every score is 0.5.
+    Null texts count as empty; without a model every score is 0.5. Repeated rows are answered as
+    often as they occur, an empty table gives an empty one, and other columns stay as they are.
     """
     kept = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"

@@ -55,7 +55,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     ``cache`` is a folder that grows with each call; without one, a new folder is used. Null
     texts count as empty (0 tokens). Only (key, digest) pairs are grouped, with a map-side
     minimum, to pick one row for each distinct miss; texts move once, spread by key, so that
-    many copies of one text make no large task. Repeated rows are answered as often as they occur.
+    many copies of one text make no large task. Repeated rows are answered as often as they occur,
+    an empty table gives an empty one, and columns of other names aren't read.
     """
     spark = docs.sparkSession
     cache, version = cache or shared_dir(spark, "token-counts"), tokenizer_digest(path)
