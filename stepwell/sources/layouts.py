@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import by_key, let, none_of
+from .tables import cut
 
 #: The names under which a field may stand, in their order.
 IDS = ("qid", "_id", "id")
@@ -113,7 +114,8 @@ def sentence_evaluation_set(rows: DataFrame, most: int = 0, seed: int = 0) -> di
     candidates are the units that no earlier step has as gold, ``most`` at most with the gold one
     among them (all, if 0), in an order by digests of seed, step and id.
     """
-    good = rows.where("problem is null").withColumn("_u", _numbered()).withColumn("_all", F.array_distinct(F.transform("_u", lambda u: u["unit_id"])))
+    good = cut(rows.where("problem is null"))  # four tables are made of it, and each would parse the texts anew
+    good = good.withColumn("_u", _numbered()).withColumn("_all", F.array_distinct(F.transform("_u", lambda u: u["unit_id"])))
     gold = F.transform("facts", lambda f: F.concat_ws("::", F.col("qid"), f["title"], f["sent_id"].cast("string")))
     good = good.withColumn("_gold", gold)
     text = lambda i: F.element_at(F.filter("_u", lambda u: u["unit_id"] == i), -1)
