@@ -84,11 +84,13 @@ def projected(rows: DataFrame, column: str = "value") -> DataFrame:
     ``problem`` names the first rule that a row breaks and is null for a usable one; a text that
     is no JSON is a row without anything. Other columns aren't kept.
     """
-    v = F.try_parse_json(column)
-    field = lambda *names: F.trim(F.coalesce(_get(v, names, "string"), F.lit("")))
-    sources = F.coalesce(*(F.try_variant_get(v, f"$.{n}", "variant") for n in FACTS))
-    out = rows.select(field(*IDS).alias("qid"), *(field(c).alias(c) for c in ("question", "answer", "type", "level")), facts_of(sources).alias("facts"), context_of(F.try_variant_get(v, "$.context", "variant")).alias("context"))
-    out = out.withColumns({"facts": F.coalesce("facts", none_of(FACT)), "context": F.coalesce("context", none_of(BLOCK))})
+    # columns of their own, so that a text is parsed once and not for each field
+    parsed = rows.select(F.try_parse_json(column).alias("_v"))
+    part = lambda *names: F.coalesce(*(F.try_variant_get("_v", f"$.{n}", "variant") for n in names))
+    field = lambda *names: F.trim(F.coalesce(_get(F.col("_v"), names, "string"), F.lit("")))
+    told = parsed.select(field(*IDS).alias("qid"), *(field(c).alias(c) for c in ("question", "answer", "type", "level")), part(*FACTS).alias("_facts"), part("context").alias("_context"))
+    names = ["qid", "question", "answer", "type", "level"]
+    out = told.select(*names, F.coalesce(facts_of(F.col("_facts")), none_of(FACT)).alias("facts"), F.coalesce(context_of(F.col("_context")), none_of(BLOCK)).alias("context"))
     known = lambda f: F.exists("context", lambda b: (b["title"] == f["title"]) & (F.trim(F.coalesce(F.get(b["sentences"], f["sent_id"]), F.lit(""))) != ""))
     rules = [
         ((F.col("qid") == "") | (F.col("question") == "") | (F.col("answer") == ""), "missing_qid_question_or_answer"), (F.size("facts") == 0, "no_supporting_facts"),
@@ -114,7 +116,7 @@ def sentence_evaluation_set(rows: DataFrame, most: int = 0, seed: int = 0) -> di
     candidates are the units that no earlier step has as gold, ``most`` at most with the gold one
     among them (all, if 0), in an order by digests of seed, step and id.
     """
-    good = cut(rows.where("problem is null"))  # four tables are made of it, and each would parse the texts anew
+    good = cut(rows).where("problem is null")  # four tables are made of it; a filter below the cut would parse a text for each field it looks at
     good = good.withColumn("_u", _numbered()).withColumn("_all", F.array_distinct(F.transform("_u", lambda u: u["unit_id"])))
     gold = F.transform("facts", lambda f: F.concat_ws("::", F.col("qid"), f["title"], f["sent_id"].cast("string")))
     good = good.withColumn("_gold", gold)
