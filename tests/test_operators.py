@@ -175,3 +175,8 @@ def test_quota_sample_fills_up_from_other_strata(spark):
     want = [i for s, n in {"a": 10, "b": 6}.items() for i in sorted((i for i in stratum if stratum[i] == s), key=lambda i: key(3, i))[:n]]
     want += sorted(set(stratum) - set(want), key=lambda i: key(4, i))[: 16 - len(want)]
     assert [r.id for r in R.quota_sample(rows, "stratum", "id", {"a": 10, "b": 6}, 3).collect()] == sorted(want, key=lambda i: key(5, i))
+
+
+def test_sentences_keep_numbers_at_their_ends(spark):
+    """A sentence was trimmed of its own place instead of white space."""
+    assert one(spark, T.sentences(F.lit(" 0 a. 1 b 1! 3 c 2 ")))[0] == ["0 a.", "1 b 1!", "3 c 2"]
