@@ -86,11 +86,11 @@ def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {STEPS}, a AS (SELECT qid, max_by(unit, score) AS x, max_by(unit, quantity * 1000000 + score) AS y, max_by(role, score) AS rx, max_by(role, quantity * 1000000 + score) AS ry FROM steps GROUP BY qid)
+@query(f"""WITH {STEPS}, a AS (SELECT qid, first(unit ORDER BY score DESC, t) AS x, first(unit ORDER BY quantity * 1000000 + score DESC, t) AS y, first(role ORDER BY score DESC, t) AS rx, first(role ORDER BY quantity * 1000000 + score DESC, t) AS ry FROM steps GROUP BY qid)
 SELECT count(*) AS n, round(avg((x = y)::INTEGER), 6) AS agreement, sum((rx = 'support' AND ry <> 'support')::INTEGER)::BIGINT AS only_first, sum((rx <> 'support' AND ry = 'support')::INTEGER)::BIGINT AS only_second, sum((rx = 'support' AND ry = 'support')::INTEGER)::BIGINT AS both FROM a""")
 def teacher_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    second = F.col("quantity") * 1000000 + F.col("score")
-    picks = steps(spark, sf_dir).groupBy("qid").agg(F.max_by("unit", "score").alias("x"), F.max_by("unit", second).alias("y"), F.max_by("role", "score").alias("rx"), F.max_by("role", second).alias("ry"))
+    first, second = (F.struct(c, -F.col("t")) for c in (F.col("score"), F.col("quantity") * 1000000 + F.col("score")))  # the first step of those that tie
+    picks = steps(spark, sf_dir).groupBy("qid").agg(F.max_by("unit", first).alias("x"), F.max_by("unit", second).alias("y"), F.max_by("role", first).alias("rx"), F.max_by("role", second).alias("ry"))
     hit = lambda c: F.sum(c.cast("int"))
     rx, ry = F.col("rx") == "support", F.col("ry") == "support"
     return picks.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("x") == F.col("y")).cast("int")), 6).alias("agreement"), hit(rx & ~ry).alias("only_first"), hit(~rx & ry).alias("only_second"), hit(rx & ry).alias("both"))
