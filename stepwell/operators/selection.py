@@ -11,6 +11,8 @@ from .teacher import SIMILAR
 
 #: Fixed values of the Okapi form with a floor for negative idf.
 OKAPI_K1, OKAPI_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
+#: Characters of a task's texts, each word of which becomes a row.
+OKAPI_CHARS = 8 << 20
 
 
 def okapi(docs: DataFrame, questions: DataFrame) -> DataFrame:
@@ -19,16 +21,21 @@ def okapi(docs: DataFrame, questions: DataFrame) -> DataFrame:
     idf = ln(N - df + .5) - ln(df + .5), where it is negative a quarter of the mean idf of the
     collection's terms; a question's token counts as often as it occurs.
     """
-    words = docs.select("qid", "doc", T.tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    stats = words.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = words.select("qid", "doc", "dl", F.explode("w").alias("term")).groupBy("qid", "doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "qid")
+    # texts meet their question once; what follows stays in the task of the question
+    asked = questions.select("qid", F.lit(None).cast(docs.schema["doc"].dataType).alias("doc"), "text", F.lit(True).alias("_q"))
+    met = docs.select("qid", "doc", "text", F.lit(False).alias("_q")).unionByName(asked)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    met = met.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // OKAPI_CHARS)), "qid")
+    words = met.select("qid", "doc", "_q", T.tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    stats = docs.select("qid", F.size(T.tokens(F.col("text"))).alias("dl")).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = words.select("qid", "doc", "_q", "dl", F.explode("w").alias("term")).groupBy("qid", "doc", "_q", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).join(stats, "qid")
+    term, held = Window.partitionBy("qid", "term"), ~F.col("_q")
+    df = tf.withColumns({"df": F.count_if(held).over(term), "times": F.sum(F.when(F.col("_q"), F.col("tf"))).over(term), "_i": F.row_number().over(term.orderBy("_q", "doc"))})
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.groupBy("qid").agg(F.avg("idf").alias("mean"))
-    df = df.join(mean, "qid").withColumn("idf", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("idf")))
-    asked = questions.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("dl") / F.col("avgdl")))
-    found = tf.join(df, ["qid", "term"]).join(asked, ["qid", "term"]).groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    df = df.withColumn("mean", F.avg(F.when(held & (F.col("_i") == 1), F.col("idf"))).over(Window.partitionBy("qid"))).where(held & F.col("times").isNotNull())
+    idf = F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("idf"))
+    part = F.col("times") * idf * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("dl") / F.col("avgdl")))
+    found = df.groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     return docs.select("qid", "doc").join(found, ["qid", "doc"], "left").select("qid", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
