@@ -26,34 +26,36 @@ def ratio_of_sums(num: str, den: str) -> Column:
 DRAWS, DIGITS = 4, 8
 
 
-def draws(seed: int, block: Column, id_: Column) -> Column:
-    """How often an id is in each of the ``DRAWS`` replicates of a block: Poisson(1) numbers from a hash, by their distribution function.
+def _times(digits: Column) -> Column:
+    """How often an id is in a replicate: a Poisson(1) number from digits of its hash, by its distribution function.
 
-    They stand for drawing ids with replacement: every id can be drawn where its row lies, so no
+    It stands for drawing ids with replacement: every id can be drawn where its row lies, so no
     replicate needs all ids in one place. Values above 7 have a chance below 1e-5 and count as 7.
     The digits of a draw are compared as they are, since hex numbers of one length sort as text.
     """
-    digest = F.md5(F.concat_ws("::", F.lit(str(seed)), block.cast("string"), id_.cast("string")))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: F.substr(digest, i * DIGITS + 1, F.lit(DIGITS)))
     bounds, total, p = [], 0.0, math.exp(-1)
     for k in range(7):
         total += p
         bounds.append(f"{math.ceil(total * 16**DIGITS):0{DIGITS}x}")
         p /= k + 1
-    return F.transform(parts, lambda x: reduce(lambda out, b: out + (x >= b).cast("int"), bounds, F.lit(0)))
+    return reduce(lambda out, b: out + (digits >= b).cast("int"), bounds, F.lit(0))
 
 
 def bootstrap(rows: DataFrame, id_: str, num: str, den: str, replicates: int, seed: int) -> DataFrame:
     """observed, ci_low and ci_high (2.5 and 97.5 %) of a ratio of sums over resampled ids.
 
-    Rows grow by ``replicates`` within their task and are summed there before the shuffle. They
+    Rows grow by a row for each block of replicates within their task and are summed there before the shuffle. They
     are dealt first: they are few and small for what is done with each, so that adaptive
     execution would put them in too few tasks.
     """
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_)
     blocks = dealt.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS) - 1))))
-    drawn = blocks.select(num, den, "_b", F.posexplode(draws(seed, F.col("_b"), F.col(id_))).alias("_i", "_n")).withColumn("replicate", F.col("_b") * DRAWS + F.col("_i")).where(F.col("replicate") < replicates)
-    each = drawn.groupBy("replicate").agg((F.sum(F.col(num) * F.col("_n")) / F.greatest(F.sum(F.col(den) * F.col("_n")), F.lit(1.0))).alias("v"))
+    digest = F.md5(F.concat_ws("::", F.lit(str(seed)), F.col("_b").cast("string"), F.col(id_).cast("string")))
+    parts = blocks.select(num, den, "_b", digest.alias("_h")).select(num, den, "_b", *(F.substring("_h", i * DIGITS + 1, DIGITS).alias(f"_{i}") for i in range(DRAWS)))
+    drawn = parts.select(num, den, "_b", *(_times(F.col(f"_{i}")).alias(f"_{i}") for i in range(DRAWS)))
+    sums = drawn.groupBy("_b").agg(*(F.sum(F.col(c) * F.col(f"_{i}")).alias(f"{n}{i}") for n, c in (("n", num), ("d", den)) for i in range(DRAWS)))
+    pairs = F.array(*(F.struct(F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("d")) for i in range(DRAWS)))
+    each = sums.select("_b", F.posexplode(pairs).alias("_i", "p")).where(F.col("_b") * DRAWS + F.col("_i") < replicates).select((F.col("p.n") / F.greatest(F.col("p.d"), F.lit(1.0))).alias("v"))
     ends = each.agg(percentile("v", 0.025).alias("ci_low"), percentile("v", 0.975).alias("ci_high"))
     return rows.agg(ratio_of_sums(num, den).alias("observed")).crossJoin(ends)  # one row each
 

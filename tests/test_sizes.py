@@ -3,7 +3,7 @@
 import numpy as np
 
 from stepwell.operators import retrieval as R
-from stepwell.operators import selection
+from stepwell.operators import selection, statistics
 from stepwell.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +35,11 @@ def test_okapi_moves_texts_once(spark):
     plan = selection.okapi(docs, docs.where("doc = 1").select("qid", "text"))._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert moved and not any("term" in line for line in moved)
+
+
+def test_replicates_are_summed_in_columns(spark):
+    """An id makes a row for each block of replicates, not for each of them, and its draws are compiled expressions."""
+    rows = spark.createDataFrame([(i, float(i % 3), 1.0) for i in range(50)], "qid long, num double, den double")
+    out = statistics.bootstrap(rows, "qid", "num", "den", 10, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and out.first()["ci_low"] <= out.first()["observed"] <= out.first()["ci_high"]
