@@ -25,3 +25,11 @@ def test_a_part_is_scored_once(spark):
     plan = optimized(shown.reference_scores(spark, SF))
     above, below = plan.split("Join", 1)
     assert "translate(" in below and "translate(" not in above
+
+
+def test_a_policy_values_a_candidate_once(spark):
+    rows = spark.createDataFrame([(1, 1, 2.0, 0), (1, 2, 1.5, 0), (1, 3, 1.5, 1)], "qid long, unit long, score double, doc long")
+    out = online.rollout(rows, 3, online.repeated_doc_policy(0.75))
+    assert optimized(out).count("0.75") == 1
+    assert [(r.t, r.unit, r.value) for r in out.orderBy("t").collect()] == [(0, 1, 2.0), (1, 3, 1.5), (2, 2, 0.75)]
+    assert [r.unit for r in online.rollout(rows, 3, online.repeated_doc_policy(0.75), 1.0).orderBy("t").collect()] == [1, 3]
