@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gates
@@ -63,8 +63,8 @@ def coverage_students(states: DataFrame) -> DataFrame:
     chosen = states.withColumn("source", F.col("positive")).withColumn("positive", coverage_positive(own, F.col("targets"), F.col("covered")))
     parent = lambda unit: F.get(F.filter("pool", lambda c: c["unit"] == unit), F.lit(0))["parent"]
     negatives = F.transform(F.filter("pool", lambda c: c["unit"] != F.col("positive")), lambda c: c["unit"])
-    before = chosen.select("qid", (F.col("t") + 1).alias("t"), F.col("positive").alias("previous"))
-    out = chosen.join(before, ["qid", "t"], "left").withColumn("_parent", parent(F.col("positive"))).withColumn("negatives", negatives)
+    before = lambda c: F.lag(c).over(Window.partitionBy("qid").orderBy("t"))  # noqa: E731  a join would work out every state twice
+    out = chosen.withColumn("previous", F.when(before("t") + 1 == F.col("t"), before("positive"))).withColumn("_parent", parent(F.col("positive"))).withColumn("negatives", negatives)
     changed = F.col("positive") != F.col("source")
     aimed = F.coalesce(F.array_contains(F.array_except("targets", "covered"), F.col("_parent")), F.lit(False))
     return out.select(

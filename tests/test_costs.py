@@ -33,3 +33,10 @@ def test_a_policy_values_a_candidate_once(spark):
     assert optimized(out).count("0.75") == 1
     assert [(r.t, r.unit, r.value) for r in out.orderBy("t").collect()] == [(0, 1, 2.0), (1, 3, 1.5), (2, 2, 0.75)]
     assert [r.unit for r in online.rollout(rows, 3, online.repeated_doc_policy(0.75), 1.0).orderBy("t").collect()] == [1, 3]
+
+
+def test_states_of_coverage_are_made_once(spark):
+    """The pools are joined to the steps; the state before is a row of the same table."""
+    from stepwell.plans import online as queries
+
+    assert len(re.findall(r"\bJoin ", optimized(queries.coverage_students(spark, SF)))) == 1
