@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let
 
 #: Fixed values of the gates.
 COMPLETE, NEAR_COMPLETE, SEMANTIC, REDUNDANT, SIMILAR = 0.70, 0.55, 0.50, 0.90, 0.85
@@ -65,30 +66,37 @@ def legality(notes: DataFrame) -> DataFrame:
     those were accepted, so a question's few notes are folded in order of ``pos``.
     """
     bare = lambda x: T.normalize(F.coalesce(x, F.lit("")))
-    same = lambda a, b: (a == b) | (T.jaccard(T.tokens(a), T.tokens(b)) > DUPLICATE)
-    text = F.trim(F.coalesce("text", F.lit("")))
+    worded = lambda x: F.struct(x.alias("norm"), T.tokens(x).alias("words"))
+    same = lambda a, b: (a["norm"] == b["norm"]) | (T.jaccard(a["words"], b["words"]) > DUPLICATE)
+    text, own_words = F.col("_text"), F.struct(F.col("_norm").alias("norm"), F.col("_words").alias("words"))
     rules = {
-        "duplicate_with_state": F.exists(F.coalesce("existing", F.array().cast("array<string>")), lambda x: same(bare(x), bare(text))),
+        "duplicate_with_state": F.exists(F.coalesce("existing", F.array().cast("array<string>")), lambda x: let(bare(x), lambda b: let(worded(b), lambda w: same(w, own_words)))),
         "duplicated_source_ids": F.size("sources") != F.size(F.array_distinct("sources")),
-        "empty_text": bare(text) == "",
+        "empty_text": F.col("_norm") == "",
         "invalid_source_count": ~F.size("sources").between(1, MOST_SOURCES),
         "invalid_type": ~F.coalesce(F.col("type").isin(*LEGAL_TYPES), F.lit(False)),
         "invisible_source_ids": F.size(F.array_except("sources", "visible")) > 0,
         "not_single_sentence": T.sentence_count(text) != 1,
         "too_long": T.token_count(text) > MOST_TOKENS,
     }
-    own = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())))
+    own = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())))  # rules stand by name, so sorted
     rows = notes.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).withColumn("visible", F.coalesce("visible", F.array().cast("array<string>")))
-    judged = rows.select("qid", F.struct("pos", "note_id", bare(text).alias("norm"), own.alias("why")).alias("n"))
-    listed = judged.groupBy("qid").agg(F.array_sort(F.collect_list("n")).alias("ns"))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<struct<note_id:string,legal:boolean,reasons:array<string>>>").alias("out"))
+    # a note is normalised and cut into words once, and not for each other note that it is compared with
+    rows = rows.withColumn("_text", F.trim(F.coalesce("text", F.lit("")))).withColumn("_norm", bare(F.col("_text"))).withColumn("_words", T.tokens(F.col("_norm")))
+    judged = rows.select("qid", F.struct("pos", "note_id", F.col("_norm").alias("norm"), own.alias("why"), F.col("_words").alias("words")).alias("n"))
+    listed = judged.groupBy("qid").agg(F.sort_array(F.collect_list("n")).alias("ns"))  # no nulls, and sort_array compares without a lambda
+    start = F.struct(F.array().cast("array<struct<norm:string,words:array<string>>>").alias("kept"), F.array().cast("array<struct<note_id:string,legal:boolean,reasons:array<string>>>").alias("out"))
 
     def fold(state: Column, n: Column) -> Column:
-        again = F.exists(state["kept"], lambda k: same(k, n["norm"]))
-        why = F.array_sort(F.when(again, F.array_union(n["why"], F.array(F.lit("duplicate_in_harvest")))).otherwise(n["why"]))
-        legal = F.size(why) == 0
-        one = F.struct(n["note_id"].cast("string").alias("note_id"), legal.alias("legal"), why.alias("reasons"))
-        return F.struct(F.when(legal, F.concat(state["kept"], F.array(n["norm"]))).otherwise(state["kept"]).alias("kept"), F.concat(state["out"], F.array(one)).alias("out"))
+        again = F.exists(state["kept"], lambda k: same(k, n))
+        reasons = F.when(again, F.sort_array(F.array_union(n["why"], F.array(F.lit("duplicate_in_harvest"))))).otherwise(n["why"])
+
+        def written(why: Column) -> Column:
+            legal = F.size(why) == 0
+            one = F.struct(n["note_id"].cast("string").alias("note_id"), legal.alias("legal"), why.alias("reasons"))
+            return F.struct(F.when(legal, F.concat(state["kept"], F.array(F.struct(n["norm"].alias("norm"), n["words"].alias("words"))))).otherwise(state["kept"]).alias("kept"), F.concat(state["out"], F.array(one)).alias("out"))
+
+        return let(reasons, written)
 
     return listed.select("qid", F.explode(F.aggregate("ns", start, fold, lambda s: s["out"])).alias("o")).select("qid", "o.*")
 

@@ -40,3 +40,10 @@ def test_states_of_coverage_are_made_once(spark):
     from stepwell.plans import online as queries
 
     assert len(re.findall(r"\bJoin ", optimized(queries.coverage_students(spark, SF)))) == 1
+
+
+def test_a_note_is_cut_into_words_once(spark):
+    notes = spark.createDataFrame([(1, "0", 0, "bridge_note", "A note.", ["a"], ["a"], ["Another."]), (1, "1", 1, "bridge_note", "a note", ["a"], ["a"], ["Another."])], "qid long, note_id string, pos long, type string, text string, sources array<string>, visible array<string>, existing array<string>")
+    out = teacher.legality(notes)
+    assert optimized(out).count("([a-z0-9]+)") == 2  # of the note, and of a text of the state
+    assert [(r.legal, r.reasons) for r in out.orderBy("note_id").collect()] == [(True, []), (False, ["duplicate_in_harvest"])]
