@@ -47,3 +47,8 @@ def test_a_note_is_cut_into_words_once(spark):
     out = teacher.legality(notes)
     assert optimized(out).count("([a-z0-9]+)") == 2  # of the note, and of a text of the state
     assert [(r.legal, r.reasons) for r in out.orderBy("note_id").collect()] == [(True, []), (False, ["duplicate_in_harvest"])]
+
+
+def test_candidates_are_composed_without_joins(spark):
+    plan = audits.composed_candidates(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 3
