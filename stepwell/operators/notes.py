@@ -42,21 +42,24 @@ def rule_notes(question: Column, gold: Column, units: Column, repair: Column) ->
     it is yes or no, the unit nearest to the question becomes a bridge note (a verification note in
     a repair). A null question or answer is an empty one.
     """
-    asked_text, answer = F.coalesce(question, F.lit("")), T.normalize(F.coalesce(gold, F.lit("")))
-    of_question = F.struct(T.focus_kind(asked_text).alias("kind"), T.anchors(asked_text).alias("anchors"), T.tokens(asked_text).alias("words"), T.normalize(asked_text).alias("norm"), answer.alias("gold"))
+    asked = F.struct(F.coalesce(question, F.lit("")).alias("text"), T.normalize(F.coalesce(gold, F.lit(""))).alias("gold"))
+    of_question = lambda a: F.struct(T.focus_kind(a["text"]).alias("kind"), T.anchors(a["text"]).alias("anchors"), T.tokens(a["text"]).alias("words"), T.normalize(a["text"]).alias("norm"), a["gold"].alias("gold"))
 
     def profile(u: Column, q: Column) -> Column:
-        title, norm = T.normalize(F.coalesce(u["doc"], F.lit(""))), T.normalize(whole(u))
-        return F.struct(
-            u["unit"].alias("unit"), T.note_text(u["doc"], u["text"]).alias("note"), (title == q["gold"]).cast("int").alias("named"), F.contains(norm, q["gold"]).cast("int").alias("bears"),
-            F.contains(q["norm"], title).cast("int").alias("asked"), F.size(F.array_intersect(T.anchors(whole(u)), q["anchors"])).alias("hits"), gates.answer_signal(whole(u), q["kind"]).cast("int").alias("signal"),
-            F.size(F.array_intersect(T.tokens(whole(u)), q["words"])).alias("shared"), sentence_number(u["unit"]).alias("place"),
-        )
+        def of(x: Column) -> Column:
+            return F.struct(
+                u["unit"].alias("unit"), u["doc"].alias("doc"), u["text"].alias("raw"), (x["title"] == q["gold"]).cast("int").alias("named"), F.contains(T.normalize(x["whole"]), q["gold"]).cast("int").alias("bears"),
+                F.contains(q["norm"], x["title"]).cast("int").alias("asked"), F.size(F.array_intersect(T.anchors(x["whole"]), q["anchors"])).alias("hits"), gates.answer_signal(x["whole"], q["kind"]).cast("int").alias("signal"),
+                F.size(F.array_intersect(T.tokens(x["whole"]), q["words"])).alias("shared"), sentence_number(u["unit"]).alias("place"),
+            )
+
+        return let(F.struct(T.normalize(F.coalesce(u["doc"], F.lit(""))).alias("title"), whole(u).alias("whole")), of)
 
     def note(kind: Column, of: Column, sources: Column) -> Column:
-        named = F.array_distinct(F.filter(sources, lambda s: F.trim(s) != ""))
-        fits = (T.normalize(of["note"]) != "") & F.size(named).between(1, MOST_SOURCES)
-        return F.when(fits, F.struct(kind.alias("type"), of["note"].alias("text"), named.alias("sources"), F.lit(1).alias("priority")))
+        # the text of a note is only made of the unit that was chosen
+        made = F.struct(F.array_distinct(F.filter(sources, lambda s: F.trim(s) != "")).alias("sources"), T.note_text(of["doc"], of["raw"]).alias("text"))
+        fits = lambda n: (T.normalize(n["text"]) != "") & F.size(n["sources"]).between(1, MOST_SOURCES)
+        return let(made, lambda n: F.when(fits(n), F.struct(kind.alias("type"), n["text"].alias("text"), n["sources"].alias("sources"), F.lit(1).alias("priority"))))
 
     def made(q: Column, ps: Column) -> Column:
         bearing = best(F.filter(ps, lambda p: (p["named"] + p["bears"]) > 0), lambda p: F.struct(p["named"], p["bears"], p["hits"], p["signal"], -p["place"]))
@@ -66,7 +69,7 @@ def rule_notes(question: Column, gold: Column, units: Column, repair: Column) ->
         nearest = let(best(ps, lambda p: F.struct(p["signal"], p["hits"], p["shared"])), lambda b: note(F.when(repair, "verification_note").otherwise("bridge_note"), b, F.array(b["unit"])))
         return F.array_compact(F.array(F.coalesce(checked, nearest)))
 
-    return let(of_question, lambda q: let(F.transform(units, lambda u: profile(u, q)), lambda ps: made(q, ps)))
+    return let(asked, lambda a: let(of_question(a), lambda q: let(F.transform(units, lambda u: profile(u, q)), lambda ps: made(q, ps))))
 
 
 def harvested(qid: Column, proposals: Column, visible: Column, start: Column) -> Column:

@@ -52,3 +52,10 @@ def test_a_note_is_cut_into_words_once(spark):
 def test_candidates_are_composed_without_joins(spark):
     plan = audits.composed_candidates(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 3
+
+
+def test_a_document_is_searched_for_phrases_once(spark):
+    """The question and the answer are made of one list of phrases, and rules on the question don't make it anew."""
+    from stepwell.plans import rollouts
+
+    assert len(re.findall(r"regexp_extract_all\(text#\d+", optimized(rollouts.rule_made_notes(spark, SF)))) == 1
