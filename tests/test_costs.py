@@ -59,3 +59,12 @@ def test_a_document_is_searched_for_phrases_once(spark):
     from stepwell.plans import rollouts
 
     assert len(re.findall(r"regexp_extract_all\(text#\d+", optimized(rollouts.rule_made_notes(spark, SF)))) == 1
+
+
+def test_picks_of_a_unit_are_gathered_once(spark):
+    """One filter finds a unit's picks; the others drop empty documents."""
+    rows = spark.createDataFrame([(1, 0, "u", "d", "", "x"), (1, 1, "v", "e", "", "y"), (1, 2, "u", "f", "", "z")], "qid long, t int, unit string, doc string, title string, text string")
+    out = online.states(rows)
+    assert optimized(out).count("filter(") == 3
+    s = out.first()["state"]
+    assert (s["H_t"], s["A_t"]["unit_doc"], s["K_t"]) == (["u", "v"], {"u": "f", "v": "e"}, "Evidence:\n[1] e: y\n[2] d: x")
