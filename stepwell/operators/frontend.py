@@ -28,8 +28,9 @@ def rebuild(
     by, doc = Window.partitionBy("qid"), Window.partitionBy("qid", "doc")
     place = lambda *order: F.row_number().over(by.orderBy(*order, "unit"))
     lexical = okapi(pool.select("qid", F.col("unit").alias("doc"), "text"), questions).select("qid", F.col("doc").alias("unit"), F.col("score").alias("_lexical"))
-    rows = pool.join(lexical, ["qid", "unit"]).join(dense.select("qid", "unit", F.col("score").alias("_dense")), ["qid", "unit"])
-    rows = rows.join(positives.select("qid", "unit", F.lit(True).alias("_own")), ["qid", "unit"], "left").withColumn("positive", F.coalesce("_own", F.lit(False)))
+    met = lambda left, right, how="inner": left.join(right.hint("merge"), ["qid", "unit"], how)  # noqa: E731  all sides lie by question, so none goes through the driver
+    rows = met(met(pool, lexical), dense.select("qid", "unit", F.col("score").alias("_dense")))
+    rows = met(rows, positives.select("qid", "unit", F.lit(True).alias("_own")), "left").withColumn("positive", F.coalesce("_own", F.lit(False)))
     rows = rows.withColumn("bm25", place(F.desc("_lexical"))).withColumn("dense", place(F.desc("_dense")))
     rows = rows.withColumn("relevance", F.round(1 / (R.RRF_K + F.col("bm25")) + 1 / (R.RRF_K + F.col("dense")), 6)).withColumn("rrf", place(F.desc("relevance")))
     seed = (F.col("bm25") <= front_k) | (F.col("dense") <= front_k)
@@ -39,7 +40,7 @@ def rebuild(
     open_ = F.col("near") & ~F.col("positive")
     rows = rows.withColumn("_hard", F.when(open_, place(F.desc(open_), order))).withColumn("hard", F.when(F.col("_hard") <= hard, F.col("_hard")))
     chosen = R.mmr(rows.where("near").select("qid", "unit", "doc", "text", "relevance"), top_k, lambda_, same_doc).where(F.col("pos") <= top_k)
-    rows = rows.drop("text").join(chosen.select("qid", "unit", F.col("pos").alias("mmr")), ["qid", "unit"], "left")
+    rows = met(rows.drop("text"), chosen.select("qid", "unit", F.col("pos").alias("mmr")), "left")
     layer = lambda n, p: F.when(p.isNotNull(), F.struct(F.lit(n).alias("l"), p.cast("int").alias("p")))
     forced = [layer(2, F.when(F.col("positive"), F.lit(0)))] if force else []
     rows = rows.withColumn("at", F.least(layer(0, F.col("hard")), layer(1, F.col("mmr")), layer(3, F.col("rrf")), *forced))

@@ -36,7 +36,7 @@ def okapi(docs: DataFrame, questions: DataFrame) -> DataFrame:
     idf = F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("idf"))
     part = F.col("times") * idf * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("dl") / F.col("avgdl")))
     found = df.groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return docs.select("qid", "doc").join(found, ["qid", "doc"], "left").select("qid", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return docs.select("qid", "doc").join(found.hint("merge"), ["qid", "doc"], "left").select("qid", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def seed_units(chunks: DataFrame, atoms: DataFrame, questions: DataFrame, shortlist: int, k: int) -> DataFrame:

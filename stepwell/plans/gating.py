@@ -15,6 +15,7 @@ from ..operators import teacher
 from ..operators import trajectories as J
 from ..operators import units as U
 from ..sources.json import lenient_bool
+from ..sources.tables import cut
 from ..streaming import state
 from .registry import STEPS, dealt, query, steps, table
 from .retrieval import _D, _Q, TOK, _docs, _questions, bm25_sql
@@ -180,7 +181,7 @@ def best_unused_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuilt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each question from the sentences of its eight chunks; the second channel is token overlap. Tested against a plain version."""
     asked = _questions(spark, sf_dir)
-    top = R.top_k(R.bm25(_docs(spark, sf_dir), asked), 8).select("qid", F.col("doc").alias("doc_id"))
+    top = cut(R.bm25_top(_docs(spark, sf_dir), asked, 8).select("qid", F.col("doc").alias("doc_id")))  # named twice, searched for once
     chosen = dealt(table(spark, sf_dir, "documents")).join(top.select("doc_id").distinct(), "doc_id", "left_semi")
     pool = U.units(chosen).join(top.withColumnRenamed("doc_id", "doc"), "doc").select("qid", F.col("unit_id").alias("unit"), "doc", "sent_id", "text").persist()  # eight chunks a question, read by every channel
     dense = pool.join(asked.withColumnRenamed("text", "question"), "qid").select("qid", "unit", F.round(T.jaccard(T.tokens(F.col("question")), T.tokens(F.col("text")), 0.0), 6).alias("score"))

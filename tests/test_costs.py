@@ -68,3 +68,12 @@ def test_picks_of_a_unit_are_gathered_once(spark):
     assert optimized(out).count("filter(") == 3
     s = out.first()["state"]
     assert (s["H_t"], s["A_t"]["unit_doc"], s["K_t"]) == (["u", "v"], {"u": "f", "v": "e"}, "Evidence:\n[1] e: y\n[2] d: x")
+
+
+def test_the_front_end_sends_no_pool_through_the_driver(spark):
+    from stepwell.plans import gating
+
+    out = gating.rebuilt_candidates(spark, SF)
+    assert out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [qid" in plan and not re.search(r"BroadcastHashJoin \[qid#\d+L?, (unit|doc)", plan)
