@@ -77,3 +77,14 @@ def test_the_front_end_sends_no_pool_through_the_driver(spark):
     assert out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [qid" in plan and not re.search(r"BroadcastHashJoin \[qid#\d+L?, (unit|doc)", plan)
+
+
+def test_records_shuffle_texts_packed(spark):
+    from stepwell.operators import repair
+
+    runs = spark.createDataFrame([(1, "success", ["a", "b", "c", "a"]), (2, "abort", []), (3, "abort", None)], "qid long, status string, units array<string>")
+    units = spark.createDataFrame([("a", "d", "é\n x"), ("b", None, ""), ("d", "d", "unread")], "unit string, doc string, text string")
+    out = repair.debug_records(runs, units)
+    assert "_packed(cast(text" in optimized(out)
+    want = [(1, "success", "[1] d: é\n x\n[2] ?: \n[3] ?: [missing]\n[4] d: é\n x", ["missing_unit"]), (2, "abort", "", ["no_selected_chunks"]), (3, "abort", "", ["no_selected_chunks"])]
+    assert [tuple(r) for r in out.orderBy("qid").collect()] == want
