@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import best, by_key, last, let, none_of
-from ..sources.tables import cut
+from ..sources.tables import checkpointed
 from . import gates, notes, repair, selection, support, teacher
 from .retrieval import FLOOR, K1, B
 from .trajectories import kappa
@@ -279,13 +279,13 @@ def run(questions: DataFrame, find: Retrieve = retrieve, most_steps: int = teach
     probe, notebook (after the step), status, terminal_t and reason (null while it goes on).
     """
     names = ["qid", "question", "answer", "targets", "pool", "chunks"]
-    first = cut(started(questions))
+    first = checkpointed(started(questions))
     void = {"t": "int", "unit": "string", "is_note": "boolean", "gain": "double", "found": "array<string>", "kept": "array<string>", "made": "int", "faults": "array<string>", "stop_candidate": "boolean", "proposed": "boolean", "subtype": "string", "goal": "string", "ratio": "double", "delta": "int"}
     head = first.where("closes").select("qid", *(F.lit(None).cast(k).alias(c) for c, k in void.items()), F.size("covered").alias("covered"), F.lit(None).cast("int").alias("progress"), F.lit(0).alias("false_stops"), F.lit(None).cast(PROBE).alias("probe"), "notebook", F.lit("terminal").alias("status"), F.lit(0).alias("terminal_t"), F.lit(None).cast("string").alias("reason"))
     live, out = first.where("not closes").select(*names, *STATE), [head]
     whole_step, state = [*_gated(find), *_proposed(), *_chosen(), *_written(most_steps)], _next_state()
     for t in range(most_steps):
-        step = cut(_columns(live.withColumn("t", F.lit(t)), *whole_step).select(*_kept_columns(names)))
+        step = checkpointed(_columns(live.withColumn("t", F.lit(t)), *whole_step).select(*_kept_columns(names)))
         out.append(step.select(
             "qid", "t", F.col("chosen.c.unit").alias("unit"), F.col("chosen.c.is_note").alias("is_note"), F.col("chosen.score").alias("gain"), F.col("found_ids").alias("found"), _of("kept", "unit").alias("kept"), F.size("harvest").alias("made"),
             F.array_distinct(F.flatten(_of("judged", "faults"))).alias("faults"), "stop_candidate", F.col("propose").alias("proposed"), F.col("own_subtype").alias("subtype"), "goal", "ratio", "delta", F.size("next_covered").alias("covered"), "progress", F.col("next_false_stops").alias("false_stops"), "probe",
