@@ -18,24 +18,24 @@ FACTS = ("supporting_facts", "supporting_facts_by_hop", "supporting_facts_list",
 BLOCK, FACT = "struct<title:string,sentences:array<string>>", "struct<title:string,sent_id:int>"
 
 
-def _get(value: Column, names: tuple[str, ...], kind: str) -> Column:
-    """The first of the named fields that is there and of the kind."""
-    return F.coalesce(*(F.try_variant_get(value, f"$.{n}", kind) for n in names))
+def _fields(kinds: dict[tuple[str, ...], str]) -> str:
+    """The type of an object with the named fields, those of a tuple being of one kind."""
+    return f"struct<{','.join(f'`{n}`:{kind}' for names, kind in kinds.items() for n in names)}>"
 
 
-def _at(value: Column, i: int, kind: str) -> Column:
-    return F.try_variant_get(value, f"$[{i}]", kind)
+def _read(value: Column, kind: str) -> Column:
+    """A whole value of a kind, its fields and items read at once; null what is of another kind."""
+    return F.try_variant_get(value, "$", kind)
 
 
-def _is(value: Column, kind: str) -> Column:
-    """Whether a variant is an ARRAY or OBJECT; false for null."""
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+def _first(record: Column, names: tuple[str, ...]) -> Column:
+    """The first of the named fields that is there and of its kind."""
+    return F.coalesce(*(record[n] for n in names))
 
 
-def _sentences(value: Column) -> Column:
-    """An array of texts as it is, a text cut into sentences; blank ones dropped."""
-    cut = F.when(_is(value, "ARRAY"), F.try_variant_get(value, "$", "array<string>")).otherwise(T.sentences(F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))))
-    return F.filter(cut, lambda s: F.trim(F.coalesce(s, F.lit(""))) != "")
+def _sentences(listed: Column, text: Column) -> Column:
+    """A list of texts as it is, else a text cut into sentences; blank ones dropped."""
+    return F.coalesce(F.filter(listed, lambda s: F.trim(F.coalesce(s, F.lit(""))) != ""), T.sentences(F.coalesce(text, F.lit(""))))
 
 
 def context_of(value: Column) -> Column:
@@ -44,18 +44,23 @@ def context_of(value: Column) -> Column:
     A block of a list without title or sentences is dropped, and so is an item of another form;
     columns of different lengths, and any other form, give null.
     """
-    titles, texts = _get(value, TITLES, "array<string>"), _get(value, SENTENCES, "array<variant>")
-    columnar = F.when(F.size(titles) == F.size(texts), F.zip_with(titles, texts, lambda t, s: F.struct(t.alias("title"), _sentences(s).alias("sentences"))))
 
-    def block(item: Column) -> Column:
-        pair = _is(item, "ARRAY")
-        title = F.when(pair, _at(item, 0, "string")).otherwise(_get(item, ITEM_TITLES, "string"))
-        text = F.when(pair, _at(item, 1, "variant")).otherwise(_get(item, ITEM_SENTENCES, "variant"))
-        return F.struct(title.alias("title"), F.coalesce(_sentences(text), none_of("string")).alias("sentences"))
+    def columnar(record: Column) -> Column:
+        titles, lists = _first(record, TITLES), _first(record, SENTENCES)
+        # texts that are no lists are asked for only where there are any
+        texts = lambda: _first(_read(value, _fields({SENTENCES: "array<string>"})), SENTENCES)
+        cut = F.when(F.forall(lists, lambda s: s.isNotNull()), F.transform(lists, lambda s: _sentences(s, F.lit("")))).otherwise(F.zip_with(lists, texts(), _sentences))
+        return F.when(F.size(titles) == F.size(lists), F.zip_with(titles, cut, lambda t, s: F.struct(t.alias("title"), s.alias("sentences"))))
 
-    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), block)
-    kept = F.filter(listed, lambda b: (F.coalesce(b["title"], F.lit("")) != "") & (F.size(b["sentences"]) > 0))
-    return F.when(_is(value, "OBJECT"), columnar).when(_is(value, "ARRAY"), kept).cast(f"array<{BLOCK}>")
+    def block(item: Column, pair: Column) -> Column:
+        title = F.when(pair.isNotNull(), _read(F.get(pair, F.lit(0)), "string")).otherwise(_first(item, ITEM_TITLES))
+        text = F.when(pair.isNotNull(), F.get(pair, F.lit(1))).otherwise(_first(item, ITEM_SENTENCES))
+        return F.struct(title.alias("title"), let(text, lambda x: _sentences(_read(x, "array<string>"), _read(x, "string"))).alias("sentences"))
+
+    columns = let(_read(value, _fields({TITLES: "array<string>", SENTENCES: "array<array<string>>"})), columnar)
+    items = _read(value, f"array<{_fields({ITEM_TITLES: 'string', ITEM_SENTENCES: 'variant'})}>")
+    kept = F.filter(F.zip_with(items, _read(value, "array<array<variant>>"), block), lambda b: (F.coalesce(b["title"], F.lit("")) != "") & (F.size(b["sentences"]) > 0))
+    return F.coalesce(columns, kept).cast(f"array<{BLOCK}>")
 
 
 def facts_of(value: Column) -> Column:
@@ -64,17 +69,19 @@ def facts_of(value: Column) -> Column:
     Items whose second part is no number, and items of another form, are skipped; an object
     without a number has 0.
     """
-    titles, numbers = _get(value, TITLES, "array<string>"), _get(value, SENT_IDS, "array<int>")
-    columnar = F.when(F.size(titles) == F.size(numbers), F.zip_with(titles, numbers, lambda t, n: F.struct(t.alias("title"), n.alias("sent_id"))))
 
-    def fact(item: Column) -> Column:
-        pair, text = _is(item, "ARRAY"), _at(item, 1, "string")
-        second = F.when(F.coalesce(text.rlike(r"^\d+$"), F.lit(False)), text.cast("int"))
-        number = F.when(pair, second).otherwise(F.coalesce(_get(item, ITEM_SENT_IDS, "int"), F.lit(0)))
-        return F.when(pair | _is(item, "OBJECT"), F.struct(F.when(pair, _at(item, 0, "string")).otherwise(_get(item, ITEM_TITLES, "string")).alias("title"), number.alias("sent_id")))
+    def columnar(record: Column) -> Column:
+        titles, numbers = _first(record, TITLES), _first(record, SENT_IDS)
+        return F.when(F.size(titles) == F.size(numbers), F.zip_with(titles, numbers, lambda t, n: F.struct(t.alias("title"), n.alias("sent_id"))))
+
+    def fact(item: Column, pair: Column) -> Column:
+        second = let(F.get(pair, F.lit(1)), lambda x: F.when(F.coalesce(x.rlike(r"^\d+$"), F.lit(False)), x.cast("int")))
+        number = F.when(pair.isNotNull(), second).otherwise(F.coalesce(_first(item, ITEM_SENT_IDS), F.lit(0)))
+        return F.struct(F.when(pair.isNotNull(), F.get(pair, F.lit(0))).otherwise(_first(item, ITEM_TITLES)).alias("title"), number.alias("sent_id"))
 
-    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), fact)
-    some = F.when(_is(value, "OBJECT"), columnar).when(_is(value, "ARRAY"), listed).cast(f"array<{FACT}>")
+    columns = let(_read(value, _fields({TITLES: "array<string>", SENT_IDS: "array<int>"})), columnar)
+    items = _read(value, f"array<{_fields({ITEM_TITLES: 'string', ITEM_SENT_IDS: 'int'})}>")
+    some = F.coalesce(columns, F.zip_with(items, _read(value, "array<array<string>>"), fact)).cast(f"array<{FACT}>")
     return F.array_distinct(F.filter(some, lambda f: (F.coalesce(f["title"], F.lit("")) != "") & f["sent_id"].isNotNull()))
 
 
@@ -84,17 +91,19 @@ def projected(rows: DataFrame, column: str = "value") -> DataFrame:
     ``problem`` names the first rule that a row breaks and is null for a usable one; a text that
     is no JSON is a row without anything. Other columns aren't kept.
     """
-    # columns of their own, so that a text is parsed once and not for each field
-    parsed = rows.select(F.try_parse_json(column).alias("_v"))
-    part = lambda *names: F.coalesce(*(F.try_variant_get("_v", f"$.{n}", "variant") for n in names))
-    field = lambda *names: F.trim(F.coalesce(_get(F.col("_v"), names, "string"), F.lit("")))
-    told = parsed.select(field(*IDS).alias("qid"), *(field(c).alias(c) for c in ("question", "answer", "type", "level")), part(*FACTS).alias("_facts"), part("context").alias("_context"))
-    names = ["qid", "question", "answer", "type", "level"]
-    out = told.select(*names, F.coalesce(facts_of(F.col("_facts")), none_of(FACT)).alias("facts"), F.coalesce(context_of(F.col("_context")), none_of(BLOCK)).alias("context"))
-    known = lambda f: F.exists("context", lambda b: (b["title"] == f["title"]) & (F.trim(F.coalesce(F.get(b["sentences"], f["sent_id"]), F.lit(""))) != ""))
+    # columns of their own, so that a text is parsed and its fields are read once and not for each field
+    names = ["question", "answer", "type", "level"]
+    parsed = rows.select(_read(F.try_parse_json(column), _fields({(*IDS, *names): "string", (*FACTS, "context"): "variant"})).alias("_r"))
+    field = lambda *among: F.trim(F.coalesce(_first(F.col("_r"), among), F.lit("")))
+    told = parsed.select(field(*IDS).alias("qid"), *(field(c).alias(c) for c in names), _first(F.col("_r"), FACTS).alias("_facts"), F.col("_r")["context"].alias("_context"))
+    out = told.select("qid", *names, F.coalesce(facts_of(F.col("_facts")), none_of(FACT)).alias("facts"), F.coalesce(context_of(F.col("_context")), none_of(BLOCK)).alias("context"))
+    # blank sentences are dropped already
+    known = lambda f: F.exists("context", lambda b: (b["title"] == f["title"]) & (f["sent_id"] >= 0) & (f["sent_id"] < F.size(b["sentences"])))
+    titles = F.col("context.title")
+    n_units = F.when(F.size(F.array_distinct(titles)) == F.size(titles), F.size(F.flatten("context.sentences"))).otherwise(F.size(_unit_ids()))
     rules = [
         ((F.col("qid") == "") | (F.col("question") == "") | (F.col("answer") == ""), "missing_qid_question_or_answer"), (F.size("facts") == 0, "no_supporting_facts"),
-        (F.exists("facts", lambda f: ~known(f)), "support_sentence_missing"), (F.size(_unit_ids()) <= F.size("facts"), "no_distractor_sentences"),
+        (F.exists("facts", lambda f: ~known(f)), "support_sentence_missing"), (n_units <= F.size("facts"), "no_distractor_sentences"),
     ]
     return out.withColumn("problem", F.coalesce(*(F.when(c, F.lit(n)) for c, n in rules)))
 
@@ -106,7 +115,9 @@ def _numbered() -> Column:
 
 
 def _unit_ids() -> Column:
-    return F.array_distinct(F.transform(_numbered(), lambda u: u["unit_id"]))
+    """The distinct ids of the same sentences."""
+    of = lambda b: let(F.concat_ws("::", "qid", b["title"], F.lit("")), lambda head: F.transform(b["sentences"], lambda s, i: F.concat(head, i.cast("string"))))
+    return F.array_distinct(F.flatten(F.transform("context", of)))
 
 
 def sentence_evaluation_set(rows: DataFrame, most: int = 0, seed: int = 0) -> dict[str, DataFrame]:
@@ -117,17 +128,17 @@ def sentence_evaluation_set(rows: DataFrame, most: int = 0, seed: int = 0) -> di
     among them (all, if 0), in an order by digests of seed, step and id.
     """
     good = cut(rows).where("problem is null")  # four tables are made of it; a filter below the cut would parse a text for each field it looks at
-    good = good.withColumn("_u", _numbered()).withColumn("_all", F.array_distinct(F.transform("_u", lambda u: u["unit_id"])))
     gold = F.transform("facts", lambda f: F.concat_ws("::", F.col("qid"), f["title"], f["sent_id"].cast("string")))
-    good = good.withColumn("_gold", gold)
+    good = good.withColumn("_u", _numbered()).withColumn("_all", _unit_ids()).withColumn("_gold", gold)
     text = lambda i: F.element_at(F.filter("_u", lambda u: u["unit_id"] == i), -1)
     units = good.select("qid", F.explode(F.transform("_all", text)).alias("u")).select("qid", "u.*")
     steps = good.select("qid", F.posexplode("_gold").alias("t", "positive"), "_gold", "_all")
     before = F.slice("_gold", F.lit(1), F.col("t"))
-    key = lambda u, n: F.sha2(F.concat_ws("::", (F.lit(seed) + F.col("t") + n).cast("string"), F.col("qid"), u), 256)
-    ordered = lambda us, n: by_key(us, lambda u: key(u, n))
-    open_ = F.array_union(F.array_except("_all", before), F.array("positive"))
-    few = lambda us: ordered(F.concat(F.array("positive"), F.slice(ordered(F.array_except(us, F.array("positive")), 0), 1, max(most - 1, 0))), 1)
-    chosen = let(open_, lambda us: ordered(us, 0) if most <= 0 else F.when(F.size(us) <= most, ordered(us, 0)).otherwise(few(us)))
-    samples = steps.select("qid", "t", "positive", before.alias("context"), chosen.alias("candidates"))
+    head = lambda n: F.concat_ws("::", (F.lit(seed) + F.col("t") + n).cast("string"), "qid", F.lit(""))
+    ordered = lambda us, n: let(head(n), lambda h: by_key(us, lambda u: F.sha2(F.concat(h, u), 256)))
+    others = F.array_remove(F.array_except("_all", before), F.col("positive"))
+    few = ordered(F.array_prepend(F.slice(ordered(F.col("_others"), 0), 1, max(most - 1, 0)), F.col("positive")), 1)
+    every = ordered(F.array_prepend("_others", F.col("positive")), 0)
+    chosen = every if most <= 0 else F.when(F.size("_others") < most, every).otherwise(few)
+    samples = steps.withColumn("_others", others).select("qid", "t", "positive", before.alias("context"), chosen.alias("candidates"))
     return {"queries": good.select("qid", "question", "answer", none_of("string").alias("aliases")), "raw_units": units, "targets": steps.select("qid", "t", F.col("positive").alias("unit_id")), "samples": samples}

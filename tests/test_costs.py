@@ -88,3 +88,22 @@ def test_records_shuffle_texts_packed(spark):
     assert "_packed(cast(text" in optimized(out)
     want = [(1, "success", "[1] d: é\n x\n[2] ?: \n[3] ?: [missing]\n[4] d: é\n x", ["missing_unit"]), (2, "abort", "", ["no_selected_chunks"]), (3, "abort", "", ["no_selected_chunks"])]
     assert [tuple(r) for r in out.orderBy("qid").collect()] == want
+
+
+def test_questions_are_read_once(spark):
+    """A text's fields and a list's items are read by one expression each, an item's kind isn't found from its schema, and a question's lines are shuffled once."""
+    from stepwell.plans import rollouts
+    from stepwell.sources import layouts
+
+    rows = rollouts.mixed_layouts(spark, SF)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    plan = optimized(layouts.projected(spark.createDataFrame([("{}",)], "value string")))
+    assert "schema_of_variant" not in plan and "SchemaOfVariant" not in plan and plan.count("try_variant_get(") <= 12
+
+
+def test_items_by_key_are_sorted_without_comparing_expressions(spark):
+    from stepwell.functions.arrays import by_key
+
+    out = spark.createDataFrame([(["b", None, "a", "c"],), ([],), (None,)], "u array<string>").select(by_key(F.col("u"), lambda x: F.coalesce(x, F.lit("a"))).alias("u"))
+    assert "array_sort(" not in optimized(out)
+    assert [r.u for r in out.collect()] == [[None, "a", "b", "c"], [], None]

@@ -41,3 +41,14 @@ def test_evaluation_set(spark):
         want.append((t, gold, ["q::A::0"][:t], sorted(kept, key=key(9 + t + (len(open_) > 3)))))
     assert sorted((r["t"], r["positive"], r["context"], r["candidates"]) for r in made["samples"].collect()) == want
     assert made["queries"].count() == 1 and made["targets"].count() == 2
+
+
+def test_forms_among_one_another(spark):
+    """Texts beside lists in columns, nulls, and items of all forms in one list."""
+    columns = row({"titles": ["A", "B"], "sentence_id": [0, "1"]}, {"title": None, "titles": ["A", "B", "A"], "sentences": ["One. Two.", ["x", None, " ", "y"], None]})
+    listed = row([{"title": "A", "sent_id": None, "sentence_id": 1}, ["B", "0"], None, ["B", None], ["C"]], [{"title": "A", "sentences": None, "text": "unread"}, {"title": None, "name": "A", "text": "One. Two."}, ["B", "Three."], None, 5, ["C"], [None, "x"]])
+    assert got(spark, columns, listed, row([["A", 0]], {"title": ["A"], "sentences": [["One."], ["Two."]]})) == [
+        ("q", [("A", 0), ("B", 1)], [("A", ["One.", "Two."]), ("B", ["x", "y"]), ("A", [])], None),
+        ("q", [("A", 1), ("B", 0)], [("A", ["One.", "Two."]), ("B", ["Three."])], None),
+        ("q", [("A", 0)], [], "support_sentence_missing"),
+    ]
