@@ -1,315 +1,56 @@
-"""The teacher: trajectories that see the targets, step by step, as a loop of tables.
+"""The teacher: trajectories that see the targets, a question at a time.
 
-A step of all open questions is one plan: retrieve, gate, probe, propose notes, select by the
-value of each candidate's next state, write the state, and end what is done. It ends as terminal
-(a probe holds, or the state closes the question), or is given up as stalled,
+A step retrieves, gates, probes, proposes notes, selects by the value of each candidate's next
+state, writes the state, and ends what is done (`teaching`). A question ends as terminal (a probe
+holds, or the state closes the question), or is given up as stalled,
 repeated_false_stop_no_progress, empty_candidate_pool or max_steps. No model is asked: a probe's
 answer comes from the context, notes are made by rule, and what needs a judge isn't supported.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions import text as T
-from ..functions.arrays import best, by_key, last, let, none_of
-from ..sources.tables import checkpointed
-from . import gates, notes, repair, selection, support, teacher
-from .retrieval import FLOOR, K1, B
-from .trajectories import kappa
+from . import teacher, teaching
 
-#: Chunks and units of a retrieval, units shown to a proposer (in a repair), targets shown beside the pool, probes that may fail.
-SHORTLIST, RETRIEVED, TOP, REPAIR_TOP, SHOWN_TARGETS, FALSE_STOPS = 8, 10, 3, 5, 2, 2
-#: Levels of the mean role score for notes, and the last step of an early bridge.
-LATE, EARLY, EARLY_STEP, TRIGGER, SUMMARY_CHARS = 0.50, 0.40, 1, 0.45, 160
-
-UNIT = "struct<unit:string,chunk:string,doc:string,text:string,words:array<string>>"
-STATE_NOTE = "struct<unit:string,type:string,text:string,sources:array<string>,added_step:int,force:boolean,answer_facing:boolean,mode:string,bucket:string,closure:int>"
-PROBE = "struct<answer:string,correct:boolean,sufficient:boolean,stop:boolean>"
-#: What a question carries from step to step.
-STATE = {
-    "raw": "array<struct<unit:string,step:int>>", "notes": f"array<{STATE_NOTE}>", "taken": "array<string>", "covered": "array<string>", "notebook": "string", "false_stops": "int", "cooldown": "int", "flags": "array<int>",
-    "probes": f"array<{PROBE}>", "history": "array<array<string>>", "repairs": "int", "triggered": "array<boolean>", "next_note": "int", "last_delta": "int", "last_ratio": "double",
+UNIT = "struct<unit:string,chunk:string,doc:string,text:string>"
+#: What is read of a question.
+READ = {
+    "question": "string", "answer": "string", "targets": "array<struct<chunk:string,doc:string,text:string,role:string,weight:double>>", "pool": f"array<{UNIT}>", "chunks": "array<struct<chunk:string,doc:string,text:string>>", "seeds": "array<string>",
 }
-#: From a query, the units, the chunks and the ids taken: the units to choose from.
-Retrieve = Callable[[Column, Column, Column, Column], Column]
-
-
-def local_scores(query: Column, docs: Column) -> Column:
-    """BM25 of token arrays ``docs`` among themselves for query tokens: an array of scores rounded to 6."""
-    mean = F.greatest(F.aggregate(docs, F.lit(0.0), lambda s, d: s + F.size(d)) / F.greatest(F.size(docs), F.lit(1)), F.lit(FLOOR))
-
-    def weighted(n: Column) -> Column:
-        terms = F.transform(F.array_distinct(query), lambda q: F.struct(q.alias("q"), F.size(F.filter(docs, lambda d: F.array_contains(d, q))).alias("df")))
-        return F.transform(F.filter(terms, lambda x: x["df"] > 0), lambda x: F.struct(x["q"].alias("q"), F.log(1 + (n - x["df"] + 0.5) / (x["df"] + 0.5)).alias("idf")))
-
-    def score(d: Column, c: Column) -> Column:
-        norm = K1 * (1 - B + B * F.size(d) / c["mean"])
-        tf = lambda q: F.size(d) - F.size(F.array_remove(d, q))
-        return F.round(F.aggregate(c["terms"], F.lit(0.0), lambda s, x: s + x["idf"] * tf(x["q"]) * (K1 + 1) / F.greatest(tf(x["q"]) + norm, F.lit(FLOOR))), 6)
-
-    return let(F.struct(weighted(F.size(docs)).alias("terms"), mean.alias("mean")), lambda c: F.transform(docs, lambda d: score(d, c)))
-
-
-def retrieve(query: Column, pool: Column, chunks: Column, taken: Column) -> Column:
-    """The best open unit of each of the ``SHORTLIST`` best chunks, best first: BM25 among the chunks, then among the units of a chunk; ties by id."""
-    words = lambda items: F.transform(items, lambda x: x["words"])
-    scored = lambda items, name, q: F.zip_with(local_scores(q, words(items)), items, lambda s, x: F.struct((-s).alias("less"), x[name].alias("id"), x.alias("x")))
-
-    def of_chunk(c: Column, q: Column) -> Column:
-        own = scored(F.filter(pool, lambda u: u["chunk"] == c["id"]), "unit", q)
-        return F.slice(F.array_sort(F.filter(own, lambda u: ~F.array_contains(taken, u["id"]))), 1, 1)
-
-    short = lambda q: F.slice(F.array_sort(scored(chunks, "chunk", q)), 1, SHORTLIST)
-    found = let(T.tokens(query), lambda q: F.array_sort(F.flatten(F.transform(short(q), lambda c: of_chunk(c, q)))))
-    return F.transform(F.slice(found, 1, RETRIEVED), lambda u: u["x"])
-
-
-def summary(question: Column, raw: Column, state_notes: Column, covered: Column, pool: Column) -> Column:
-    """What a query is asked with beside the question: the newest evidence of a covered target, the newest note, and the need."""
-    of = lambda r: F.filter(pool, lambda u: (u["unit"] == r["unit"]) & F.array_contains(covered, u["chunk"]))
-    read = F.try_element_at(F.flatten(F.transform(raw, of)), F.lit(-1))["text"]
-    note = F.when(F.size(covered) > 0, F.try_element_at(state_notes, F.lit(-1))["text"])
-    parts = F.concat_ws("\n", F.concat(F.lit("Evidence: "), T.shorten(read, 80)), F.concat(F.lit("Note: "), T.shorten(note, 70)), F.concat(F.lit("Need: "), T.goal(question)))
-    return F.rtrim(F.left(parts, F.lit(SUMMARY_CHARS)))
-
-
-def shown_targets(question: Column, targets: Column, covered: Column, pool: Column, found: Column, taken: Column) -> Column:
-    """The best unit of each target that is neither covered nor in reach, in the targets' order, ``SHOWN_TARGETS`` at most."""
-    units = lambda c: F.transform(F.filter(pool, lambda u: u["chunk"] == c), lambda u: F.struct(u["unit"].alias("unit"), u["doc"].alias("doc"), u["text"].alias("text"), notes.sentence_number(u["unit"]).alias("sent")))
-    open_ = F.filter(targets, lambda t: ~F.array_contains(covered, t["chunk"]))
-    best_ = F.array_distinct(F.array_compact(F.transform(open_, lambda t: selection.best_unit(question, units(t["chunk"])))))
-    known = F.concat(F.transform(found, lambda u: u["unit"]), taken)
-    some = F.slice(F.array_except(best_, known), 1, SHOWN_TARGETS)
-    return F.flatten(F.transform(some, lambda i: F.filter(pool, lambda u: u["unit"] == i)))
-
-
-def repeat_ratio(found: Column, history: Column) -> Column:
-    """The largest Jaccard similarity of the retrieved ids with the last two retrievals; null without any."""
-    before = F.filter(last(history, 2), lambda h: F.size(h) > 0)
-    return F.when(F.size(found) > 0, F.array_max(F.transform(before, lambda h: F.size(F.array_intersect(found, h)) / F.size(F.array_union(found, h)))))
-
-
-def _columns(frame: DataFrame, *groups: dict[str, Column]) -> DataFrame:
-    """Each group of columns may use those of the groups before it."""
-    for group in groups:
-        frame = frame.withColumns(group)
-    return frame
+#: What is told of a step.
+TOLD = {
+    "t": "int", "unit": "string", "is_note": "boolean", "gain": "double", "found": "array<string>", "kept": "array<string>", "made": "int", "faults": "array<string>", "stop_candidate": "boolean", "proposed": "boolean", "subtype": "string", "goal": "string",
+    "ratio": "double", "delta": "int", "covered": "int", "progress": "int", "false_stops": "int", "probe": "struct<answer:string,correct:boolean,sufficient:boolean,stop:boolean>", "notebook": "string", "status": "string", "terminal_t": "int", "reason": "string",
+}
+#: Questions whose rows a task makes before it hands them on.
+BLOCK = 256
 
 
-def started(questions: DataFrame) -> DataFrame:
-    """Questions (qid, question, answer, targets, pool, chunks, seeds) with their first state and ``ended``.
+def run(questions: DataFrame, most_steps: int = teacher.MAX_STEPS) -> DataFrame:
+    """A row for every step, and one for a question that ends without: the trajectories of questions (qid, question, answer, targets, pool, chunks, seeds).
 
     Seeds are units read before the first step. A question whose first state closes it is
-    terminal at step 0. Null lists are empty; a null question or answer counts as empty.
+    terminal at step 0. Null lists are empty; a null question or answer counts as empty. Columns:
+    qid, t, unit (taken), is_note, gain (its score), found, kept (notes), made (harvest), faults,
+    stop_candidate, proposed, subtype, goal, ratio, delta, covered, progress, false_stops, probe,
+    notebook (after the step), status, terminal_t and reason (null while it goes on).
     """
-    empty = {"targets": "array<struct<chunk:string,doc:string,text:string,role:string,weight:double>>", "chunks": "array<struct<chunk:string,doc:string,text:string,words:array<string>>>", "pool": f"array<{UNIT}>", "seeds": "array<string>"}
-    worded = lambda c, *names: F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in names), T.tokens(F.coalesce(x["text"], F.lit(""))).alias("words")))
-    rows = questions.withColumns({"pool": worded("pool", "unit", "chunk", "doc", "text"), "chunks": worded("chunks", "chunk", "doc", "text"), "question": F.coalesce("question", F.lit("")), "answer": F.coalesce("answer", F.lit(""))})
-    rows = rows.withColumns({c: F.coalesce(F.col(c).cast(kind), F.array().cast(kind)) for c, kind in empty.items()})
-    known = F.array_distinct(F.filter("seeds", lambda s: F.exists("pool", lambda u: u["unit"] == s)))
-    first = {"taken": known, "raw": F.transform(known, lambda s, i: F.struct(s.alias("unit"), i.alias("step")))}
-    start = {"false_stops": 0, "cooldown": 0, "repairs": 0, "next_note": 0, "last_delta": 0, "last_ratio": None}
-    lists = {c: F.array().cast(STATE[c]) for c in ("notes", "flags", "probes", "history", "triggered")}
-    rows = _columns(rows, first, {"covered": _covered(F.col("taken"), F.array().cast("array<string>"))}, lists, {c: F.lit(v).cast(STATE[c]) for c, v in start.items()}, {"notebook": support.rendered(F.col("raw"), F.col("notes"), F.col("pool"))})
-    return rows.withColumns({c: F.col(c).cast(kind) for c, kind in STATE.items()}).withColumn("closes", support.closed(F.col("question"), F.col("answer"), F.col("notebook"), _selected_chunks(F.col("taken")), F.col("targets"), F.col("covered")))
-
-
-def _covered(units: Column, before: Column) -> Column:
-    """The target chunks covered by units beside those before, in the order they came."""
-    chunk = lambda i: F.get(F.filter("pool", lambda u: u["unit"] == i), F.lit(0))["chunk"]
-    mine = F.filter(F.transform(units, chunk), lambda c: F.exists("targets", lambda t: t["chunk"] == c))
-    return F.array_union(before, mine)
-
-
-def _selected_chunks(taken: Column) -> Column:
-    """The chunks of the raw units taken, in order."""
-    ids = F.array_distinct(F.flatten(F.transform(taken, lambda i: F.transform(F.filter("pool", lambda u: u["unit"] == i), lambda u: u["chunk"]))))
-    return F.flatten(F.transform(ids, lambda c: F.filter("chunks", lambda x: x["chunk"] == c)))
-
-
-def _of(name: str, field: str) -> Column:
-    return F.transform(name, lambda x: x[field])
-
-
-def _gated(find: Retrieve) -> list[dict[str, Column]]:
-    """Retrieval, failure signals, gates, and what is to be proposed."""
-    question, pool = F.col("question"), F.col("pool")
-    first = lambda n: F.slice("found", 1, n)
-    wholes = lambda n: F.transform(first(n), notes.whole)
-    unit_of = lambda i: F.filter(pool, lambda u: u["unit"] == i)
-    recent = lambda n: F.flatten(F.transform(last(F.col("raw"), n), lambda r: unit_of(r["unit"])))
-    kinds = _of("notes", "type")
-    idle = F.coalesce(F.try_element_at("flags", F.lit(-1)) == 0, F.lit(False))
-    words = lambda units: F.transform(units, lambda u: u["words"])
-    level = F.when(F.size("scores") > 0, F.aggregate("scores", F.lit(0.0), lambda s, x: s + x) / F.size("scores")).otherwise(0.0)
-    failed = F.col("signals.recent_false_stop") | F.col("signals.stagnation") | F.col("signals.answer_focus_mismatch")
-    forced = repair.continues_repair(F.col("repairs"), F.col("active").isNotNull(), F.col("signals.recent_false_stop"), F.col("last_delta"), F.col("effective"), F.col("triggered"), F.col("stop_candidate"), F.col("cooldown"))
-    asked_type = F.coalesce(gates.derive_goal(F.col("signals.answer_focus_mismatch"), F.col("bridgeable"), T.focus_kind(question), F.exists(first(TOP), lambda u: F.arrays_overlap(T.anchors(notes.whole(u)), F.col("asked"))), F.exists(first(TOP), lambda u: gates.answer_signal(notes.whole(u), T.focus_kind(question)))), F.lit("generic_bridge_or_verification"))
-    late = F.col("bridgeable") & (F.col("level") >= LATE) & failed & (F.col("ready") | F.col("signals.answer_focus_mismatch"))
-    early = (F.col("t") <= EARLY_STEP) & F.col("bridgeable") & (F.col("level") >= EARLY) & ~F.col("ready") & F.col("gap")
-    wanted = teacher.need_note(F.col("level"), F.col("bridgeable"), F.col("recent_check"), failed) & (F.col("level") >= TRIGGER)
-    override = F.col("signals.recent_false_stop") & F.col("signals.stagnation")
-    legacy = (F.col("level") >= teacher.SEMANTIC) & selection.composable(_of("found", "text"), _of("found", "chunk"), F.transform("found", lambda u: F.lit(True))) & (~F.col("recent_check") | idle)
-    goal = (
-        F.when(F.col("subtype") == "late_verification", F.when(F.col("asked_type").isin("answer_focus_verification", "target_type_disambiguation"), F.col("asked_type")).otherwise("answer_focus_verification"))
-        .when(F.col("subtype") == "early_bridge", "bridge_query_entity_to_answer_candidate")
-        .otherwise(F.col("asked_type"))
-    )
-    return [
-        {"cooldown": F.greatest(F.col("cooldown") - 1, F.lit(0)), "query": F.concat(question, F.lit("\n"), summary(question, F.col("raw"), F.col("notes"), F.col("covered"), pool)), "asked": T.anchors(question)},
-        {"retrieved": find(F.col("query"), pool, F.col("chunks"), F.col("taken"))},
-        {"found": F.concat("retrieved", shown_targets(question, F.col("targets"), F.col("covered"), pool, F.col("retrieved"), F.col("taken")))},
-        {"found_ids": _of("found", "unit")},
-        {"ratio": repeat_ratio(F.col("found_ids"), F.col("history"))},
-        {"effective": F.coalesce("ratio", "last_ratio"), "scores": support.role_scores(F.col("targets"), F.col("covered"))},
-        {
-            "signals": support.failure_signals(question, F.col("probes"), F.col("last_delta"), F.col("effective")), "level": level, "recent_check": gates.recent_note(kinds, "verification_note"), "recent_bridge": gates.recent_note(kinds, "bridge_note"),
-            "redundant": teacher.redundant_pool(words(first(TOP)), words(recent(2))), "bridgeable": selection.bridgeable(question, wholes(TOP), F.array_distinct(F.flatten(F.transform(recent(3), lambda u: T.anchors(notes.whole(u)))))),
-            "ready": gates.answer_ready(wholes(REPAIR_TOP), F.col("asked"), T.focus_kind(question)), "gap": gates.bridge_gap(wholes(REPAIR_TOP), F.col("asked"), T.focus_kind(question), F.array_distinct(F.flatten(F.transform(recent(3), lambda u: T.anchors(notes.whole(u)))))),
-        },
-        {"stop_candidate": teacher.legacy_stop(F.col("scores"), teacher.no_note_needed(F.col("recent_check"), F.col("redundant"), F.col("recent_bridge")), F.col("flags")), "asked_type": asked_type, "legacy": legacy},
-        {"subtype": F.when(override, "late_verification").otherwise(teacher.note_subtype(late, F.col("t"), early, wanted))},
-        {"goal": goal, "active": F.when(F.col("legacy") & F.col("subtype").isin("late_verification", "early_bridge"), F.col("subtype"))},
-        {"forced": forced, "can_probe": F.col("stop_candidate") & (F.col("cooldown") == 0) & (F.col("false_stops") < FALSE_STOPS)},
-    ]
-
-
-def _proposed() -> list[dict[str, Column]]:
-    """The probe, and the notes that are made, judged and kept."""
-    question, answer, pool = F.col("question"), F.col("answer"), F.col("pool")
-    probe = F.when(F.col("can_probe"), support.answered(question, answer, F.lit(None).cast("string"), F.col("notebook"), _selected_chunks(F.col("taken")), F.col("targets")))
-    inline = repair.continues_repair(F.col("repairs"), F.lit(False), F.lit(True), F.col("last_delta"), F.col("effective"), F.col("triggered"), F.col("stop_candidate"), F.col("cooldown"))
-    failed = F.col("can_probe") & ~F.col("stops")
-    repairs = (failed & inline) | (~F.col("can_probe") & F.col("forced"))
-    propose = F.when(F.col("can_probe"), F.col("repair")).when(F.col("forced"), True).otherwise(~F.col("stop_candidate") & F.col("active").isNotNull())
-    ids = F.array_distinct(F.when(F.col("repair"), F.concat(_of("recent_raw", "unit"), F.slice("found_ids", 1, REPAIR_TOP))).otherwise(F.slice("found_ids", 1, TOP)))
-    top = F.slice(F.flatten(F.transform(ids, lambda i: F.filter(pool, lambda u: u["unit"] == i))), 1, F.when(F.col("repair"), REPAIR_TOP).otherwise(TOP))
-    made = notes.harvested(F.col("qid"), notes.rule_notes(question, answer, F.col("top"), F.col("repair")), _of("top", "unit"), F.col("next_note"))
-    typed = F.when(F.col("own_subtype") == "late_verification", "verification_note").when(F.col("own_subtype") == "early_bridge", "bridge_note")
-    harvest = F.transform("made", lambda n: F.struct(n["unit"].alias("unit"), F.coalesce(typed, n["type"]).alias("type"), n["text"].alias("text"), n["sources"].alias("sources"), n["priority"].alias("priority")))
-    judged = notes.judged(F.col("harvest"), F.array_union("found_ids", _of("raw", "unit")), _of("notes", "text"))
-    legal = notes.valued(F.filter("judged", lambda n: F.size(n["faults"]) == 0), question, answer, F.col("goal"))
-    empty = F.slice("made", 1, 0)
-    return [
-        {"probe": probe.cast(PROBE)},
-        {"stops": F.coalesce("probe.stop", F.lit(False)), "recent_raw": last(F.col("raw"), 3)},
-        {"repair": repairs, "failed": failed},
-        {"propose": propose & ~F.col("stops"), "own_subtype": F.when(F.col("repair"), "late_verification").otherwise(F.col("active")), "top": top},
-        {"made": made},
-        {"harvest": F.when(F.col("propose"), harvest).otherwise(empty)},
-        {"judged": judged},
-        {"legal": legal},
-        {"kept": notes.retained(F.col("legal"), F.col("repair"), F.col("own_subtype"))},
-    ]
-
-
-def _chosen() -> list[dict[str, Column]]:
-    """The candidate of greatest value: its score, and the order among equals."""
-    question, pool = F.col("question"), F.col("pool")
-    void = lambda kind: F.lit(None).cast(kind)
-    mode = F.when(F.col("repair"), "repair_after_false_stop").otherwise("normal")
-    raw = F.transform("found", lambda u: F.struct(u["unit"].alias("unit"), F.lit(False).alias("is_note"), u["chunk"].alias("chunk"), u["doc"].alias("doc"), void("string").alias("type"), u["text"].alias("text"), none_of("string").alias("sources"), F.lit(0).alias("priority"), F.lit(0).alias("closure"), F.lit(False).alias("answer_facing"), F.lit(False).alias("force"), void("string").alias("mode"), void("string").alias("bucket")))
-    kept = F.transform("kept", lambda n: F.struct(n["unit"].alias("unit"), F.lit(True).alias("is_note"), void("string").alias("chunk"), void("string").alias("doc"), n["type"].alias("type"), n["text"].alias("text"), n["sources"].alias("sources"), n["priority"].alias("priority"), n["closure"].alias("closure"), n["answer_facing"].alias("answer_facing"), F.lit(False).alias("force"), mode.alias("mode"), F.lit("final").alias("bucket")))
-    state = F.struct("raw", "notes", "covered", "taken", "notebook")
-    recent = F.flatten(F.transform(last(F.col("raw"), 2), lambda r: F.transform(F.filter(pool, lambda u: u["unit"] == r["unit"]), lambda u: F.struct(u["unit"].alias("unit"), u["chunk"].alias("parent"), u["doc"].alias("doc"), u["text"].alias("text")))))
-    error = support.probe_error(F.col("answer"), F.try_element_at("probes", F.lit(-1)))
-    biased = (F.col("repair") | F.col("forced")) & (F.size("kept") > 0)
-
-    def score(c: Column, i: Column) -> Column:
-        as_unit = F.struct(c["unit"].alias("unit"), c["chunk"].alias("parent"), c["doc"].alias("doc"), c["text"].alias("text"))
-        penalty = gates.repeat_penalty(as_unit, F.col("recent"), F.col("flags"), F.col("ratio"))
-        uncovered = ~c["is_note"] & F.exists("targets", lambda t: (t["chunk"] == c["chunk"]) & ~F.array_contains("covered", t["chunk"]))
-        bonus = F.when(biased, notes.influence(c, F.col("profiles"), question, F.col("error"), F.col("goal"))["bonus"]).otherwise(0.0)
-        own = support.utility(c, F.col("state"), F.col("answer"), F.col("targets"), pool) - support.REPEAT_WEIGHT * penalty + support.PLACE_WEIGHT * (F.size("candidates") - i)
-        return F.round(own + F.when(uncovered, support.UNCOVERED_BONUS).otherwise(0.0) + bonus, 9)
-
-    of_note = lambda c, x: F.when(c["is_note"], x).otherwise(0)
-    scored = F.transform("candidates", lambda c, i: F.struct(score(c, i).alias("score"), c.alias("c")))
-    order = lambda s: F.struct(-s["score"], s["c"]["is_note"], ~s["c"]["answer_facing"], -of_note(s["c"], s["c"]["closure"]), kappa(F.when(s["c"]["is_note"], s["c"]["type"]), F.lit("sentence")), -of_note(s["c"], s["c"]["priority"]), s["c"]["unit"])
-    return [
-        {"candidates": F.when(F.col("stops"), F.slice(F.concat(raw, kept), 1, 0)).otherwise(F.concat(raw, kept)), "state": state, "recent": recent, "error": error, "profiles": notes.note_profiles(F.col("kept"), pool, question)},
-        {"scored": scored},
-        {"chosen": F.get(by_key(F.col("scored"), order), F.lit(0))},
-    ]
-
-
-def _written(most_steps: int) -> list[dict[str, Column]]:
-    """The next state, and how the question ends with it if it does."""
-    one, taken, t, ends = F.col("chosen.c"), F.col("taken"), F.col("t"), F.col("t") + 1 >= most_steps
-    void = {"int": F.lit(None).cast("int"), "string": F.lit(None).cast("string")}
-    terminal = lambda at: F.struct(F.lit("terminal").alias("status"), at.cast("int").alias("t"), void["string"].alias("reason"))
-    given_up = lambda why: F.struct(F.lit("abort").alias("status"), void["int"].alias("t"), F.lit(why).alias("reason"))
-    has = F.col("chosen").isNotNull()
-    next_taken = F.when(has & ~F.array_contains("taken", one["unit"]), F.concat("taken", F.array(one["unit"]))).otherwise(taken)
-    covered = F.when(has & ~one["is_note"], _covered(F.array(one["unit"]), F.col("covered"))).otherwise(F.col("covered"))
-    flags = F.when(has, last(F.concat("flags", F.array(F.col("progress"))), teacher.STALL_WINDOW)).otherwise(F.col("flags"))
-    closes = support.closed(F.col("question"), F.col("answer"), F.col("next_notebook"), _selected_chunks(F.col("next_taken")), F.col("targets"), F.col("next_covered"))
-    tried = has & (teacher.raw_complete(support.role_scores(F.col("targets"), F.col("next_covered"))) | F.col("streak") | ends)
-    patient = F.col("repair") & (F.col("progress") == 0)
-    ended = (
-        F.when(F.col("stops"), terminal(t))
-        .when(~has, given_up("empty_candidate_pool"))
-        .when(F.col("closes"), terminal(t + 1))
-        .when(~patient & F.col("streak") & (F.col("next_false_stops") >= FALSE_STOPS), given_up("repeated_false_stop_no_progress"))
-        .when(~patient & F.col("streak"), given_up("stalled"))
-        .when(ends, given_up("max_steps"))
-    )
-    control = F.col("propose") & (F.col("active").isNotNull() | F.col("repair") | F.col("forced"))
-    return [
-        {"next_taken": next_taken, "next_raw": F.when(has, support.with_raw(F.col("state"), one)).otherwise(F.col("raw")), "next_notes": F.when(has, support.with_note(F.col("state"), one)).otherwise(F.col("notes")), "next_covered": covered},
-        {"next_notebook": support.rendered(F.col("next_raw"), F.col("next_notes"), F.col("pool")), "delta": F.size("next_covered") - F.size("covered"), "next_false_stops": F.col("false_stops") + F.col("failed").cast("int")},
-        {"progress": F.when((F.col("delta") > 0) | F.coalesce(one["is_note"], F.lit(False)), 1).otherwise(0)},
-        {"next_flags": flags},
-        {"streak": (F.size("next_flags") == teacher.STALL_WINDOW) & F.forall("next_flags", lambda x: x == 0)},
-        {"closes": F.when(tried, closes).otherwise(F.lit(False))},
-        {"ended": ended, "control": control},
-    ]
-
-
-def run(questions: DataFrame, find: Retrieve = retrieve, most_steps: int = teacher.MAX_STEPS) -> DataFrame:
-    """A row for every step, and one for a question that ends without: the trajectories of `started` questions.
-
-    Columns: qid, t, unit (taken), is_note, gain (its score), found, kept (notes), made (harvest),
-    faults, stop_candidate, proposed, subtype, goal, ratio, delta, covered, progress, false_stops,
-    probe, notebook (after the step), status, terminal_t and reason (null while it goes on).
-    """
-    names = ["qid", "question", "answer", "targets", "pool", "chunks"]
-    first = checkpointed(started(questions))
-    void = {"t": "int", "unit": "string", "is_note": "boolean", "gain": "double", "found": "array<string>", "kept": "array<string>", "made": "int", "faults": "array<string>", "stop_candidate": "boolean", "proposed": "boolean", "subtype": "string", "goal": "string", "ratio": "double", "delta": "int"}
-    head = first.where("closes").select("qid", *(F.lit(None).cast(k).alias(c) for c, k in void.items()), F.size("covered").alias("covered"), F.lit(None).cast("int").alias("progress"), F.lit(0).alias("false_stops"), F.lit(None).cast(PROBE).alias("probe"), "notebook", F.lit("terminal").alias("status"), F.lit(0).alias("terminal_t"), F.lit(None).cast("string").alias("reason"))
-    live, out = first.where("not closes").select(*names, *STATE), [head]
-    whole_step, state = [*_gated(find), *_proposed(), *_chosen(), *_written(most_steps)], _next_state()
-    for t in range(most_steps):
-        step = checkpointed(_columns(live.withColumn("t", F.lit(t)), *whole_step).select(*_kept_columns(names)))
-        out.append(step.select(
-            "qid", "t", F.col("chosen.c.unit").alias("unit"), F.col("chosen.c.is_note").alias("is_note"), F.col("chosen.score").alias("gain"), F.col("found_ids").alias("found"), _of("kept", "unit").alias("kept"), F.size("harvest").alias("made"),
-            F.array_distinct(F.flatten(_of("judged", "faults"))).alias("faults"), "stop_candidate", F.col("propose").alias("proposed"), F.col("own_subtype").alias("subtype"), "goal", "ratio", "delta", F.size("next_covered").alias("covered"), "progress", F.col("next_false_stops").alias("false_stops"), "probe",
-            F.col("next_notebook").alias("notebook"), F.col("ended.status").alias("status"), F.col("ended.t").alias("terminal_t"), F.col("ended.reason").alias("reason"),
-        ))
-        open_ = step.where("ended is null")
-        if t + 1 == most_steps or open_.isEmpty():
-            break
-        live = open_.select(*names, *(c.cast(k).alias(n) for n, k, c in state))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _kept_columns(names: list[str]) -> list[str]:
-    """What the next step or the record needs of a step."""
-    used = "chosen found_ids kept harvest judged stop_candidate propose own_subtype goal ratio delta next_covered progress next_false_stops probe next_notebook ended next_raw next_notes next_taken cooldown failed next_flags probes history repairs repair triggered control next_note"
-    return [*names, "t", *used.split()]
-
-
-def _next_state() -> list[tuple[str, str, Column]]:
-    """(name, type, value) of the state that a step leaves."""
-    value = {
-        "raw": F.col("next_raw"), "notes": F.col("next_notes"), "taken": F.col("next_taken"), "covered": F.col("next_covered"), "notebook": F.col("next_notebook"), "false_stops": F.col("next_false_stops"),
-        "cooldown": F.when(F.col("failed"), 1).otherwise(F.col("cooldown")), "flags": F.col("next_flags"), "probes": F.when(F.col("probe").isNotNull(), last(F.concat("probes", F.array("probe")), 2)).otherwise(F.col("probes")),
-        "history": last(F.concat("history", F.array("found_ids")), 2), "repairs": F.col("repairs") + F.col("repair").cast("int"), "triggered": last(F.concat("triggered", F.array("control")), 2),
-        "next_note": F.col("next_note") + F.size("harvest"), "last_delta": F.col("delta"), "last_ratio": F.col("ratio"),
-    }
-    return [(n, STATE[n], value[n]) for n in STATE]
+    named = lambda c, *names: F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in names)))
+    shaped = {"targets": named("targets", "chunk", "doc", "text", "role", "weight"), "pool": named("pool", "unit", "chunk", "doc", "text"), "chunks": named("chunks", "chunk", "doc", "text")}
+    rows = questions.select("qid", *(shaped.get(c, F.col(c)).cast(kind).alias(c) for c, kind in READ.items()))
+    schema = f"qid {questions.schema['qid'].dataType.simpleString()}, {', '.join(f'{c} {kind}' for c, kind in TOLD.items())}"
+    told = to_arrow_schema(StructType.fromDDL(schema))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                yield pa.RecordBatch.from_pylist([r for q in batch.slice(at, BLOCK).to_pylist() for r in teaching.taught(q, most_steps)], told)
+
+    return rows.mapInArrow(steps, schema)

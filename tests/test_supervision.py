@@ -150,3 +150,30 @@ def test_legal_valued_and_retained_notes(spark, flag):
     assert [n["faults"] for n in r["j"]] == [[], ["not_single_sentence"], ["duplicate_with_state"], ["duplicate_in_harvest"]]
     assert [(n["closure"], n["answer_facing"]) for n in r["v"]] == [(9, True)]
     assert [n["unit"] for n in r["k"]] == ["q::derived::6"]
+
+
+def test_the_teacher_is_one_short_plan(spark, questions):
+    """A step's rules are no part of the plan, so neither rows nor steps make it longer, and no step writes a table."""
+    plan = supervision.run(frame(spark, questions))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and len(plan) < 20_000 and "regexp" not in plan
+
+
+def test_string_rules_equal_expressions(spark):
+    from stepwell.functions import strings as S
+    from stepwell.functions import text as T
+    from stepwell.operators import gates
+
+    texts = ["", " ", "\t", "It was “Émile  Zola”, né1923.", "İstanbul\tStraße; She's at North-Gate (5 hours) in 1887–1901!  Next one", "they\u00a0ran. ", "IT is x² ٣", "?!", "When was  the River founded??", " who Wrote it", "first a built b", "is it so?", "Which  year", "a.b! c", "\n x\u2028 \n", "“", "July", "what kind of plant", "how many years"]
+    kinds = ["year", "duration", "person", "river", "plant", "generic"]
+    rules = {
+        "normalize": (T.normalize, S.normalize), "tokens": (T.tokens, lambda x: list(S.tokens(x))), "anchors": (T.anchors, lambda x: list(S.anchors(x))), "sentences": (T.sentences, S.sentences), "sentence_count": (T.sentence_count, S.sentence_count),
+        "token_count": (T.token_count, S.token_count), "focus_kind": (T.focus_kind, S.focus_kind), "goal": (T.goal, S.goal), "single_sentence": (T.single_sentence, S.single_sentence), "number_like": (T.number_like, S.number_like), "is_yes_no": (T.is_yes_no, S.is_yes_no),
+        "phrases": (T.capitalized_phrases, S.capitalized_phrases), "shorten": (lambda c: T.shorten(c, 9), lambda x: S.shorten(x, 9)), "note_text": (lambda c: T.note_text(F.lit(" Old Mill "), c), lambda x: S.note_text(" Old Mill ", x)),
+        **{k: (lambda c, k=k: gates.answer_signal(c, F.lit(k)), lambda x, k=k: S.answer_signal(x, k)) for k in kinds},
+    }
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", *(f(F.col("x")).alias(k) for k, (f, _) in rules.items())).collect()
+    for r in got:
+        assert {k: r[k] for k in rules} == {k: g(r["x"]) for k, (_, g) in rules.items()}, r["x"]
+    values = [0.1234565, -2.5e-7, 1.0000005, 0.0000015, 3.3333333333333335, 1e9 / 7, 0.30000000000000004, 2.5, -0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", 6).alias("r")).collect()
+    assert [r["r"] for r in rows] == [S.rounded(r["v"], 6) for r in rows]
