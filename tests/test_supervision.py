@@ -152,6 +152,20 @@ def test_legal_valued_and_retained_notes(spark, flag):
     assert [n["unit"] for n in r["k"]] == ["q::derived::6"]
 
 
+def test_the_teacher_ends_every_question(spark):
+    """No limit below the teacher's own ends a question before its time."""
+    from stepwell.operators import teacher
+    from stepwell.plans import rollouts
+
+    ends = {}
+    for r in rollouts.teacher_trajectories(spark, "/root/testdata/sf0.001").collect():
+        ends.setdefault(r["qid"], []).append((-1 if r["t"] is None else r["t"], r["status"], r["reason"]))
+    assert len(ends) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().count()
+    last = [max(e) for e in ends.values()]
+    assert max(last)[0] + 1 > 2 and all(status in ("terminal", "abort") for _, status, _ in last)
+    assert all(t + 1 == teacher.MAX_STEPS for t, _, reason in last if reason == "max_steps")
+
+
 def test_the_teacher_is_one_short_plan(spark, questions):
     """A step's rules are no part of the plan, so neither rows nor steps make it longer, and no step writes a table."""
     plan = supervision.run(frame(spark, questions))._jdf.queryExecution().optimizedPlan().toString()
