@@ -1,4 +1,4 @@
-"""The teacher: trajectories that see the targets, a question at a time.
+"""The teacher: trajectories that see the targets, a question at a time; and its notes on whole texts.
 
 A step retrieves, gates, probes, proposes notes, selects by the value of each candidate's next
 state, writes the state, and ends what is done (`teaching`). A question ends as terminal (a probe
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import strings as S
 from . import teacher, teaching
 
 UNIT = "struct<unit:string,chunk:string,doc:string,text:string>"
@@ -54,3 +55,25 @@ def run(questions: DataFrame, most_steps: int = teacher.MAX_STEPS) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([r for q in batch.slice(at, BLOCK).to_pylist() for r in teaching.taught(q, most_steps)], told)
 
     return rows.mapInArrow(steps, schema)
+
+
+def notes_of_texts(texts: DataFrame) -> DataFrame:
+    """(id, type, text, sources) of the note that the sentences of each whole text give: (id, name, text, question, answer, repair).
+
+    A sentence is a unit of the document ``name``, numbered from 0. A text is gone through a
+    sentence at a time, so that a task holds what it needs of one text.
+    """
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, type string, text string, sources array<string>"
+    told = to_arrow_schema(StructType.fromDDL(schema))
+
+    def note(r: dict) -> dict | None:
+        of = lambda i: f"{r['name']}::{i}" if r["name"] is not None else str(i)
+        made = teaching.rule_note(r["question"] or "", r["answer"] or "", [(of(i), r["name"], s) for i, s in enumerate(S.sentences(r["text"] or ""))], bool(r["repair"]))
+        return made and dict(zip(("id", "type", "text", "sources"), (r["id"], *made)))
+
+    def notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                yield pa.RecordBatch.from_pylist([n for n in map(note, batch.slice(at, BLOCK).to_pylist()) if n], told)
+
+    return texts.select("id", "name", "text", "question", "answer", "repair").mapInArrow(notes, schema)

@@ -78,8 +78,8 @@ def rule_note(question: str, gold: str, units: list[tuple[str, str | None, str |
     """(type, text, sources) of `notes.rule_notes`; units are (unit, doc, text)."""
     kind, asked, q, g = S.focus_kind(question), S.anchor_set(question), S.normalize(question), S.normalize(gold)
     wholes = [joined(doc, text) for _, doc, text in units]
-    places = range(len(units))
-    hits = [len(S.anchor_set(w) & asked) if asked else 0 for w in wholes]
+    places, plain = range(len(units)), [S.normalize(w) for w in wholes]
+    hits = [len(S.anchor_set(w) & asked) if any(a in n for a in asked) else 0 for w, n in zip(wholes, plain)]  # an anchor of a text stands in its normal form
     signal = [S.answer_signal(w, kind) for w in wholes]
 
     def note(of: str, i: int, sources: list[str]) -> tuple[str, str, list[str]] | None:
@@ -87,7 +87,7 @@ def rule_note(question: str, gold: str, units: list[tuple[str, str | None, str |
         return (of, text, ids) if S.normalize(text) != "" and 1 <= len(ids) <= teacher.MOST_SOURCES else None
 
     if g not in ("", "yes", "no"):
-        named, bears = [S.normalize(doc or "") == g for _, doc, _ in units], [g in S.normalize(w) for w in wholes]
+        named, bears = [S.normalize(doc or "") == g for _, doc, _ in units], [g in n for n in plain]
         b = first_best([i for i in places if named[i] or bears[i]], lambda i: (named[i], bears[i], hits[i], signal[i], -sentence_number(units[i][0])))
         if b is not None:
             speaks = lambda i: S.normalize(units[i][1] or "") in q

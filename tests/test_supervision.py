@@ -191,3 +191,16 @@ def test_string_rules_equal_expressions(spark):
     values = [0.1234565, -2.5e-7, 1.0000005, 0.0000015, 3.3333333333333335, 1e9 / 7, 0.30000000000000004, 2.5, -0.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", 6).alias("r")).collect()
     assert [r["r"] for r in rows] == [S.rounded(r["v"], 6) for r in rows]
+
+
+def test_notes_of_odd_documents(spark, tmp_path):
+    """A long run of capitalised words ends no executor, and texts without sentences have no note."""
+    from stepwell.plans import rollouts
+
+    rows = [(1, "Alpha Beta " * 20_000), (2, "Some Town lies here. It is by the River Exe."), (3, None), (4, ""), (5, " ?! "), (6, "He met Ann Lee in 1923. They left!")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = rollouts.rule_made_notes(spark, str(tmp_path))
+    got = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
+    assert got.pop(1) == ("verification_note", ("Alpha Beta " * 20_000).strip() + ".", "Document 1::0")
+    # the longest phrase of 2 is "River Exe."
+    assert got == {2: ("verification_note", "Document 2 is by the River Exe.", "Document 2::1"), 6: ("verification_note", "Document 6 met Ann Lee in 1923.", "Document 6::0")}
