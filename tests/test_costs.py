@@ -90,6 +90,21 @@ def test_records_shuffle_texts_packed(spark):
     assert [tuple(r) for r in out.orderBy("qid").collect()] == want
 
 
+def test_records_shuffle_places_of_texts(spark):
+    """Texts are written once and read where a record is made; a text that is null or isn't there is missing, as when texts are shuffled."""
+    from stepwell.operators import repair
+    from stepwell.plans import repairs
+    from stepwell.sources.tables import placed
+
+    runs = spark.createDataFrame([(1, "success", ["a", "b", "c", "a", "e"]), (2, "abort", []), (3, "abort", None), (4, "abort", ["b"])], "qid long, status string, units array<string>")
+    units = spark.createDataFrame([("a", "d", "é\n x" * 300), ("b", None, ""), ("d", "d", "unread"), ("e", "e", None)], "unit string, doc string, text string").repartition(3)
+    got, want = (sorted(map(tuple, repair.debug_records(runs, u).collect())) for u in (placed(units), units))
+    assert got == want and got[0][2:] == ("[1] d: " + "é\n x" * 300 + "\n[2] ?: \n[3] ?: [missing]\n[4] d: " + "é\n x" * 300 + "\n[5] e: [missing]", ["missing_unit"]) and got[3][2:] == ("[1] ?: ", [])
+    assert repair.debug_records(runs, placed(units.where("false"))).count() == 4
+    plan = repairs.debug_records(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "_fetched(" in plan and "_packed(" not in plan and "documents.parquet" not in plan
+
+
 def test_questions_are_read_once(spark):
     """A text's fields and a list's items are read by one expression each, an item's kind isn't found from its schema, and a question's lines are shuffled once."""
     from stepwell.plans import rollouts
