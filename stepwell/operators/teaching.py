@@ -100,20 +100,23 @@ def rule_note(question: str, gold: str, units: list[tuple[str, str | None, str |
     return None if b is None else note(CHECK if is_repair else BRIDGE, b, [units[b][0]])
 
 
-def bm25(query: list[str], docs: list[tuple[str, ...]]) -> list[float]:
-    """Token tuples ``docs`` among themselves for distinct query tokens: scores rounded to 6."""
-    n, mean = len(docs), max(sum(map(len, docs)) / max(len(docs), 1), FLOOR)
-    weights = []
+def bm25(query: list[str], docs: list[tuple[tuple[str, ...], frozenset]]) -> list[float]:
+    """Texts, as their tokens in order and as a set, among themselves for distinct query tokens: scores rounded to 6."""
+    n, mean, weights = len(docs), max(sum(len(words) for words, _ in docs) / max(len(docs), 1), FLOOR), []
     for q in query:
-        df = sum(q in d for d in docs)
+        df = 0
+        for _, bag in docs:
+            if q in bag:
+                df += 1
         if df:
             weights.append((q, math.log(1 + (n - df + 0.5) / (df + 0.5))))
     out = []
-    for d in docs:
-        norm, score = K1 * (1 - B + B * len(d) / mean), 0.0
+    for words, bag in docs:
+        norm, score = K1 * (1 - B + B * len(words) / mean), 0.0
         for q, idf in weights:
-            tf = d.count(q)
-            score += idf * tf * (K1 + 1) / max(tf + norm, FLOOR)
+            if q in bag:
+                tf = words.count(q)
+                score += idf * tf * (K1 + 1) / max(tf + norm, FLOOR)
         out.append(S.rounded(score, 6))
     return out
 
@@ -124,7 +127,7 @@ class Question:
     def __init__(self, row: dict) -> None:
         self.qid, self.question, self.gold = row["qid"], row["question"] or "", row["answer"] or ""
         self.targets, self.pool = row["targets"] or [], [unit_of(u) for u in row["pool"] or []]
-        self.chunks = [(c["chunk"], c["doc"], c["text"], S.tokens(c["text"] or "")) for c in row["chunks"] or []]
+        self.chunks = [(c["chunk"], c["doc"], c["text"], (S.tokens(c["text"] or ""), S.token_set(c["text"] or ""))) for c in row["chunks"] or []]
         self.units: dict[str, list[Unit]] = {}
         self.of_chunk: dict[str, list[Unit]] = {}
         for u in self.pool:
@@ -240,7 +243,7 @@ class Question:
             own = self.of_chunk.get(c[0], [])
             if all(u.unit in taken for u in own):
                 continue
-            scored = [(-s, u.unit, u) for s, u in zip(bm25(q, [u.words for u in own]), own) if u.unit not in taken]
+            scored = [(-s, u.unit, u) for s, u in zip(bm25(q, [(u.words, u.bag) for u in own]), own) if u.unit not in taken]
             out.append(min(scored, key=lambda s: (s[0], s[1], text(s[2].doc), text(s[2].text))))
         out.sort(key=lambda s: (s[0], s[1]))
         found = [u for _, _, u in out[:RETRIEVED]]
