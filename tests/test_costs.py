@@ -102,7 +102,19 @@ def test_records_shuffle_places_of_texts(spark):
     assert got == want and got[0][2:] == ("[1] d: " + "é\n x" * 300 + "\n[2] ?: \n[3] ?: [missing]\n[4] d: " + "é\n x" * 300 + "\n[5] e: [missing]", ["missing_unit"]) and got[3][2:] == ("[1] ?: ", [])
     assert repair.debug_records(runs, placed(units.where("false"))).count() == 4
     plan = repairs.debug_records(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "_fetched(" in plan and "_packed(" not in plan and "documents.parquet" not in plan
+    assert plan.count("MapInArrow") == 1 and "_packed(" not in plan and "documents.parquet" not in plan
+
+
+def test_a_task_holds_few_records(spark, monkeypatch):
+    """Records are handed on by their bytes, in their order and whole."""
+    from stepwell.operators import repair
+    from stepwell.sources.tables import placed
+
+    units = spark.createDataFrame([(f"u{i}", None, str(i) * 200) for i in range(10)], "unit string, doc string, text string")
+    runs = spark.createDataFrame([(q, "success", [f"u{(q + i) % 12}" for i in range(q % 4)]) for q in range(200)], "qid long, status string, units array<string>").coalesce(1)
+    monkeypatch.setattr(repair, "READ_BYTES", 1500)
+    got, want = (sorted(map(tuple, repair.debug_records(runs, u).collect())) for u in (placed(units), units))
+    assert got == want and len(got) == 200
 
 
 def test_questions_are_read_once(spark):
